@@ -1,0 +1,11 @@
+"""Join helpers."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+
+def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint only when the side is proven small (a bounded count of at most
+    ``max_rows + 1`` rows); otherwise the planner (and AQE) decide."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
