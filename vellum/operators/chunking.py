@@ -36,10 +36,18 @@ def chunk_chapters(chapters: DataFrame, size: int = C.CHUNK_SIZE,
 def reassemble(translated: DataFrame, text_col: str = "translated",
                carry: list[str] | None = None) -> DataFrame:
     """Chapter text = translated chunks joined by a newline in chunk order (not finish
-    order).  A blank chunk contributes "" and still its separator; only a NULL (failed)
-    chunk would be skipped, and failed books never reach this step."""
+    order).  A blank chunk contributes "" and still its separator; a failed chunk (NULL)
+    is skipped, and ``failed`` / ``error`` tell which chapters lost one.  Output is
+    hash-partitioned on the chapter key."""
     carry = carry or []
     parts = F.array_sort(F.collect_list(F.struct(F.col("chunk_idx"), F.col(text_col).alias("t"))))
-    return (translated.groupBy(*CHAPTER_KEY, *carry)
-            .agg(F.array_join(F.transform(parts, lambda x: x["t"]), C.CHUNK_JOINER)
-                 .alias("content")))
+    aggs = [F.array_join(F.transform(parts, lambda x: x["t"]), C.CHUNK_JOINER).alias("content"),
+            F.count("*").alias("n_chunks")]
+    cols = set(translated.columns)
+    if "error" in cols:
+        err = F.col("error").isNotNull()
+        aggs += [F.bool_or(err).alias("failed"),
+                 F.min_by(F.col("error"), F.when(err, F.col("chunk_idx"))).alias("error")]
+    if "attempts" in cols:
+        aggs.append(F.sum("attempts").cast("bigint").alias("n_calls"))
+    return translated.groupBy(*CHAPTER_KEY, *carry).agg(*aggs)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import text as T
+from .chunking import CHAPTER_KEY
 from .scan import running_sums
 
 ORDER = ["id", "ordinal"]
@@ -53,27 +54,46 @@ def chapter_shape(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
     return base.withColumn("n_paras", F.size("paras"))
 
 
-def chapter_positions(chapters: DataFrame, *, bounded: bool = False,
-                      chars_per_page: int = C.CHARS_PER_PAGE,
-                      max_pages: int = C.MAX_PAGES_PER_CHAPTER,
-                      blocks: int | None = None) -> DataFrame:
-    """Per chapter: ``ch_idx`` (0-based, in id order, stable), ``n_chapters`` of its book,
-    ``n_pages``, ``pages_before`` (DOCX pages in earlier chapters), ``docx_before`` and
-    ``pdf_before`` (elements of earlier chapters), ``n_paras`` (non-blank paragraphs)."""
-    base = chapter_shape(chapters, chars_per_page, max_pages)
+POSITION_COLUMNS = ["n_chapters", "ch_idx", "pages_before", "docx_before", "pdf_before"]
+
+
+def scan_positions(slim: DataFrame, *, bounded: bool = False, blocks: int | None = None) -> DataFrame:
+    """Running positions from slim chapter rows (chapter key, ``n_pages``, ``n_paras``):
+    no text involved.  Adds ``n_chapters`` and ``POSITION_COLUMNS``."""
     scanned = running_sums(
-        base, ["book_id"], ORDER,
+        slim, ["book_id"], ORDER,
         {"ch_idx": F.lit(1),
          "pages_before": F.col("n_pages"),
          "docx_before": 1 + 3 * F.col("n_pages"),
          "_pdf_w": 2 + 2 * F.col("n_paras")},
         bounded=bounded, blocks=blocks)
-    counts = chapters.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
-    out = scanned.join(counts, "book_id")
-    return out.withColumns({
-        "ch_idx": F.col("ch_idx").cast("int"),
-        "pdf_before": F.col("_pdf_w") + F.greatest(F.col("ch_idx") - 1, F.lit(0)),
-    }).drop("_pdf_w")
+    counts = slim.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
+    return scanned.join(counts, "book_id").select(
+        *CHAPTER_KEY, "n_pages", "n_paras", "n_chapters",
+        F.col("ch_idx").cast("int").alias("ch_idx"),
+        "pages_before", "docx_before",
+        (F.col("_pdf_w") + F.greatest(F.col("ch_idx") - 1, F.lit(0))).alias("pdf_before"))
+
+
+def chapter_positions(chapters: DataFrame, *, bounded: bool = False,
+                      keep_books: DataFrame | None = None,
+                      chars_per_page: int = C.CHARS_PER_PAGE,
+                      max_pages: int = C.MAX_PAGES_PER_CHAPTER,
+                      blocks: int | None = None) -> DataFrame:
+    """Per chapter: ``ch_idx`` (0-based, in id order, stable), ``n_chapters`` of its book,
+    ``n_pages``, ``pages_before`` (DOCX pages in earlier chapters), ``docx_before`` and
+    ``pdf_before`` (elements of earlier chapters), ``n_paras`` (non-blank paragraphs).
+
+    The running sums are computed on a slim projection (keys and counts, no text) and
+    joined back on the chapter key, so the text crosses at most one shuffle here.
+    ``keep_books`` (book ids) filters on the slim side only; the inner join drops the
+    rest."""
+    shaped = chapter_shape(chapters, chars_per_page, max_pages)
+    slim = shaped.select(*CHAPTER_KEY, "n_pages", "n_paras")
+    if keep_books is not None:
+        slim = slim.join(keep_books, "book_id", "left_semi")
+    pos = scan_positions(slim, bounded=bounded, blocks=blocks).drop("n_pages", "n_paras")
+    return shaped.join(pos, CHAPTER_KEY)
 
 
 def page_rows(positioned: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,

@@ -5,9 +5,10 @@ large as a third of the table (one book holding most chapters, one job holding m
 events), so the scan runs in two levels:
 
 1. ``repartitionByRange(n, group, order)`` splits the global order into ``n``
-   contiguous blocks; a hot group is cut across many blocks.  The shuffle is
-   REPARTITION_BY_NUM, so AQE never coalesces it and block ids stay stable; both
-   consumers below read one (reused) exchange.
+   contiguous blocks; a hot group is cut across many blocks.  The block id is the
+   partition id, so the blocked rows (keys and weights only, never text) are written
+   once with ``checkpoint``: the two consumers below must see the same assignment,
+   and two separately planned range exchanges could sample different bounds.
 2. Inside a block, a window over ``(block, group)`` gives block-local results.
 3. Only the first group of a block can continue from an earlier block, so the
    fix-up table has at most ``n`` rows: that bound is what allows ``broadcast``.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 _BLK = "_blk"
 
 
@@ -30,8 +33,9 @@ def _blocks(df: DataFrame, blocks: int | None) -> int:
 
 def _blocked(df: DataFrame, group: list[str], order: list[str], blocks: int | None) -> DataFrame:
     n = _blocks(df, blocks)
-    return (df.repartitionByRange(n, *[F.col(c) for c in group + order])
-              .withColumn(_BLK, F.spark_partition_id()))
+    b = (df.repartitionByRange(n, *[F.col(c) for c in group + order])
+           .withColumn(_BLK, F.spark_partition_id()))
+    return materialize(b)
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[str],

@@ -174,22 +174,22 @@ def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Tr
     return spread.mapInPandas(fn, schema)
 
 
-def book_outcomes(translated: DataFrame) -> DataFrame:
-    """All or nothing per book: the book fails if any chunk failed; the reported error is
-    the one of the first failing chunk in (id, ordinal, chunk_idx) order."""
-    first = F.struct("id", "ordinal", "chunk_idx")
-    failed = F.col("error").isNotNull()
-    return translated.groupBy("book_id").agg(
-        F.bool_or(failed).alias("failed"),
-        F.min_by(F.col("error"), F.when(failed, first)).alias("error"),
-        F.count("*").alias("n_chunks"),
-        F.sum("attempts").cast("bigint").alias("n_calls"),
+def book_outcomes(chapters: DataFrame) -> DataFrame:
+    """All or nothing per book, from reassembled chapter rows (``failed``, ``error``,
+    ``n_chunks``, ``n_calls``): the book fails if any chunk failed; the reported error is
+    the one of the first failing chapter in (id, ordinal) order.  An aggregate, so a
+    huge book is combined map-side first."""
+    first = F.struct("id", "ordinal")
+    return chapters.groupBy("book_id").agg(
+        F.bool_or("failed").alias("failed"),
+        F.min_by(F.col("error"), F.when(F.col("failed"), first)).alias("error"),
+        F.sum("n_chunks").cast("bigint").alias("n_chunks"),
+        F.sum("n_calls").cast("bigint").alias("n_calls"),
     )
 
 
-def successful_chunks(translated: DataFrame, outcomes: DataFrame) -> DataFrame:
-    ok = outcomes.where(~F.col("failed")).select("book_id")
-    return translated.join(ok, "book_id", "left_semi")
+def ok_books(outcomes: DataFrame) -> DataFrame:
+    return outcomes.where(~F.col("failed")).select("book_id")
 
 
 def build_prompts(chunks: DataFrame, target_language: str = C.DEFAULT_TARGET_LANGUAGE,

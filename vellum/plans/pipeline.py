@@ -12,19 +12,27 @@ from ..session import materialize as _materialize
 
 @dataclass
 class Translated:
-    chunks: DataFrame      # every chunk with translated / attempts / wait_s / error
-    outcomes: DataFrame    # one row per book: failed, error, n_chunks, n_calls
-    chapters: DataFrame    # reassembled chapters of the books that succeeded
+    chunks: DataFrame       # every chunk with translated / attempts / wait_s / error
+    all_chapters: DataFrame  # every reassembled chapter with failed / error (written once)
+    outcomes: DataFrame     # one row per book: failed, error, n_chunks, n_calls
+    ok_books: DataFrame     # book_id of the books that succeeded
+
+    @property
+    def chapters(self) -> DataFrame:
+        """Reassembled chapters of the books that succeeded (no partial book)."""
+        return self.all_chapters.join(self.ok_books, "book_id", "left_semi")
 
 
 def translate_books(chapters: DataFrame, translator=None, opts: C.PipelineOptions = C.PipelineOptions(),
-                    *, key_col: str | None = None, jvm: bool = False, materialize: bool = False,
+                    *, key_col: str | None = None, jvm: bool = False, materialize: bool | None = None,
                     carry: list[str] | None = None, sleep=None,
                     parallelism: int | None = None) -> Translated:
-    """Chunk, translate, and reassemble; a book with any failed chunk yields no chapters.
+    """Chunk, translate, reassemble; a book with any failed chunk yields no chapters.
 
-    ``materialize=True`` checkpoints the translated chunks to the shared folder so every
-    chunk is sent to the model once even if later stages are recomputed."""
+    The reassembled chapter table (with per-chapter failure) is written once to the
+    shared folder (``materialize``, on by default for a Python translator): outcomes,
+    the filtered chapters and the layout all read it, so each chunk reaches the model
+    once even though several branches consume the result."""
     carry = list(carry or [])
     if key_col and key_col not in carry:
         carry.append(key_col)
@@ -32,27 +40,51 @@ def translate_books(chapters: DataFrame, translator=None, opts: C.PipelineOption
     tr = translate.translate_chunks(chunks, translator, target_language=opts.target_language,
                                     max_retries=opts.max_retries, key_col=key_col, jvm=jvm,
                                     sleep=sleep, parallelism=parallelism)
-    if materialize:
-        tr = _materialize(tr)
-    outcomes = translate.book_outcomes(tr)
-    ok = translate.successful_chunks(tr, outcomes)
     keep = [c for c in carry if c != key_col]
-    return Translated(tr, outcomes, chunking.reassemble(ok, carry=keep))
+    all_ch = chunking.reassemble(tr, carry=keep)
+    if materialize is None:
+        materialize = not (jvm and hasattr(translator, "column"))
+    if materialize:
+        all_ch = _materialize(all_ch)
+    outcomes = translate.book_outcomes(all_ch)
+    return Translated(tr, all_ch, outcomes, translate.ok_books(outcomes))
 
 
-def numbered_pages(translated_chapters: DataFrame, opts: C.PipelineOptions = C.PipelineOptions(),
+def numbered_pages(t: Translated, opts: C.PipelineOptions = C.PipelineOptions(),
                    *, bounded: bool = False) -> DataFrame:
-    pos = layout.chapter_positions(translated_chapters, bounded=bounded,
+    pos = layout.chapter_positions(t.all_chapters, bounded=bounded, keep_books=t.ok_books,
                                    chars_per_page=opts.chars_per_page, max_pages=opts.max_pages)
     pages = layout.page_rows(pos, opts.chars_per_page, opts.max_pages)
     return pages.select("book_id", "id", "page_idx", "page_no", "align", "has_break", "text")
 
 
-def flagship(chapters: DataFrame, translator=None, opts: C.PipelineOptions = C.PipelineOptions(),
-             *, materialize: bool = True) -> DataFrame:
-    """The numbered pages of every translated book."""
-    t = translate_books(chapters, translator, opts, materialize=materialize)
-    return numbered_pages(t.chapters, opts)
+def flagship(chapters: DataFrame, translator=None,
+             opts: C.PipelineOptions = C.PipelineOptions(), *, bounded: bool = False) -> DataFrame:
+    """The numbered pages of every translated book (DOCX pagination).
+
+    Shuffles of text: source chunks once (spread over the translator tasks), translated
+    chunks once (reassembly).  The translated chunks are written once; page positions
+    come from a slim aggregate of their lengths (a chapter's length is the sum of its
+    translated chunks plus the newlines between them) and are joined to the chunks
+    before the reassembly exchange, which then carries them at no extra shuffle."""
+    chunks = chunking.chunk_chapters(chapters, opts.chunk_size)
+    tr = translate.translate_chunks(chunks, translator, target_language=opts.target_language,
+                                    max_retries=opts.max_retries)
+    tr = _materialize(tr)
+    per_ch = tr.groupBy(*chunking.CHAPTER_KEY).agg(
+        (F.sum(F.length("translated")) + F.count("*") - 1).alias("n_out"),
+        F.bool_or(F.col("error").isNotNull()).alias("failed"))
+    ok = per_ch.groupBy("book_id").agg(F.bool_or("failed").alias("failed")) \
+               .where(~F.col("failed")).select("book_id")
+    pages = F.ceil(F.col("n_out") / F.lit(opts.chars_per_page))
+    slim = per_ch.join(ok, "book_id", "left_semi").select(
+        *chunking.CHAPTER_KEY, F.least(pages, F.lit(opts.max_pages)).cast("int").alias("n_pages"),
+        F.lit(0).alias("n_paras"))
+    pos = layout.scan_positions(slim, bounded=bounded)
+    joined = tr.join(pos, chunking.CHAPTER_KEY)
+    chapters_out = chunking.reassemble(joined, carry=["n_pages", *layout.POSITION_COLUMNS])
+    out = layout.page_rows(chapters_out, opts.chars_per_page, opts.max_pages)
+    return out.select("book_id", "id", "page_idx", "page_no", "align", "has_break", "text")
 
 
 def run_jobs(chapters: DataFrame, translator=None, opts: C.PipelineOptions = C.PipelineOptions(),
@@ -64,8 +96,8 @@ def run_jobs(chapters: DataFrame, translator=None, opts: C.PipelineOptions = C.P
     job_rows = jobs.submit_jobs(books, "chapters", opts.target_language, opts.output_format)
     t = translate_books(ok, translator, opts, key_col=key_col, sleep=sleep)
     events = jobs.lifecycle_events(job_rows, t.outcomes)
-    pos = layout.chapter_positions(t.chapters, bounded=True, chars_per_page=opts.chars_per_page,
-                                   max_pages=opts.max_pages)
+    pos = layout.chapter_positions(t.all_chapters, bounded=True, keep_books=t.ok_books,
+                                   chars_per_page=opts.chars_per_page, max_pages=opts.max_pages)
     if opts.output_format == "pdf":
         els = layout.pdf_elements(pos)
     else:
