@@ -89,6 +89,17 @@ def fail_first_by_key(k: int):
     return lambda key: int(key) % k
 
 
+def fail_listed(keys, times: int):
+    """Failure count ``times`` for the listed keys, 0 for the others."""
+    listed = frozenset(keys)
+    return lambda key: times if key in listed else 0
+
+
+def no_sleep(_seconds: float) -> None:
+    """Backoff that records instead of waiting (tests, fault injection)."""
+    return None
+
+
 def translate_one(tr: Translator, text, language: str, key, max_retries: int,
                   sleep: Callable[[float], None], strip_output: bool = True):
     """Returns (translated, attempts, waited seconds, error) for one chunk."""
@@ -129,10 +140,6 @@ def _worker(factory: Callable[[], Translator], text_col: str, lang_col: str, key
     return run
 
 
-def _no_sleep(_seconds: float) -> None:
-    return None
-
-
 def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Translator] | None = None,
                      *, target_language: str | Column = C.DEFAULT_TARGET_LANGUAGE,
                      max_retries: int = C.MAX_RETRIES, key_col: str | None = None,

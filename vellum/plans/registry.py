@@ -583,15 +583,11 @@ def translate_blank_skip(spark, sf):
     return _chunk_result(translate.translate_chunks(ch, translate.MockTranslator()))
 
 
-def _no_wait(_s):
-    return None
-
-
 @query
 def translate_retry(spark, sf):
     ch = chunking.chunk_chapters(docs(spark, sf))
     tr = translate.FlakyTranslator(translate.fail_first_by_key(6))
-    out = translate.translate_chunks(ch, tr, key_col="id", sleep=_no_wait)
+    out = translate.translate_chunks(ch, tr, key_col="id", sleep=translate.no_sleep)
     return out.select("book_id", "id", "chunk_idx", "translated", "attempts", "wait_s", "error")
 
 
@@ -604,7 +600,7 @@ def translate_books(spark, sf):
     """A book fails as a whole when any chunk still fails after the retries."""
     tr = translate.FlakyTranslator(translate.fail_first_by_key(6))
     t = pipeline.translate_books(_fault_key(convs(spark, sf)), tr, key_col="fault_key",
-                                 sleep=_no_wait)
+                                 sleep=translate.no_sleep)
     return t.outcomes.select("book_id", "failed", "error", "n_chunks", "n_calls")
 
 
@@ -614,7 +610,7 @@ def translate_books(spark, sf):
 def job_lifecycle(spark, sf):
     tr = translate.FlakyTranslator(translate.fail_first_by_key(6))
     _, events, _ = pipeline.run_jobs(_fault_key(convs(spark, sf)), tr, key_col="fault_key",
-                                     sleep=_no_wait)
+                                     sleep=translate.no_sleep)
     return events.select("job_id", "seq", "status", "progress", "message", "file_path")
 
 
