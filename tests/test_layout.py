@@ -62,7 +62,8 @@ FIXTURES = {
 def test_docx_and_pdf_streams_match_model(spark):
     for name, rows in FIXTURES.items():
         for bounded in (False, True):
-            pos = layout.chapter_positions(chapters_df(spark, rows), bounded=bounded, blocks=3)
+            pos = layout.chapter_positions(chapters_df(spark, rows), bounded=bounded, blocks=3,
+                                           paragraphs=True)
             assert spark_stream(layout.docx_elements(pos)) == docx_model(rows), name
             assert spark_stream(layout.pdf_elements(pos)) == pdf_model(rows), name
 

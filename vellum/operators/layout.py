@@ -42,16 +42,17 @@ def truncation_audit(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE
 
 
 def chapter_shape(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
-                  max_pages: int = C.MAX_PAGES_PER_CHAPTER) -> DataFrame:
-    """Adds ``n_pages`` (DOCX, capped), ``paras`` (non-blank PDF paragraphs with their
-    split position) and ``n_paras``: row-local, no shuffle."""
+                  max_pages: int = C.MAX_PAGES_PER_CHAPTER, *, paragraphs: bool = True) -> DataFrame:
+    """Adds ``n_pages`` (DOCX, capped) and, for the PDF layout, ``paras`` (non-blank
+    paragraphs with their split position) and ``n_paras``: row-local, no shuffle."""
     pages = T.slice_count("content", chars_per_page, at_least_one=False)
-    n_pages = F.least(pages, F.lit(max_pages))
+    base = chapters.withColumn("n_pages", F.least(pages, F.lit(max_pages)).cast("int"))
+    if not paragraphs:
+        return base.withColumn("n_paras", F.lit(0))
     nonblank = F.filter(F.transform(T.split_paragraphs("content"),
                                     lambda p, i: F.struct(i.alias("i"), p.alias("p"))),
                         lambda s: ~T.is_blank(s["p"]))
-    base = chapters.withColumns({"n_pages": n_pages.cast("int"), "paras": nonblank})
-    return base.withColumn("n_paras", F.size("paras"))
+    return base.withColumn("paras", nonblank).withColumn("n_paras", F.size("paras"))
 
 
 POSITION_COLUMNS = ["n_chapters", "ch_idx", "pages_before", "docx_before", "pdf_before"]
@@ -66,9 +67,8 @@ def scan_positions(slim: DataFrame, *, bounded: bool = False, blocks: int | None
          "pages_before": F.col("n_pages"),
          "docx_before": 1 + 3 * F.col("n_pages"),
          "_pdf_w": 2 + 2 * F.col("n_paras")},
-        bounded=bounded, blocks=blocks)
-    counts = slim.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
-    return scanned.join(counts, "book_id").select(
+        bounded=bounded, blocks=blocks, totals={"n_chapters": "ch_idx"})
+    return scanned.select(
         *CHAPTER_KEY, "n_pages", "n_paras", "n_chapters",
         F.col("ch_idx").cast("int").alias("ch_idx"),
         "pages_before", "docx_before",
@@ -76,19 +76,20 @@ def scan_positions(slim: DataFrame, *, bounded: bool = False, blocks: int | None
 
 
 def chapter_positions(chapters: DataFrame, *, bounded: bool = False,
-                      keep_books: DataFrame | None = None,
+                      keep_books: DataFrame | None = None, paragraphs: bool = False,
                       chars_per_page: int = C.CHARS_PER_PAGE,
                       max_pages: int = C.MAX_PAGES_PER_CHAPTER,
                       blocks: int | None = None) -> DataFrame:
     """Per chapter: ``ch_idx`` (0-based, in id order, stable), ``n_chapters`` of its book,
     ``n_pages``, ``pages_before`` (DOCX pages in earlier chapters), ``docx_before`` and
-    ``pdf_before`` (elements of earlier chapters), ``n_paras`` (non-blank paragraphs).
+    ``pdf_before`` (elements of earlier chapters), ``n_paras`` (non-blank paragraphs;
+    only with ``paragraphs=True``, which the PDF layout needs).
 
     The running sums are computed on a slim projection (keys and counts, no text) and
     joined back on the chapter key, so the text crosses at most one shuffle here.
     ``keep_books`` (book ids) filters on the slim side only; the inner join drops the
     rest."""
-    shaped = chapter_shape(chapters, chars_per_page, max_pages)
+    shaped = chapter_shape(chapters, chars_per_page, max_pages, paragraphs=paragraphs)
     slim = shaped.select(*CHAPTER_KEY, "n_pages", "n_paras")
     if keep_books is not None:
         slim = slim.join(keep_books, "book_id", "left_semi")

@@ -18,6 +18,7 @@ limit) uses a plain window instead: one shuffle instead of two.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
@@ -33,22 +34,32 @@ def _blocks(df: DataFrame, blocks: int | None) -> int:
 
 def _blocked(df: DataFrame, group: list[str], order: list[str], blocks: int | None) -> DataFrame:
     n = _blocks(df, blocks)
-    b = (df.repartitionByRange(n, *[F.col(c) for c in group + order])
-           .withColumn(_BLK, F.spark_partition_id()))
-    return materialize(b)
+    # The range partitioner samples its input in a pass of its own; keep the (slim) input
+    # cached for the span of the checkpoint so the source is computed once.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        b = (src.repartitionByRange(n, *[F.col(c) for c in group + order])
+                .withColumn(_BLK, F.spark_partition_id()))
+        return materialize(b)
+    finally:
+        src.unpersist()
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[str],
                  weights: dict[str, Column], *, bounded: bool = False,
-                 blocks: int | None = None) -> DataFrame:
+                 blocks: int | None = None, totals: dict[str, str] | None = None) -> DataFrame:
     """Adds one BIGINT column per weight: the sum of that weight over the rows of the
-    same group that come strictly before this row in ``order`` (a total order)."""
+    same group that come strictly before this row in ``order`` (a total order).
+    ``totals`` maps an output name to a weight whose whole-group sum is wanted too."""
+    totals = totals or {}
     wcols = {f"_w_{k}": F.coalesce(v.cast("bigint"), F.lit(0)) for k, v in weights.items()}
     base = df.withColumns(wcols)
     if bounded:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        wall = Window.partitionBy(*group)
         out = base.withColumns({k: F.coalesce(F.sum(f"_w_{k}").over(w), F.lit(0))
                                 for k in weights})
+        out = out.withColumns({t: F.sum(f"_w_{k}").over(wall) for t, k in totals.items()})
         return out.drop(*wcols)
 
     b = _blocked(base, group, order, blocks)
@@ -66,7 +77,14 @@ def running_sums(df: DataFrame, group: list[str], order: list[str],
               .drop("_pos"))
     out = local.join(F.broadcast(off), [_BLK, *group], "left")
     out = out.withColumns({k: F.col(k) + F.coalesce(F.col(f"_o_{k}"), F.lit(0)) for k in weights})
-    return out.drop(_BLK, *wcols, *[f"_o_{k}" for k in weights])
+    out = out.drop(_BLK, *wcols, *[f"_o_{k}" for k in weights])
+    if totals:
+        # One row per group from the per-block totals (at most n rows per group);
+        # the join back is on the group key (AQE splits a skewed group).
+        g = tot.groupBy(*group).agg(*[F.sum(f"_t_{k}").cast("bigint").alias(t)
+                                      for t, k in totals.items()])
+        out = out.join(g, group)
+    return out
 
 
 def previous_values(df: DataFrame, group: list[str], order: list[str],

@@ -97,6 +97,7 @@ def run_jobs(chapters: DataFrame, translator=None, opts: C.PipelineOptions = C.P
     t = translate_books(ok, translator, opts, key_col=key_col, sleep=sleep)
     events = jobs.lifecycle_events(job_rows, t.outcomes)
     pos = layout.chapter_positions(t.all_chapters, bounded=True, keep_books=t.ok_books,
+                                   paragraphs=opts.output_format == "pdf",
                                    chars_per_page=opts.chars_per_page, max_pages=opts.max_pages)
     if opts.output_format == "pdf":
         els = layout.pdf_elements(pos)

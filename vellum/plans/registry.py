@@ -289,7 +289,7 @@ def edit_update(spark, sf):
 @query
 def styled_elements(spark, sf):
     """Both layouts of the conversation books with their styles attached."""
-    pos = layout.chapter_positions(convs(spark, sf))
+    pos = layout.chapter_positions(convs(spark, sf), paragraphs=True)
     st = O.styles(spark)
     d = layout.styled(layout.docx_elements(pos), st, "docx").withColumn("format", F.lit("docx"))
     p = layout.styled(layout.pdf_elements(pos), st, "pdf").withColumn("format", F.lit("pdf"))
@@ -647,7 +647,7 @@ def docx_elements(spark, sf):
 
 @query
 def pdf_elements(spark, sf):
-    els = layout.pdf_elements(layout.chapter_positions(paragraphed(docs(spark, sf))))
+    els = layout.pdf_elements(layout.chapter_positions(paragraphed(docs(spark, sf)), paragraphs=True))
     return els.select("book_id", "seq", "kind", "chapter_id", "part_idx", "text", "height_in")
 
 
@@ -667,7 +667,7 @@ def run_log_durations(spark, sf):
 
 @query
 def pipeline_metrics(spark, sf):
-    ch = layout.chapter_shape(docs(spark, sf))
+    ch = layout.chapter_shape(docs(spark, sf), paragraphs=False)
     per = ch.groupBy("book_id").agg(
         F.count("*").alias("n_chapters"),
         F.sum(T.slice_count("content", C.CHUNK_SIZE, at_least_one=True)).alias("n_chunks"),
