@@ -46,12 +46,15 @@ def chapter_shape(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
     """Adds ``n_pages`` (DOCX, capped) and, for the PDF layout, ``paras`` (non-blank
     paragraphs with their split position) and ``n_paras``: row-local, no shuffle."""
     pages = T.slice_count("content", chars_per_page, at_least_one=False)
-    base = chapters.withColumn("n_pages", F.least(pages, F.lit(max_pages)).cast("int"))
+    base = chapters.withColumn("n_pages", F.coalesce(F.least(pages, F.lit(max_pages)), F.lit(0))
+                               .cast("int"))
     if not paragraphs:
         return base.withColumn("n_paras", F.lit(0))
     nonblank = F.filter(F.transform(T.split_paragraphs("content"),
                                     lambda p, i: F.struct(i.alias("i"), p.alias("p"))),
                         lambda s: ~T.is_blank(s["p"]))
+    # A chapter without content keeps its heading elements and gets no paragraph.
+    nonblank = F.coalesce(nonblank, F.array().cast("array<struct<i:int,p:string>>"))
     return base.withColumn("paras", nonblank).withColumn("n_paras", F.size("paras"))
 
 
@@ -152,6 +155,7 @@ def docx_elements(positioned: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
         )
 
     title = F.array(_el(1, "title", text=T.chapter_title("id"), align="RIGHT"))
+    pages = F.coalesce(pages, F.array().cast("array<string>"))
     els = F.concat(title, F.flatten(F.transform(pages, per_page)))
     els = F.filter(els, lambda e: e["keep"])
     rows = positioned.select("book_id", F.col("id").alias("chapter_id"), "docx_before",
@@ -187,6 +191,17 @@ def pdf_elements(positioned: DataFrame) -> DataFrame:
                        "height_in")
 
 
+def layout_errors(elements: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Per-chapter fault isolation: a chapter whose content is missing is laid out with
+    its heading only and its title element carries ``element_error``; the rest of the
+    book is unaffected (Column expressions never fail one row)."""
+    bad = (chapters.where(F.col("content").isNull())
+           .select("book_id", F.col("id").alias("chapter_id"),
+                   F.lit("chapter has no content").alias("_err")).distinct())
+    j = elements.join(bad, ["book_id", "chapter_id"], "left")
+    return j.withColumn("element_error", F.when(F.col("kind") == "title", F.col("_err"))).drop("_err")
+
+
 def split_paragraphs(chapters: DataFrame) -> DataFrame:
     """PDF paragraphs: split on a blank line, blank pieces dropped, XML-escaped, not
     trimmed; ``para_idx`` is the position in the split (gaps where blanks were)."""

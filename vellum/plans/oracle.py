@@ -238,6 +238,19 @@ jobs as (
 # --- A ---------------------------------------------------------------------------------
 SQL["scan_book_requests"] = (f"select cast(book_id as varchar) as book_id, id, ordinal, content, "
                              f"{q(LANG)} as target_language from ({CONV_CH})")
+SQL["schema_check"] = """select cast(conv_id as varchar) as book_id,
+  case conv_id % 9 when 1 then 'field required: target_language' when 2 then 'malformed request' end as schema_error
+from conversations group by conv_id"""
+SQL["empty_request"] = f"""select cast(conv_id as varchar) as book_id,
+  cast(case when conv_id % 9 = 0 then 0 else count(*) end as integer) as n_chapters,
+  case when conv_id % 9 = 0 then {q(C.REJECT_NO_CHAPTERS)}
+       when count(*) > {C.MAX_CHAPTERS} then {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=C.MAX_CHAPTERS))} end
+  as reject_reason
+from conversations where conv_id % 9 not in (1, 2) group by conv_id"""
+SQL["extract_errors"] = f"""with l as (select page_id, strlen(html) <> length(html) as failed,
+  unnest(string_split(html || chr(10), chr(10))) as line from pages)
+select page_id as file, cast(case when bool_or(failed) then 0 else count(*) filter (where not {blank('line')}) end
+  as bigint) as n_pages, bool_or(failed) as failed from l group by page_id"""
 SQL["scan_files"] = ("select page_id as file, cast(strlen(html) + 1 as bigint) as length, "
                      "strlen(html) + 1 <= 4000 as within_limit from pages")
 SQL["extract_pages"] = f"""with {PAGE_LINES.replace('pl as', 'x as').replace('from pf', 'from (select id as file, content as text from (' + paragraphed(DOC_CH) + '))')}
@@ -487,6 +500,10 @@ SQL["docx_elements"] = (f"with ch as ({blanked(DOC_CH, 7, '')}), {docx_ctes('ch'
                         f"select book_id, seq, kind, chapter_id, part_idx, text, cap, page_no, align from docx")
 SQL["pdf_elements"] = (f"with ch as ({paragraphed(DOC_CH)}), {pdf_ctes('ch')} "
                        f"select book_id, seq, kind, chapter_id, part_idx, text, height_in from pdf")
+_NULLED = f"select * replace (case when id % 11 = 0 then NULL else content end as content) from ({DOC_CH})"
+SQL["layout_errors"] = f"""with ch as ({_NULLED}), {pdf_ctes('ch')}
+select book_id, seq, kind, chapter_id, case when kind = 'title' and chapter_id % 11 = 0
+  then 'chapter has no content' end as element_error from pdf"""
 SQL["render_book_text"] = f"""with ch as ({CONV_CH}), {docx_ctes('ch')}
 select book_id, string_agg(case kind when 'break' then chr(12) when 'spacer' then ''
   else coalesce(cap, '') || text end, chr(10) order by seq) as text, count(*) as n_elements

@@ -70,12 +70,59 @@ def scan_book_requests(spark, sf):
     return RQ.request_chapters(ok).select("book_id", "id", "ordinal", "content", "target_language")
 
 
+def _landed_requests(spark, sf):
+    """Conversation books landed as JSON requests, some of them faulty: every 9th book
+    has no chapters, the next has no target language, the next has word ids."""
+    req = RQ.requests_from_chapters(convs(spark, sf), LANG).withColumn("k", F.col("book_id").cast("bigint") % 9)
+    req = req.withColumns({
+        "chapters": F.when(F.col("k") == 0, F.array().cast(req.schema["chapters"].dataType))
+                     .otherwise(F.col("chapters")),
+        "target_language": F.when(F.col("k") == 1, F.lit(None).cast("string"))
+                            .otherwise(F.col("target_language"))})
+    body = F.to_json(F.struct("book_id", "chapters", "target_language"))
+    body = F.when(F.col("k") == 2, F.regexp_replace(body, '"id":([0-9]+)', '"id":"n$1"')).otherwise(body)
+    path = scratch_path(spark, "requests")
+    req.select(body.alias("value")).write.text(path)
+    return RQ.read_requests(spark, path)
+
+
 @query
-def scan_files(spark, sf):
-    """A2: pages landed as one file each, listed by binaryFile (content not read)."""
+def schema_check(spark, sf):
+    """Required fields present and typed (missing field vs wrongly typed value)."""
+    r = RQ.schema_reject_reason(_landed_requests(spark, sf))
+    return r.select("book_id", "schema_error")
+
+
+@query
+def empty_request(spark, sf):
+    """C6 (+ C5 on the chapter route): a well-formed request without chapters is refused."""
+    r = RQ.schema_reject_reason(_landed_requests(spark, sf)).where(F.col("schema_error").isNull())
+    r = validate.request_reject_reason(r)
+    return r.select("book_id", F.size("chapters").cast("int").alias("n_chapters"), "reject_reason")
+
+
+def _page_files_on_disk(spark, sf):
     path = scratch_path(spark, "files")
     TB.read(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
-    f = FS.scan_files(spark, path, glob="*.txt")
+    return FS.scan_files(spark, path, glob="*.txt")
+
+
+@query
+def extract_errors(spark, sf):
+    """A4: a decoder that only reads ASCII fails on accented pages; the error stays with
+    its file (one row, no pages) and the other files go on."""
+    files = _page_files_on_disk(spark, sf)
+    pages = FS.extract_with(files, FS.ascii_line_extractor)
+    per = FS.file_summary(files.select("path"), pages)
+    return per.select(F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("bigint").alias("file"),
+                      F.coalesce("n_pages", F.lit(0)).cast("bigint").alias("n_pages"),
+                      F.col("extract_error").isNotNull().alias("failed"))
+
+
+@query
+def scan_files(spark, sf):
+    """A2: pages landed as one file each, listed by binaryFile (content not read)."""
+    f = _page_files_on_disk(spark, sf)
     return f.select(F.col("page_id").cast("bigint").alias("file"), "length",
                     validate.size_ok("length", 4000).alias("within_limit"))
 
@@ -651,6 +698,16 @@ def pdf_elements(spark, sf):
     return els.select("book_id", "seq", "kind", "chapter_id", "part_idx", "text", "height_in")
 
 
+@query
+def layout_errors(spark, sf):
+    """Chapters without content (every 11th) keep their heading; the title carries
+    the error; the other chapters are laid out as usual."""
+    ch = docs(spark, sf).withColumn("content", F.when(F.col("id") % 11 == 0, F.lit(None).cast("string"))
+                                    .otherwise(F.col("content")))
+    els = layout.pdf_elements(layout.chapter_positions(ch, paragraphs=True))
+    return layout.layout_errors(els, ch).select("book_id", "seq", "kind", "chapter_id", "element_error")
+
+
 @query
 def render_book_text(spark, sf):
     ch = validate.within_chapter_limit(convs(spark, sf))

@@ -81,6 +81,11 @@ def page_text_extractor(sep: str = "\f") -> Callable[[bytes, str], list[str]]:
     return ex
 
 
+def ascii_line_extractor(content: bytes, name: str) -> list[str]:
+    """A strict decoder (ASCII only) with one page per line; raises on any other byte."""
+    return content.decode("ascii").split("\n")
+
+
 def file_summary(files: DataFrame, pages: DataFrame) -> DataFrame:
     """Per file: extracted page count and extraction error, for the intake checks."""
     per = pages.groupBy("path").agg(F.count("id").alias("n_pages"),
