@@ -79,7 +79,7 @@ def _landed_requests(spark, sf):
                      .otherwise(F.col("chapters")),
         "target_language": F.when(F.col("k") == 1, F.lit(None).cast("string"))
                             .otherwise(F.col("target_language"))})
-    body = F.to_json(F.struct("book_id", "chapters", "target_language"))
+    body = F.to_json(F.struct("book_id", "part", "chapters", "target_language"))
     body = F.when(F.col("k") == 2, F.regexp_replace(body, '"id":([0-9]+)', '"id":"n$1"')).otherwise(body)
     path = scratch_path(spark, "requests")
     req.select(body.alias("value")).write.text(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 CHAPTER = T.StructType([T.StructField("id", T.LongType()), T.StructField("content", T.StringType())])
 REQUEST_SCHEMA = T.StructType([
     T.StructField("book_id", T.StringType()),
+    T.StructField("part", T.LongType()),
     T.StructField("chapters", T.ArrayType(CHAPTER)),
     T.StructField("target_language", T.StringType()),
     T.StructField("output_format", T.StringType()),
@@ -32,21 +33,30 @@ def schema_reject_reason(requests: DataFrame) -> DataFrame:
     return requests.withColumn("schema_error", reason)
 
 
-def request_chapters(requests: DataFrame) -> DataFrame:
+PART_SIZE = 100
+
+
+def request_chapters(requests: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """One row per chapter; the position in the list is kept as ``ordinal`` (it makes the
-    later sort by id stable)."""
+    later sort by id stable).  A request may come in parts (``part``, default 0) of
+    ``part_size`` chapters each; the ordinal continues across parts."""
+    part = F.coalesce(F.col("part"), F.lit(0)) if "part" in requests.columns else F.lit(0)
     return requests.select(
-        "book_id", "target_language", "output_format",
-        F.posexplode("chapters").alias("ordinal", "ch"),
-    ).select("book_id", F.col("ch.id").alias("id"), F.col("ordinal").cast("bigint"),
+        "book_id", "target_language", "output_format", part.alias("_part"),
+        F.posexplode("chapters").alias("pos", "ch"),
+    ).select("book_id", F.col("ch.id").alias("id"),
+             (F.col("_part") * part_size + F.col("pos")).cast("bigint").alias("ordinal"),
              F.col("ch.content").alias("content"), "target_language", "output_format")
 
 
-def requests_from_chapters(chapters: DataFrame, target_language: str) -> DataFrame:
-    """Builds request rows from chapter rows (used to land test requests)."""
+def requests_from_chapters(chapters: DataFrame, target_language: str,
+                           part_size: int = PART_SIZE) -> DataFrame:
+    """Request rows from chapter rows (dense ordinals per book), at most ``part_size``
+    chapters per row, so no row gathers an unbounded book."""
     ch = F.array_sort(F.collect_list(F.struct("ordinal", "id", "content")))
-    return chapters.groupBy("book_id").agg(ch.alias("_c")).select(
-        F.col("book_id").cast("string").alias("book_id"),
+    part = F.floor(F.col("ordinal") / F.lit(part_size)).cast("bigint")
+    return chapters.groupBy("book_id", part.alias("part")).agg(ch.alias("_c")).select(
+        F.col("book_id").cast("string").alias("book_id"), "part",
         F.transform("_c", lambda x: F.struct(x["id"].alias("id"), x["content"].alias("content")))
         .alias("chapters"),
         F.lit(target_language).alias("target_language"))
