@@ -8,6 +8,7 @@ a task retry would call the model again for the whole partition.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Iterator, Protocol
 
 import pandas as pd
@@ -19,6 +20,7 @@ from ..session import ship_code
 from .chunking import CHAPTER_KEY
 
 RESULT_COLUMNS = "translated string, attempts int, wait_s bigint, error string"
+DEFAULT_CONCURRENCY = 8
 
 
 class Translator(Protocol):
@@ -124,19 +126,34 @@ def translate_one(tr: Translator, text, language: str, key, max_retries: int,
 
 
 def _worker(factory: Callable[[], Translator], text_col: str, lang_col: str, key_col: str | None,
-            max_retries: int, sleep: Callable[[float], None], strip_output: bool):
+            max_retries: int, sleep: Callable[[float], None], strip_output: bool,
+            concurrency: int = 1):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tr = factory()
-        for pdf in batches:
-            keys = pdf[key_col] if key_col else [None] * len(pdf)
-            res = [translate_one(tr, t, lang, k, max_retries, sleep, strip_output)
-                   for t, lang, k in zip(pdf[text_col], pdf[lang_col], keys)]
-            out = pdf.copy()
-            out["translated"] = [r[0] for r in res]
-            out["attempts"] = pd.array([r[1] for r in res], dtype="int32")
-            out["wait_s"] = pd.array([r[2] for r in res], dtype="int64")
-            out["error"] = [r[3] for r in res]
-            yield out
+        pool = ThreadPoolExecutor(max_workers=concurrency) if concurrency > 1 else None
+        try:
+            for pdf in batches:
+                yield _translate_batch(pdf, tr, pool)
+        finally:
+            if pool is not None:
+                pool.shutdown(wait=True)
+
+    def _translate_batch(pdf: pd.DataFrame, tr: Translator, pool) -> pd.DataFrame:
+        keys = pdf[key_col] if key_col else [None] * len(pdf)
+        args = list(zip(pdf[text_col], pdf[lang_col], keys))
+
+        def one(a):
+            return translate_one(tr, a[0], a[1], a[2], max_retries, sleep, strip_output)
+
+        # Calls are I/O bound: up to ``concurrency`` in flight per task, results in row order.
+        res = list(pool.map(one, args)) if pool is not None else [one(a) for a in args]
+        out = pdf.copy()
+        out["translated"] = [r[0] for r in res]
+        out["attempts"] = pd.array([r[1] for r in res], dtype="int32")
+        out["wait_s"] = pd.array([r[2] for r in res], dtype="int64")
+        out["error"] = [r[3] for r in res]
+        return out
+
     return run
 
 
@@ -144,7 +161,8 @@ def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Tr
                      *, target_language: str | Column = C.DEFAULT_TARGET_LANGUAGE,
                      max_retries: int = C.MAX_RETRIES, key_col: str | None = None,
                      parallelism: int | None = None, sleep: Callable[[float], None] | None = None,
-                     strip_output: bool = True, jvm: bool = False) -> DataFrame:
+                     strip_output: bool = True, jvm: bool = False,
+                     concurrency: int = DEFAULT_CONCURRENCY) -> DataFrame:
     """Adds ``translated, attempts, wait_s, error`` to every chunk row.
 
     * Chunks are spread by a hash of their identity over ``parallelism`` tasks before
@@ -154,6 +172,9 @@ def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Tr
       as a Column expression with no Python worker.
     * ``sleep`` defaults to real waiting; tests and fault injection pass a no-op and
       read the waits from ``wait_s``.
+    * ``concurrency`` calls are in flight per task (threads; model calls wait on I/O), so
+      the cluster has at most ``parallelism x concurrency`` open calls.  The translator
+      object is shared by the threads of a worker and must be thread-safe.
     """
     tr = translator if translator is not None else MockTranslator()
     lang = target_language if isinstance(target_language, Column) else F.lit(target_language)
@@ -177,7 +198,7 @@ def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Tr
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema.fields)
     schema = f"{schema}, {RESULT_COLUMNS}"
     fn = _worker(factory, "chunk", "target_language", key_col, max_retries,
-                 sleep or time.sleep, strip_output)
+                 sleep or time.sleep, strip_output, concurrency)
     return spread.mapInPandas(fn, schema)
 
 
