@@ -104,3 +104,14 @@ def test_blank_chapter_guard_and_limit(spark):
     assert got == {"b1": False, "b2": True}
     g = {r.book_id: r.accepted for r in validate.max_chapters_guard(ch, 1).collect()}
     assert g == {"b1": False, "b2": True}
+
+
+def test_pdf_magic_bytes(spark):
+    d = tempfile.mkdtemp(prefix="vellum-test-magic-")
+    for name, data in {"real.pdf": b"%PDF-1.7\n...", "fake.pdf": b"<html>"}.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    files = FS.scan_files(spark, d, glob="*.pdf")
+    got = {os.path.basename(r.path): r.ok for r in
+           files.select("path", validate.has_pdf_magic("content").alias("ok")).collect()}
+    assert got == {"real.pdf": True, "fake.pdf": False}

@@ -90,3 +90,11 @@ def test_prompts_name_the_language_twice(spark):
     assert p.messages[0].content.count("Alemão") == 2
     assert p.messages[1].content == "hello"
     assert (p.model, p.temperature, p.max_tokens) == (C.MODEL, 0.3, 4000)
+
+
+def test_glossary_translator_replaces_whole_words(spark):
+    g = spark.sparkContext.broadcast({"cat": "gato", "the cat": "o gato", "dog": "cão"})
+    ch = chapters_df(spark, [(1, "the cat saw a dog; concat stays"), (2, "Cat")])
+    out = translate.translate_chunks(chunking.chunk_chapters(ch), translate.GlossaryTranslator(g))
+    got = {r.id: r.translated for r in out.collect()}
+    assert got == {1: "o gato saw a cão; concat stays", 2: "Cat"}

@@ -61,6 +61,35 @@ class IdentityTranslator:
         return text
 
 
+class GlossaryTranslator:
+    """Replaces whole words found in a glossary (e.g. names that must stay fixed, or a
+    term list).  Pass a ``SparkContext.broadcast`` of the dict for a large glossary: it
+    then reaches each executor once instead of with every task."""
+
+    def __init__(self, glossary, case_sensitive: bool = True):
+        self.glossary = glossary
+        self.case_sensitive = case_sensitive
+        self._rx = None
+
+    def _table(self) -> dict:
+        g = self.glossary
+        return g.value if hasattr(g, "value") else g
+
+    def translate(self, text, target_language, *, key=None, attempt=1):
+        import regex
+        table = self._table()
+        if not table:
+            return text
+        if self._rx is None:
+            words = sorted(table, key=len, reverse=True)
+            flags = 0 if self.case_sensitive else regex.IGNORECASE
+            self._rx = regex.compile(r"\b(" + "|".join(regex.escape(w) for w in words) + r")\b", flags)
+            self._lookup = table if self.case_sensitive else {k.lower(): v for k, v in table.items()}
+        if self.case_sensitive:
+            return self._rx.sub(lambda m: self._lookup[m.group(0)], text)
+        return self._rx.sub(lambda m: self._lookup[m.group(0).lower()], text)
+
+
 class FlakyTranslator:
     """Fails the first ``failures(key)`` attempts of each chunk, then delegates."""
 

@@ -14,6 +14,12 @@ def is_pdf(content_type) -> Column:
     return ct.eqNullSafe(F.lit(C.PDF_CONTENT_TYPE))
 
 
+def has_pdf_magic(content) -> Column:
+    """Optional content test: the bytes start with ``%PDF`` (the declared type can lie)."""
+    c = F.col(content) if isinstance(content, str) else content
+    return F.substring(c, 1, 4) == F.lit(bytearray(b"%PDF"))
+
+
 def size_ok(length, max_size: int | Column) -> Column:
     """Rejected only when strictly larger than the limit."""
     ln = F.col(length) if isinstance(length, str) else length

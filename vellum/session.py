@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Translation calls are side effects: never run a speculative copy.
     "spark.speculation": "false",
+    # Remove checkpoint files of DataFrames that are no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
