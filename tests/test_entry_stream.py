@@ -51,3 +51,27 @@ def test_available_now_rerun_is_idempotent(spark):
         w = stream.conversation_chapters_stream(spark, SF).writeStream.format("parquet").option("path", sink)
         stream._drain(w, ckpt)
     assert spark.read.parquet(sink).count() == 87
+
+
+def test_replayed_batch_overwrites_its_output(spark):
+    from vellum.session import scratch_path
+    sink = scratch_path(spark, "t-replay")
+    ch = R.convs(spark, SF)
+    run = stream.translate_batches(sink)
+    run(ch, 0)
+    run(ch, 0)                                   # the same batch id again (replay after failure)
+    assert spark.read.parquet(sink).count() == 87
+
+
+def test_processing_time_pipeline_drains_landing(spark):
+    from vellum.session import scratch_path
+    landing = scratch_path(spark, "t-landing")
+    ch = R.convs(spark, SF).select("book_id", "id", "ordinal", "content")
+    ch.write.parquet(landing)
+    sink, ckpt = scratch_path(spark, "t-out"), scratch_path(spark, "t-ckpt")
+    q = stream.start_pipeline(spark, landing, sink, ckpt, ch.schema, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(sink).count() == 87
