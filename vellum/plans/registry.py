@@ -304,7 +304,7 @@ LANG_NAMES = {"en": "Inglês", "fr": "Francês", "de": "Alemão", "es": "Espanho
 def language_semi(spark, sf):
     """D3: documents whose language (as a UI name) is in the UI list: semi and anti."""
     d = TB.read(spark, sf, "documents")
-    name = TB._case(F.col("lang"), LANG_NAMES)
+    name = TB.case_map(F.col("lang"), LANG_NAMES)
     req = d.select("doc_id", name.alias("language"))
     dim = F.broadcast(O.languages(spark).select("language"))      # fixed 8 rows
     yes = req.join(dim, "language", "left_semi").withColumn("supported", F.lit(True))

@@ -49,7 +49,7 @@ MESSAGE_OF_STATUS = {
 }
 
 
-def _case(col, mapping: dict, default=None):
+def case_map(col, mapping: dict, default=None):
     expr = None
     for k, v in mapping.items():
         expr = (F.when(col == k, F.lit(v)) if expr is None else expr.when(col == k, F.lit(v)))
@@ -62,13 +62,13 @@ def event_format(value) -> F.Column:
 
 def job_event_columns() -> list:
     """Projection of an ``events`` row onto a job event (batch and stream alike)."""
-    status = _case(F.col("event_type"), STATUS_OF_EVENT)
+    status = case_map(F.col("event_type"), STATUS_OF_EVENT)
     return [
         F.col("user_id").alias("job_id"), F.col("event_id"), F.col("ts"),
         status.alias("status"),
-        _case(status, dict(C.PROGRESS)).cast("double").alias("progress"),
+        case_map(status, dict(C.PROGRESS)).cast("double").alias("progress"),
         F.when(status == C.STATUS_ERROR, F.concat(F.lit(C.MSG_ERROR_PREFIX), F.col("props")))
-         .otherwise(_case(status, MESSAGE_OF_STATUS)).alias("message"),
+         .otherwise(case_map(status, MESSAGE_OF_STATUS)).alias("message"),
         F.when(status == C.STATUS_COMPLETED,
                F.concat(F.lit(C.OUTPUT_DIR + "/"), F.col("user_id").cast("string"), F.lit("."),
                         event_format(F.col("value")))).alias("file_path"),
