@@ -10,8 +10,12 @@ events), so the scan runs in two levels:
    once with ``checkpoint``: the two consumers below must see the same assignment,
    and two separately planned range exchanges could sample different bounds.
 2. Inside a block, a window over ``(block, group)`` gives block-local results.
-3. Only the first group of a block can continue from an earlier block, so the
-   fix-up table has at most ``n`` rows: that bound is what allows ``broadcast``.
+3. Per (block, group), a small table carries the offsets from the group's earlier
+   blocks and the group totals (a group spans at most ``n`` blocks).  It is joined on
+   (block, group): balanced even for a hot group, and already the partitioning of the
+   block-local window, so the large side is not shuffled again.  For ``lag`` only the
+   first group of a block continues from an earlier block, so that fix-up table has at
+   most ``n`` rows: a bound that allows ``broadcast``.
 
 ``bounded=True`` (groups known to be small, e.g. books that passed the chapter
 limit) uses a plain window instead: one shuffle instead of two.
@@ -66,25 +70,20 @@ def running_sums(df: DataFrame, group: list[str], order: list[str],
     wl = Window.partitionBy(_BLK, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = b.withColumns({k: F.coalesce(F.sum(f"_w_{k}").over(wl), F.lit(0)) for k in weights})
 
+    # One row per (block, group): offsets from the earlier blocks of the group and the
+    # group totals.  A group has at most n such rows, so these windows are small.
     tot = b.groupBy(_BLK, *group).agg(*[F.sum(f"_w_{k}").alias(f"_t_{k}") for k in weights])
-    wt = Window.partitionBy(*group).orderBy(_BLK)
-    wprev = wt.rowsBetween(Window.unboundedPreceding, -1)
-    off = (tot.select(_BLK, *group,
-                      F.row_number().over(wt).alias("_pos"),
+    wprev = Window.partitionBy(*group).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*group)
+    info = tot.select(_BLK, *group,
                       *[F.coalesce(F.sum(f"_t_{k}").over(wprev), F.lit(0)).alias(f"_o_{k}")
-                        for k in weights])
-              .where(F.col("_pos") > 1)           # continuing groups only: <= n rows
-              .drop("_pos"))
-    out = local.join(F.broadcast(off), [_BLK, *group], "left")
-    out = out.withColumns({k: F.col(k) + F.coalesce(F.col(f"_o_{k}"), F.lit(0)) for k in weights})
-    out = out.drop(_BLK, *wcols, *[f"_o_{k}" for k in weights])
-    if totals:
-        # One row per group from the per-block totals (at most n rows per group);
-        # the join back is on the group key (AQE splits a skewed group).
-        g = tot.groupBy(*group).agg(*[F.sum(f"_t_{k}").cast("bigint").alias(t)
-                                      for t, k in totals.items()])
-        out = out.join(g, group)
-    return out
+                        for k in weights],
+                      *[F.sum(f"_t_{k}").over(wall).cast("bigint").alias(t) for t, k in totals.items()])
+    # Joined on (block, group): balanced even for a hot group, and the same key as the
+    # local window's partitioning, so the large side is not shuffled again.
+    out = local.join(info, [_BLK, *group], "inner")
+    out = out.withColumns({k: F.col(k) + F.col(f"_o_{k}") for k in weights})
+    return out.drop(_BLK, *wcols, *[f"_o_{k}" for k in weights])
 
 
 def previous_values(df: DataFrame, group: list[str], order: list[str],
