@@ -98,3 +98,15 @@ def test_glossary_translator_replaces_whole_words(spark):
     out = translate.translate_chunks(chunking.chunk_chapters(ch), translate.GlossaryTranslator(g))
     got = {r.id: r.translated for r in out.collect()}
     assert got == {1: "o gato saw a cão; concat stays", 2: "Cat"}
+
+
+def test_flagship_drops_books_with_a_failed_chunk(spark):
+    a = chapters_df(spark, [(1, "ok one"), (2, "ok two")], book="good")
+    b = chapters_df(spark, [(1, "fine"), (2, "FAIL here")], book="bad")
+    ch = a.unionByName(b).withColumn("fk", F.concat_ws("-", "book_id", F.col("id").cast("string")))
+    tr = translate.FlakyTranslator(translate.fail_listed({"bad-2"}, 9))
+    pages = pipeline.flagship(ch, tr, key_col="fk", sleep=translate.no_sleep).collect()
+    assert sorted((r.book_id, r.id, r.page_no) for r in pages) == [("good", 1, 1), ("good", 2, 2)]
+    t = pipeline.translate_books(ch, tr, key_col="fk", sleep=translate.no_sleep)
+    assert sorted((r.book_id, r.page_no) for r in pipeline.numbered_pages(t).collect()) == \
+        [("good", 1), ("good", 2)]

@@ -63,14 +63,21 @@ POSITION_COLUMNS = ["n_chapters", "ch_idx", "pages_before", "docx_before", "pdf_
 
 def scan_positions(slim: DataFrame, *, bounded: bool = False, blocks: int | None = None) -> DataFrame:
     """Running positions from slim chapter rows (chapter key, ``n_pages``, ``n_paras``):
-    no text involved.  Adds ``n_chapters`` and ``POSITION_COLUMNS``."""
-    scanned = running_sums(
-        slim, ["book_id"], ORDER,
-        {"ch_idx": F.lit(1),
-         "pages_before": F.col("n_pages"),
-         "docx_before": 1 + 3 * F.col("n_pages"),
-         "_pdf_w": 2 + 2 * F.col("n_paras")},
-        bounded=bounded, blocks=blocks, totals={"n_chapters": "ch_idx"})
+    no text involved.  Adds ``n_chapters`` and ``POSITION_COLUMNS``.  With a ``failed``
+    column, books with any failed chapter are dropped here, from the scan's own group
+    totals: no join on the book key (a hot book never meets in one task)."""
+    weights = {"ch_idx": F.lit(1),
+               "pages_before": F.col("n_pages"),
+               "docx_before": 1 + 3 * F.col("n_pages"),
+               "_pdf_w": 2 + 2 * F.col("n_paras")}
+    totals = {"n_chapters": "ch_idx"}
+    if "failed" in slim.columns:
+        weights["_bad"] = F.when(F.col("failed"), 1).otherwise(0)
+        totals["_n_bad"] = "_bad"
+    scanned = running_sums(slim, ["book_id"], ORDER, weights, bounded=bounded, blocks=blocks,
+                           totals=totals)
+    if "failed" in slim.columns:
+        scanned = scanned.where(F.col("_n_bad") == 0)
     return scanned.select(
         *CHAPTER_KEY, "n_pages", "n_paras", "n_chapters",
         F.col("ch_idx").cast("int").alias("ch_idx"),
@@ -79,7 +86,7 @@ def scan_positions(slim: DataFrame, *, bounded: bool = False, blocks: int | None
 
 
 def chapter_positions(chapters: DataFrame, *, bounded: bool = False,
-                      keep_books: DataFrame | None = None, paragraphs: bool = False,
+                      drop_failed_books: bool = False, paragraphs: bool = False,
                       chars_per_page: int = C.CHARS_PER_PAGE,
                       max_pages: int = C.MAX_PAGES_PER_CHAPTER,
                       blocks: int | None = None) -> DataFrame:
@@ -90,12 +97,11 @@ def chapter_positions(chapters: DataFrame, *, bounded: bool = False,
 
     The running sums are computed on a slim projection (keys and counts, no text) and
     joined back on the chapter key, so the text crosses at most one shuffle here.
-    ``keep_books`` (book ids) filters on the slim side only; the inner join drops the
-    rest."""
+    ``drop_failed_books`` (needs a ``failed`` column) drops every book with a failed
+    chapter on the slim side; the inner join drops their text."""
     shaped = chapter_shape(chapters, chars_per_page, max_pages, paragraphs=paragraphs)
-    slim = shaped.select(*CHAPTER_KEY, "n_pages", "n_paras")
-    if keep_books is not None:
-        slim = slim.join(keep_books, "book_id", "left_semi")
+    slim = shaped.select(*CHAPTER_KEY, "n_pages", "n_paras",
+                         *(["failed"] if drop_failed_books else []))
     pos = scan_positions(slim, bounded=bounded, blocks=blocks).drop("n_pages", "n_paras")
     return shaped.join(pos, CHAPTER_KEY)
 

@@ -52,14 +52,15 @@ def translate_books(chapters: DataFrame, translator=None, opts: C.PipelineOption
 
 def numbered_pages(t: Translated, opts: C.PipelineOptions = C.PipelineOptions(),
                    *, bounded: bool = False) -> DataFrame:
-    pos = layout.chapter_positions(t.all_chapters, bounded=bounded, keep_books=t.ok_books,
+    pos = layout.chapter_positions(t.all_chapters, bounded=bounded, drop_failed_books=True,
                                    chars_per_page=opts.chars_per_page, max_pages=opts.max_pages)
     pages = layout.page_rows(pos, opts.chars_per_page, opts.max_pages)
     return pages.select("book_id", "id", "page_idx", "page_no", "align", "has_break", "text")
 
 
 def flagship(chapters: DataFrame, translator=None,
-             opts: C.PipelineOptions = C.PipelineOptions(), *, bounded: bool = False) -> DataFrame:
+             opts: C.PipelineOptions = C.PipelineOptions(), *, bounded: bool = False,
+             key_col: str | None = None, sleep=None) -> DataFrame:
     """The numbered pages of every translated book (DOCX pagination).
 
     Shuffles of text: source chunks once (spread over the translator tasks), translated
@@ -67,21 +68,21 @@ def flagship(chapters: DataFrame, translator=None,
     come from a slim aggregate of their lengths (a chapter's length is the sum of its
     translated chunks plus the newlines between them) and are joined to the chunks
     before the reassembly exchange, which then carries them at no extra shuffle."""
-    chunks = chunking.chunk_chapters(chapters, opts.chunk_size)
+    chunks = chunking.chunk_chapters(chapters, opts.chunk_size, carry=[key_col] if key_col else None)
     tr = translate.translate_chunks(chunks, translator, target_language=opts.target_language,
-                                    max_retries=opts.max_retries)
+                                    max_retries=opts.max_retries, key_col=key_col, sleep=sleep)
     tr = _materialize(tr)
     per_ch = tr.groupBy(*chunking.CHAPTER_KEY).agg(
         (F.sum(F.length("translated")) + F.count("*") - 1).alias("n_out"),
         F.bool_or(F.col("error").isNotNull()).alias("failed"))
-    ok = per_ch.groupBy("book_id").agg(F.bool_or("failed").alias("failed")) \
-               .where(~F.col("failed")).select("book_id")
     pages = F.ceil(F.col("n_out") / F.lit(opts.chars_per_page))
-    slim = per_ch.join(ok, "book_id", "left_semi").select(
-        *chunking.CHAPTER_KEY, F.least(pages, F.lit(opts.max_pages)).cast("int").alias("n_pages"),
-        F.lit(0).alias("n_paras"))
-    pos = layout.scan_positions(slim, bounded=bounded)
-    joined = tr.join(pos, chunking.CHAPTER_KEY)
+    slim = per_ch.select(
+        *chunking.CHAPTER_KEY, F.coalesce(F.least(pages, F.lit(opts.max_pages)), F.lit(0))
+        .cast("int").alias("n_pages"), F.lit(0).alias("n_paras"), "failed")
+    pos = layout.scan_positions(slim, bounded=bounded)      # also drops books with a failed chunk
+    joined = tr.join(pos.drop("failed"), chunking.CHAPTER_KEY)
+    if key_col:
+        joined = joined.drop(key_col)
     chapters_out = chunking.reassemble(joined, carry=["n_pages", *layout.POSITION_COLUMNS])
     out = layout.page_rows(chapters_out, opts.chars_per_page, opts.max_pages)
     return out.select("book_id", "id", "page_idx", "page_no", "align", "has_break", "text")
@@ -96,7 +97,7 @@ def run_jobs(chapters: DataFrame, translator=None, opts: C.PipelineOptions = C.P
     job_rows = jobs.submit_jobs(books, "chapters", opts.target_language, opts.output_format)
     t = translate_books(ok, translator, opts, key_col=key_col, sleep=sleep)
     events = jobs.lifecycle_events(job_rows, t.outcomes)
-    pos = layout.chapter_positions(t.all_chapters, bounded=True, keep_books=t.ok_books,
+    pos = layout.chapter_positions(t.all_chapters, bounded=True, drop_failed_books=True,
                                    paragraphs=opts.output_format == "pdf",
                                    chars_per_page=opts.chars_per_page, max_pages=opts.max_pages)
     if opts.output_format == "pdf":
