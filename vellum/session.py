@@ -78,10 +78,12 @@ def ship_code(spark: SparkSession) -> None:
     """Make this package importable in the Python workers (once per SparkContext).
 
     Stages that run Python (translator, pluggable extractor, stream state) pickle
-    functions by reference to this package; ``addPyFile`` distributes a zip of it
-    through Spark itself, as ``--py-files`` would."""
+    functions by reference to this package.  On a cluster the package is shipped at
+    submit time (``--py-files vellum.zip``, i.e. ``spark.submit.pyFiles``) and nothing
+    is written here.  A local-mode session (tests, bench) gets a zip of it through
+    ``addPyFile``, as ``--py-files`` would."""
     sc = spark.sparkContext
-    if getattr(sc, "_vellum_shipped", False):
+    if getattr(sc, "_vellum_shipped", False) or not sc.master.startswith("local"):
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
