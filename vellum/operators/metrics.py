@@ -21,16 +21,18 @@ def chapter_lists(chapters: DataFrame) -> DataFrame:
 
 def layout_counts(positioned: DataFrame) -> DataFrame:
     """Per book: chapters, DOCX pages, PDF paragraphs, and the element counts of both
-    layouts (the last page of a book has no break; every chapter but the first
-    starts with a PDF page break)."""
+    layouts (only a page of the book's last chapter in (id, ordinal) order can go without
+    a break, so a book ending in an empty chapter keeps all its breaks; every chapter but
+    the first starts with a PDF page break)."""
     g = positioned.groupBy("book_id").agg(
         F.count("*").alias("n_chapters"),
         F.sum("n_pages").cast("bigint").alias("n_pages"),
-        F.sum("n_paras").cast("bigint").alias("n_paragraphs"))
+        F.sum("n_paras").cast("bigint").alias("n_paragraphs"),
+        F.max_by("n_pages", F.struct("id", "ordinal")).alias("_last_pages"))
     return g.select(
         "book_id", "n_chapters", "n_pages", "n_paragraphs",
         (F.col("n_chapters") + 3 * F.col("n_pages")
-         - F.when(F.col("n_pages") > 0, 1).otherwise(0)).alias("docx_elements"),
+         - F.when(F.col("_last_pages") > 0, 1).otherwise(0)).alias("docx_elements"),
         (3 * F.col("n_chapters") - 1 + 2 * F.col("n_paragraphs")).alias("pdf_elements"))
 
 

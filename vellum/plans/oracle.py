@@ -359,14 +359,16 @@ SQL["chapter_length_lists"] = f"""select book_id, string_agg(cast(id as varchar)
 from ({CONV_CH}) where book_id in (select conv_id from conversations group by 1 having count(*) <= {C.MAX_CHAPTERS})
 group by book_id"""
 SQL["next_chapter_id"] = "select source as book_id, max(doc_id) + 1 as next_id from documents group by 1"
-SQL["layout_counts"] = f"""with ch as ({paragraphed(DOC_CH)}),
+SQL["layout_counts"] = f"""with ch as ({blanked(paragraphed(DOC_CH), 7, '')}),
 pc as (select book_id, ordinal, count(*) filter (where not {blank('para')}) as nb from
   (select book_id, ordinal, unnest(string_split(content, {NL2})) as para from ch) group by all),
-c as (select ch.book_id, cast(least(ceil(length(content) / 3000.0), 10) as bigint) as n_pages, coalesce(pc.nb, 0) as nb
+c as (select ch.book_id, cast(least(ceil(length(content) / 3000.0), 10) as bigint) as n_pages, coalesce(pc.nb, 0) as nb,
+  row_number() over (partition by ch.book_id order by ch.id desc, ch.ordinal desc) as rlast
   from ch left join pc using (book_id, ordinal)),
-g as (select book_id, count(*) as n_chapters, sum(n_pages) as n_pages, sum(nb) as n_paragraphs from c group by 1)
+g as (select book_id, count(*) as n_chapters, sum(n_pages) as n_pages, sum(nb) as n_paragraphs,
+  max(case when rlast = 1 then n_pages end) as last_pages from c group by 1)
 select book_id, n_chapters, cast(n_pages as bigint) as n_pages, cast(n_paragraphs as bigint) as n_paragraphs,
-  cast(n_chapters + 3 * n_pages - case when n_pages > 0 then 1 else 0 end as bigint) as docx_elements,
+  cast(n_chapters + 3 * n_pages - case when last_pages > 0 then 1 else 0 end as bigint) as docx_elements,
   cast(3 * n_chapters - 1 + 2 * n_paragraphs as bigint) as pdf_elements from g"""
 SQL["extraction_summary"] = f"""with l as (select id as file, unnest(string_split(content, chr(10))) as text
   from ({paragraphed(DOC_CH)}))
