@@ -4,7 +4,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vellum import config as C
-from vellum.operators import jobs
+from vellum.operators import jobs, layout, metrics
+
+from conftest import chapters_df
 
 T0 = dt.datetime(2024, 1, 1, 0, 0, 0)
 SCHEMA = ("job_id bigint, event_id bigint, ts timestamp_ntz, status string, progress double, "
@@ -86,3 +88,55 @@ def test_submit_and_progress(spark):
     assert (f.status, f.target_language) == ("pending", None)
     body = jobs.submission_response(jobs.submit_jobs(books, "files", "Português", "docx")).first().body
     assert '"chapters_extracted":3' in body and '"status":"pending"' in body
+
+
+def test_lifecycle_events_for_a_good_and_a_failed_book(spark):
+    books = spark.createDataFrame([("ok", 2), ("bad", 1)], "book_id string, n_chapters bigint")
+    job_rows = jobs.submit_jobs(books, "chapters", "Português", "pdf")
+    outcomes = spark.createDataFrame([("ok", False, None), ("bad", True, "boom")],
+                                     "book_id string, failed boolean, error string")
+    ids = {r.book_id: r.job_id for r in job_rows.collect()}
+    ev_rows = jobs.lifecycle_events(job_rows, outcomes).collect()
+    by_job = {}
+    for r in sorted(ev_rows, key=lambda r: r.seq):
+        by_job.setdefault(r.job_id, []).append(r)
+    assert [r.status for r in by_job[ids["ok"]]] == ["queued", "translating", "formatting", "completed"]
+    assert [r.status for r in by_job[ids["bad"]]] == ["queued", "translating", "error"]
+    assert by_job[ids["bad"]][-1].message.endswith("boom") and by_job[ids["bad"]][-1].progress is None
+    done = by_job[ids["ok"]][-1]
+    assert done.progress == 1.0 and done.file_path.endswith(f"{ids['ok']}.pdf")
+    # the events reduce to the terminal state
+    st = {r.job_id: r.status for r in jobs.latest_state(
+        job_rows.select("job_id").join(jobs.lifecycle_events(job_rows, outcomes), "job_id")
+        .withColumn("event_id", F.col("seq").cast("bigint"))
+        .withColumn("ts", F.lit(T0) + F.make_interval(secs=F.col("seq")))
+        .withColumn("current_chapter", F.lit(None).cast("int"))
+        .withColumn("total_chapters", F.lit(None).cast("int"))).collect()}
+    assert st == {ids["ok"]: "completed", ids["bad"]: "error"}
+
+
+def test_run_log_first_last_and_elapsed(spark):
+    got = {r.job_id: (r.n_events, r.first_status, r.last_status, r.elapsed_text)
+           for r in metrics.run_log(fx_jobs(spark)).collect()}
+    assert got[1] == (4, "queued", "completed", "6.0000")
+    assert got[5] == (2, "queued", "translating", "0.0000")       # same ts: event id orders
+
+
+def test_stage_durations_blocked_equal_plain_window(spark):
+    cols = ["job_id", "event_id", "prev_status", "duration_text"]
+    a = jobs.stage_durations(fx_jobs(spark), bounded=False).select(*cols).collect()
+    b = jobs.stage_durations(fx_jobs(spark), bounded=True).select(*cols).collect()
+    assert sorted(a, key=str) == sorted(b, key=str)
+
+
+def test_translate_progress_per_chapter(spark):
+    pos = layout.chapter_positions(chapters_df(spark, [(3, "c"), (1, "a"), (2, "b"), (4, "d")]))
+    got = sorted((r.id, round(r.progress, 9), r.current_chapter)
+                 for r in jobs.translate_progress(pos).collect())
+    assert got == [(1, 0.1, 1), (2, 0.25, 2), (3, 0.4, 3), (4, 0.55, 4)]
+
+
+def test_metrics_long_stacks_columns(spark):
+    wide = spark.createDataFrame([("b", 2, 5)], "book_id string, n_chapters int, n_pages bigint")
+    got = sorted((r.metric, r.value) for r in metrics.metrics_long(wide, ["n_chapters", "n_pages"]).collect())
+    assert got == [("n_chapters", 2), ("n_pages", 5)]
