@@ -110,3 +110,33 @@ def test_flagship_drops_books_with_a_failed_chunk(spark):
     t = pipeline.translate_books(ch, tr, key_col="fk", sleep=translate.no_sleep)
     assert sorted((r.book_id, r.page_no) for r in pipeline.numbered_pages(t).collect()) == \
         [("good", 1), ("good", 2)]
+
+
+
+def counting_translator(log):
+    """Mock-like output; each call appends a line to ``log`` (calls counted across workers)."""
+    def f(text, target_language):
+        with open(log, "a") as fh:
+            fh.write("x\n")
+        return f"{target_language}: {text[:20]}"
+    return translate.FunctionTranslator(f)
+
+
+def test_dedupe_calls_once_per_distinct_chunk_and_keeps_every_row(spark, tmp_path):
+    long = "".join(chr(65 + i % 26) for i in range(9000))          # 3 chunks, all different
+    a = chapters_df(spark, [(1, long), (2, "same"), (3, "  ")], book="a")
+    b = chapters_df(spark, [(1, long), (2, "same"), (3, "other")], book="b")
+    ch = chunking.chunk_chapters(a.unionByName(b))
+    logs = [str(tmp_path / "dedupe.log"), str(tmp_path / "plain.log")]
+    out = translate.translate_chunks(ch, counting_translator(logs[0]), dedupe=True)
+    plain = translate.translate_chunks(ch, counting_translator(logs[1]))
+    cols = ["book_id", "id", "chunk_idx", "chunk", "translated", "attempts", "error"]
+    assert sorted(out.select(*cols).collect()) == sorted(plain.select(*cols).collect())
+    assert out.count() == ch.count() == 10
+    # distinct non-blank chunks: 3 of the long chapter, "same", "other"; a blank one is no call
+    assert len(open(logs[0]).read().splitlines()) == 5
+    assert len(open(logs[1]).read().splitlines()) == 9
+    opts = C.PipelineOptions(dedupe=True)
+    fast = pipeline.flagship(a.unionByName(b), translate.MockTranslator(), opts)
+    slow = pipeline.flagship(a.unionByName(b), translate.MockTranslator())
+    assert sorted(fast.collect()) == sorted(slow.collect())

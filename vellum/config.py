@@ -160,6 +160,7 @@ class PipelineOptions:
     max_retries: int = MAX_RETRIES
     target_language: str = DEFAULT_TARGET_LANGUAGE
     output_format: str = "docx"
+    dedupe: bool = False        # one model call per distinct (language, chunk text)
     limits: Limits = field(default_factory=Limits)
     model: ModelOptions = field(default_factory=ModelOptions)
 

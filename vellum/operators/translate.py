@@ -191,7 +191,7 @@ def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Tr
                      max_retries: int = C.MAX_RETRIES, key_col: str | None = None,
                      parallelism: int | None = None, sleep: Callable[[float], None] | None = None,
                      strip_output: bool = True, jvm: bool = False,
-                     concurrency: int = DEFAULT_CONCURRENCY) -> DataFrame:
+                     concurrency: int = DEFAULT_CONCURRENCY, dedupe: bool = False) -> DataFrame:
     """Adds ``translated, attempts, wait_s, error`` to every chunk row.
 
     * Chunks are spread by a hash of their identity over ``parallelism`` tasks before
@@ -204,6 +204,9 @@ def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Tr
     * ``concurrency`` calls are in flight per task (threads; model calls wait on I/O), so
       the cluster has at most ``parallelism x concurrency`` open calls.  The translator
       object is shared by the threads of a worker and must be thread-safe.
+    * ``dedupe=True`` calls the model once per distinct (target language, chunk text):
+      equal chunks (copied documents, boilerplate) share one call, whose ``attempts`` and
+      ``wait_s`` every copy reports.  See ``translate_distinct``.
     """
     tr = translator if translator is not None else MockTranslator()
     lang = target_language if isinstance(target_language, Column) else F.lit(target_language)
@@ -223,12 +226,38 @@ def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Tr
     ship_code(df.sparkSession)
     factory = tr if (callable(tr) and not hasattr(tr, "translate")) else (lambda t=tr: t)
     n = parallelism or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    spread = df.repartition(n, *[F.col(c) for c in CHAPTER_KEY], F.col("chunk_idx"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema.fields)
-    schema = f"{schema}, {RESULT_COLUMNS}"
     fn = _worker(factory, "chunk", "target_language", key_col, max_retries,
                  sleep or time.sleep, strip_output, concurrency)
-    return spread.mapInPandas(fn, schema)
+    if dedupe:
+        if key_col:
+            raise ValueError("dedupe shares one call among equal chunks: no per-row key_col")
+        return translate_distinct(df, fn, n)
+    spread = df.repartition(n, *[F.col(c) for c in CHAPTER_KEY], F.col("chunk_idx"))
+    return spread.mapInPandas(fn, _result_schema(spread))
+
+
+def _result_schema(df: DataFrame) -> str:
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return f"{cols}, {RESULT_COLUMNS}"
+
+
+def translate_distinct(df: DataFrame, fn, n: int) -> DataFrame:
+    """One call per distinct (target_language, chunk), joined back to every chunk row.
+
+    * The distinct step is an aggregate on a SHA-256 of the pair, combined map-side, so a
+      chunk repeated in a third of all rows reaches the reducer once per map task.
+    * The distinct chunks are spread over ``n`` tasks (explicit count, as without dedupe)
+      and the translations written once (``materialize``): they are the expensive output,
+      and the join back may be recomputed without calling the model again.
+    * The join back on the hash is an equi-join whose one-row-per-key side AQE broadcasts
+      when small; a hot key on the chunk side is split by AQE's skew join."""
+    from ..session import materialize
+    keyed = df.withColumn("_ck", F.sha2(F.concat_ws("\u0000", "target_language", "chunk"), 256))
+    uniq = keyed.groupBy("_ck").agg(F.any_value("chunk").alias("chunk"),
+                                    F.any_value("target_language").alias("target_language"))
+    spread = uniq.repartition(n, "_ck")
+    done = materialize(spread.mapInPandas(fn, _result_schema(spread)).drop("chunk", "target_language"))
+    return keyed.join(done, "_ck").drop("_ck")
 
 
 def book_outcomes(chapters: DataFrame) -> DataFrame:

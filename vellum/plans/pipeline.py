@@ -39,7 +39,7 @@ def translate_books(chapters: DataFrame, translator=None, opts: C.PipelineOption
     chunks = chunking.chunk_chapters(chapters, opts.chunk_size, carry=carry)
     tr = translate.translate_chunks(chunks, translator, target_language=opts.target_language,
                                     max_retries=opts.max_retries, key_col=key_col, jvm=jvm,
-                                    sleep=sleep, parallelism=parallelism)
+                                    sleep=sleep, parallelism=parallelism, dedupe=opts.dedupe)
     keep = [c for c in carry if c != key_col]
     all_ch = chunking.reassemble(tr, carry=keep)
     if materialize is None:
@@ -70,7 +70,8 @@ def flagship(chapters: DataFrame, translator=None,
     before the reassembly exchange, which then carries them at no extra shuffle."""
     chunks = chunking.chunk_chapters(chapters, opts.chunk_size, carry=[key_col] if key_col else None)
     tr = translate.translate_chunks(chunks, translator, target_language=opts.target_language,
-                                    max_retries=opts.max_retries, key_col=key_col, sleep=sleep)
+                                    max_retries=opts.max_retries, key_col=key_col, sleep=sleep,
+                                    dedupe=opts.dedupe)
     tr = _materialize(tr)
     per_ch = tr.groupBy(*chunking.CHAPTER_KEY).agg(
         (F.sum(F.length("translated")) + F.count("*") - 1).alias("n_out"),
