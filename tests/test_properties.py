@@ -44,3 +44,31 @@ def test_layout_is_independent_of_input_order(spark):
         return sorted(d), sorted(p)
 
     assert stream(rows) == stream(shuffled)
+
+
+GROUPS = st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b", "c"]),
+                            st.integers(0, 9)), min_size=1, max_size=120)
+
+
+@settings(max_examples=5, deadline=None)
+@given(GROUPS, st.integers(1, 9))
+def test_blocked_scan_equals_python_prefix_sums(spark, rows, blocks):
+    from vellum.operators.scan import previous_values, running_sums
+    data = [(g, i, w) for i, (g, w) in enumerate(rows)]         # order key i is unique
+    df = spark.createDataFrame(data, "g string, o int, w int")
+    got = {(r.g, r.o): (r.s, r.n, r.total) for r in running_sums(
+        df, ["g"], ["o"], {"s": F.col("w"), "n": F.lit(1)}, blocks=blocks,
+        totals={"total": "s"}).collect()}
+    lag = {(r.g, r.o): r.pw for r in previous_values(df, ["g"], ["o"], {"pw": "w"},
+                                                     blocks=blocks).collect()}
+    want, want_lag, seen = {}, {}, {}
+    totals = {}
+    for g, o, w in data:
+        totals[g] = totals.get(g, 0) + w
+    for g, o, w in data:
+        s, n, prev = seen.get(g, (0, 0, None))
+        want[(g, o)] = (s, n, totals[g])
+        want_lag[(g, o)] = prev
+        seen[g] = (s + w, n + 1, w)
+    assert got == want
+    assert lag == want_lag
