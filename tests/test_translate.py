@@ -140,3 +140,20 @@ def test_dedupe_calls_once_per_distinct_chunk_and_keeps_every_row(spark, tmp_pat
     fast = pipeline.flagship(a.unionByName(b), translate.MockTranslator(), opts)
     slow = pipeline.flagship(a.unionByName(b), translate.MockTranslator())
     assert sorted(fast.collect()) == sorted(slow.collect())
+
+
+def test_each_chunk_reaches_the_model_once_across_branches(spark, tmp_path):
+    long = "lorem ipsum " * 900                                      # 3 chunks
+    ch = chapters_df(spark, [(1, long), (2, "two"), (3, "")], book="a").unionByName(
+        chapters_df(spark, [(1, "solo")], book="b"))
+    log = str(tmp_path / "calls.log")
+    t = pipeline.translate_books(ch, counting_translator(log))
+    t.outcomes.collect()
+    t.chapters.collect()
+    pipeline.numbered_pages(t).collect()
+    t.all_chapters.count()
+    assert len(open(log).read().splitlines()) == 5                 # 3 + "two" + "solo"; "" is no call
+    pages = pipeline.flagship(ch, counting_translator(str(tmp_path / "flag.log")))
+    pages.collect()
+    pages.count()
+    assert len(open(tmp_path / "flag.log").read().splitlines()) == 5
