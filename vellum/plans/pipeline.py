@@ -72,7 +72,9 @@ def flagship(chapters: DataFrame, translator=None,
     tr = translate.translate_chunks(chunks, translator, target_language=opts.target_language,
                                     max_retries=opts.max_retries, key_col=key_col, sleep=sleep,
                                     dedupe=opts.dedupe)
-    tr = _materialize(tr)
+    # Only what the layout reads is written: not the source slice, not the language
+    # (at scale the source text would otherwise be written a second time).
+    tr = _materialize(tr.drop("chunk", "target_language"))
     per_ch = tr.groupBy(*chunking.CHAPTER_KEY).agg(
         (F.sum(F.length("translated")) + F.count("*") - 1).alias("n_out"),
         F.bool_or(F.col("error").isNotNull()).alias("failed"))
