@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import text as T
-from ..session import ship_code
+from ..session import materialize, ship_code
 from .chunking import CHAPTER_KEY
 
 RESULT_COLUMNS = "translated string, attempts int, wait_s bigint, error string"
@@ -251,7 +251,6 @@ def translate_distinct(df: DataFrame, fn, n: int) -> DataFrame:
       and the join back may be recomputed without calling the model again.
     * The join back on the hash is an equi-join whose one-row-per-key side AQE broadcasts
       when small; a hot key on the chunk side is split by AQE's skew join."""
-    from ..session import materialize
     keyed = df.withColumn("_ck", F.sha2(F.concat_ws("\u0000", "target_language", "chunk"), 256))
     uniq = keyed.groupBy("_ck").agg(F.any_value("chunk").alias("chunk"),
                                     F.any_value("target_language").alias("target_language"))
