@@ -55,7 +55,10 @@ def chapter_shape(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
                         lambda s: ~T.is_blank(s["p"]))
     # A chapter without content keeps its heading elements and gets no paragraph.
     nonblank = F.coalesce(nonblank, F.array().cast("array<struct<i:int,p:string>>"))
-    return base.withColumn("paras", nonblank).withColumn("n_paras", F.size("paras"))
+    # Counted on its own (no structs), so the slim scan input never builds ``paras``.
+    n_paras = F.size(F.coalesce(F.filter(T.split_paragraphs("content"), lambda p: ~T.is_blank(p)),
+                                F.array().cast("array<string>")))
+    return base.withColumns({"paras": nonblank, "n_paras": n_paras})
 
 
 POSITION_COLUMNS = ["n_chapters", "ch_idx", "pages_before", "docx_before", "pdf_before"]
