@@ -10,9 +10,10 @@ SF0001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from vellum.session import build_session
+    from vellum.session import build_session, clear_scratch
     s = build_session("local[*]", shuffle_partitions=8)
     yield s
+    clear_scratch(s)
     s.stop()
 
 

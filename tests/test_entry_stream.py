@@ -40,8 +40,6 @@ def test_stream_state_equals_batch_and_replay_adds_nothing(spark):
     s = {r.job_id: (r.status, r.progress, r.file_path) for r in stream.job_state_query(spark, SF).collect()}
     b = {r.job_id: (r.status, r.progress, r.file_path) for r in R.latest_job_state(spark, SF).collect()}
     assert s == b
-    t = sorted((r.book_id, r.id, r.content) for r in stream.translate_query(spark, SF).collect())
-    assert len(t) == 87
 
 
 def test_available_now_rerun_is_idempotent(spark):
@@ -53,25 +51,59 @@ def test_available_now_rerun_is_idempotent(spark):
     assert spark.read.parquet(sink).count() == 87
 
 
+def _requests(spark):
+    from vellum.sources import requests
+    return requests.requests_from_chapters(R.convs(spark, SF), R.LANG, None)
+
+
 def test_replayed_batch_overwrites_its_output(spark):
     from vellum.session import scratch_path
-    sink = scratch_path(spark, "t-replay")
-    ch = R.convs(spark, SF)
-    run = stream.translate_batches(sink)
-    run(ch, 0)
-    run(ch, 0)                                   # the same batch id again (replay after failure)
-    assert spark.read.parquet(sink).count() == 87
+    sink, landing = scratch_path(spark, "t-replay"), scratch_path(spark, "t-requests")
+    _requests(spark).write.json(landing)
+    from vellum.sources import requests
+    batch = requests.read_requests(spark, landing)
+    run = stream.run_batches(sink)
+    run(batch, 0)
+    once = spark.read.parquet(f"{sink}/elements").count()
+    run(batch, 0)                                # the same batch id again (replay after failure)
+    assert spark.read.parquet(f"{sink}/elements").count() == once > 0
+
+
+def test_stream_publishes_no_part_of_a_failed_book(spark):
+    """Two batches, one book each; a failing chapter in the second takes its whole book."""
+    from vellum.operators import translate
+    from vellum.session import scratch_path
+    landing, sink, ckpt = (scratch_path(spark, f"t-{n}") for n in ("books", "books-out", "books-ckpt"))
+    from vellum.sources import requests
+    from conftest import chapters_df
+
+    class FailsOnWord:
+        def translate(self, text, target_language, *, key=None, attempt=1):
+            if "FAIL" in text:
+                raise RuntimeError("refused")
+            return text
+
+    for book, rows in (("good", [(1, "one"), (2, "two")]), ("bad", [(1, "fine"), (2, "FAIL")])):
+        requests.requests_from_chapters(chapters_df(spark, rows, book), "Francês", None).coalesce(1).write.mode(
+            "append").json(landing)
+    w = stream.request_stream(spark, landing, 1).writeStream.foreachBatch(
+        stream.run_batches(sink, FailsOnWord(), sleep=translate.no_sleep))
+    stream._drain(w, ckpt)
+    assert {r.book_id for r in spark.read.parquet(f"{sink}/elements").collect()} == {"good"}
+    events = spark.read.parquet(f"{sink}/events").collect()
+    assert sorted({r.status for r in events if r.seq == 2}) == ["error", "formatting"]
+    assert len({r.batch_id for r in events}) == 2
 
 
 def test_processing_time_pipeline_drains_landing(spark):
     from vellum.session import scratch_path
     landing = scratch_path(spark, "t-landing")
-    ch = R.convs(spark, SF).select("book_id", "id", "ordinal", "content")
-    ch.write.parquet(landing)
+    _requests(spark).write.json(landing)
     sink, ckpt = scratch_path(spark, "t-out"), scratch_path(spark, "t-ckpt")
-    q = stream.start_pipeline(spark, landing, sink, ckpt, ch.schema, processing_time="1 second")
+    q = stream.start_pipeline(spark, landing, sink, ckpt, processing_time="1 second")
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    assert spark.read.parquet(sink).count() == 87
+    assert spark.read.parquet(f"{sink}/elements").select("book_id").distinct().count() == \
+        spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()

@@ -95,7 +95,11 @@ def test_edits(spark):
     left = sorted((r.book_id, r.id) for r in edits.remove_chapters(ch.unionByName(one), rem).collect())
     assert left == [("b1", 1), ("b1", 5), ("solo", 1)]
     empty = spark.createDataFrame([], "book_id string, id bigint, ordinal bigint, content string")
-    assert edits.next_chapter_id(empty).count() == 0
+    books = spark.createDataFrame([("none",)], "book_id string")
+    assert [tuple(r) for r in edits.next_chapter_id(empty, books).collect()] == [("none", 1, 0)]
+    two = chapters_df(spark, [(1, "a"), (2, "b")], book="two")
+    both = spark.createDataFrame([("two", 2, 1), ("two", 1, 2)], "book_id string, id bigint, removal_seq int")
+    assert [r.id for r in edits.remove_chapters(two, both).collect()] == [1]      # the last one stays
 
 
 def test_blank_chapter_guard_and_limit(spark):

@@ -16,9 +16,11 @@ def docx_model(rows):
     out, page_no = [], 1
     for i, (cid, content) in enumerate(s):
         out.append(("title", f"Capítulo {cid}"))
-        pages = [content[k:k + 3000] for k in range(0, len(content), 3000)][:10]
+        pages = [content[k:k + 3000] for k in range(0, len(content), 3000)]
         for j, p in enumerate(pages):
-            out.append(("body", p))
+            if j == 0:
+                out.append(("dropcap", p[0]))
+            out.append(("body", p[1:] if j == 0 else p))
             out.append(("number", str(page_no)))
             page_no += 1
             if j < len(pages) - 1 or i < len(s) - 1:
@@ -37,14 +39,14 @@ def pdf_model(rows):
         for p in content.split("\n\n"):
             if p.strip():
                 out.append(("body", p.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")))
-                out.append(("spacer", None))
+                out.append(("gap", None))
     return out
 
 
 def spark_stream(els):
     rows = els.orderBy("seq").collect()
     assert [r.seq for r in rows] == list(range(1, len(rows) + 1))      # dense, from 1
-    return [(r.kind, (r.cap or "") + r.text if r.kind == "body" else r.text) for r in rows]
+    return [(r.kind, r.text) for r in rows]
 
 
 FIXTURES = {
@@ -80,8 +82,8 @@ def test_pages_are_numbered_without_holes_and_parity_aligned(spark):
 def test_flagship_path_equals_generic_path(spark):
     rows = [(i, ("lorem ipsum " * (i * 700))) for i in range(1, 6)] + [(9, "")]
     ch = chapters_df(spark, rows)
-    fast = pipeline.flagship(ch, translate.IdentityTranslator())
-    t = pipeline.translate_books(ch, translate.IdentityTranslator())
+    fast = pipeline.flagship(ch, translate.IdentityModel())
+    t = pipeline.translate_books(ch, translate.IdentityModel())
     slow = pipeline.numbered_pages(t)
     assert sorted(fast.collect()) == sorted(slow.collect())
 
@@ -115,3 +117,20 @@ def test_truncation_audit(spark):
     got = {r.id: (r.pages_kept, r.pages_dropped, r.chars_lost)
            for r in layout.truncation_audit(ch).collect()}
     assert got == {1: (10, 0, 0), 2: (10, 1, 1), 3: (0, 0, 0)}
+
+
+def test_long_chapter_comes_out_whole_by_default(spark):
+    ch = chapters_df(spark, [(1, "x" * 40000)])
+    assert layout.paginate(ch).count() == 14
+    assert layout.paginate(ch, max_pages=10).count() == 10
+    pages = pipeline.flagship(ch, translate.IdentityModel()).collect()
+    # 10 chunks joined by 9 newlines
+    assert sum(len(p.text) for p in pages) == 40009
+
+
+def test_null_book_ids_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 4)], "g string, o int, w int")
+    got = sorted((str(r.g), r.o, r.s) for r in running_sums(df, ["g"], ["o"], {"s": F.col("w")}, blocks=3).collect())
+    assert got == [("None", 1, 0), ("None", 2, 2), ("a", 1, 0)]
+    ch = spark.createDataFrame([(None, 1, 0, "x"), ("b", 1, 0, "y")], "book_id string, id bigint, ordinal bigint, content string")
+    assert layout.chapter_positions(ch).count() == 2

@@ -39,7 +39,7 @@ def test_layout_is_independent_of_input_order(spark):
 
     def stream(r):
         pos = layout.chapter_positions(chapters_df(spark, r), paragraphs=True)
-        d = layout.docx_elements(pos).select("seq", "kind", "chapter_id", "text", "cap").collect()
+        d = layout.docx_elements(pos).select("seq", "kind", "chapter_id", "text").collect()
         p = layout.pdf_elements(pos).select("seq", "kind", "chapter_id", "text").collect()
         return sorted(d), sorted(p)
 

@@ -75,3 +75,32 @@ def test_format_normalise_and_drop_cap(spark):
     d = spark.createDataFrame([(" x",), ("😀ab",), ("a",)], "t string")
     got = d.select(T.first_char("t").alias("c"), T.rest_after_first("t").alias("r")).collect()
     assert [(r.c, r.r) for r in got] == [(" ", "x"), ("😀", "ab"), ("a", "")]
+
+
+def test_fixed_decimal_of_very_long_durations(spark):
+    import decimal
+    import random
+    rnd = random.Random(5)
+    ns = [rnd.randrange(10**12, 9 * 10**17) for _ in range(2000)] + [999_999_950, 999_950, 50, 150]
+    df = spark.createDataFrame([(n,) for n in ns], "n bigint")
+    for r in df.select("n", T.fixed_decimal("n", 1_000_000, 4).alias("t")).collect():
+        exact = decimal.Decimal(r.n) / 1_000_000
+        assert r.t == str(exact.quantize(decimal.Decimal("0.0001"), rounding=decimal.ROUND_HALF_EVEN)), r.n
+
+
+def test_slices_of_a_very_long_text_are_linear(spark):
+    import time
+    text = "añ😀\n" * 2_000_000
+    df = spark.createDataFrame([(text,)], "t string").cache()
+    df.count()
+    t0 = time.perf_counter()
+    got = df.select(F.size(T.slices("t", 4000, keep_empty=True)).alias("n"),
+                    F.element_at(T.slices("t", 4000, keep_empty=True), -1).alias("last")).first()
+    assert got.n == 2000 and got.last == text[-4000:]
+    assert time.perf_counter() - t0 < 20
+
+
+def test_job_ids_differ_for_parts_that_look_alike(spark):
+    rows = [("a|b", None), ("a", "b"), (None, "a|b"), ("a", None), (None, "a")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(T.job_id_hash("x", "y").alias("j")).distinct().count() == len(rows)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from vellum import config as C
 from vellum.operators import chunking, translate
-from vellum.plans import pipeline
+from vellum.plans import faults, pipeline
 
 from conftest import chapters_df
 
@@ -19,16 +19,16 @@ def test_long_chapter_is_cut_into_4000_character_chunks(spark):
 def test_identity_reassembly_strips_each_chunk_and_joins_with_newline(spark):
     text = ("word " * 1000)[:8001] + "   "          # spaces at both seams
     ch = chapters_df(spark, [(1, text), (2, " " * 4000 + "tail")])
-    t = pipeline.translate_books(ch, translate.IdentityTranslator())
+    t = pipeline.translate_books(ch, translate.IdentityModel())
     got = {r.id: r.content for r in t.chapters.collect()}
     pieces = [text[i:i + 4000] for i in range(0, len(text), 4000)]
     assert got[1] == "\n".join(p.strip() for p in pieces)
     assert got[2] == "\ntail"                         # blank chunk -> "" plus its separator
 
 
-def test_mock_translator_and_blank_short_circuit(spark):
+def test_mock_model_and_blank_short_circuit(spark):
     ch = chapters_df(spark, [(1, "This is the first chapter content."), (2, "  　 "), (3, "")])
-    out = translate.translate_chunks(chunking.chunk_chapters(ch), translate.MockTranslator(),
+    out = translate.translate_chunks(chunking.chunk_chapters(ch), translate.PreviewModel(),
                                      target_language="Espanhol")
     got = {r.id: (r.translated, r.attempts) for r in out.collect()}
     assert got[1] == ("Translated to Espanhol: This is the first ch...", 1)
@@ -39,7 +39,7 @@ def test_mock_translator_and_blank_short_circuit(spark):
 def test_retry_attempts_waits_and_final_error(spark):
     rows = [(k, f"text {k}") for k in range(6)]
     ch = chapters_df(spark, rows)
-    tr = translate.FlakyTranslator(translate.fail_first_by_key(100))
+    tr = faults.FlakyModel(faults.fail_first_by_key(100))
     out = translate.translate_chunks(chunking.chunk_chapters(ch), tr, key_col="id",
                                      sleep=translate.no_sleep)
     got = {r.id: (r.attempts, r.wait_s, r.error) for r in out.collect()}
@@ -49,7 +49,7 @@ def test_retry_attempts_waits_and_final_error(spark):
     assert got[4][2] == "Translation error after 3 attempts: injected failure on attempt 4"
 
 
-def test_failing_translator_with_one_retry_calls_twice():
+def test_failing_model_with_one_retry_calls_twice():
     calls = []
 
     class Always:
@@ -67,7 +67,7 @@ def test_failing_translator_with_one_retry_calls_twice():
 def test_book_fails_as_a_whole_and_others_go_on(spark):
     a = chapters_df(spark, [(1, "ok one"), (2, "ok two")], book="good")
     b = chapters_df(spark, [(1, "fine"), (2, "FAIL here")], book="bad")
-    tr = translate.FlakyTranslator(translate.fail_listed({"bad-2"}, 9))
+    tr = faults.FlakyModel(faults.fail_listed({"bad-2"}, 9))
     ch = a.unionByName(b).withColumn("fk", F.concat_ws("-", "book_id", F.col("id").cast("string")))
     t = pipeline.translate_books(ch, tr, key_col="fk", sleep=translate.no_sleep)
     out = {r.book_id: r.failed for r in t.outcomes.collect()}
@@ -77,7 +77,7 @@ def test_book_fails_as_a_whole_and_others_go_on(spark):
 
 def test_translation_order_is_independent_of_input_order(spark):
     rows = [(3, "third"), (1, "first"), (2, "second")]
-    t = pipeline.translate_books(chapters_df(spark, rows), translate.MockTranslator())
+    t = pipeline.translate_books(chapters_df(spark, rows), translate.PreviewModel())
     got = sorted((r.id, r.content) for r in t.chapters.collect())
     assert got == [(1, "Translated to Português: first..."), (2, "Translated to Português: second..."),
                    (3, "Translated to Português: third...")]
@@ -92,10 +92,10 @@ def test_prompts_name_the_language_twice(spark):
     assert (p.model, p.temperature, p.max_tokens) == (C.MODEL, 0.3, 4000)
 
 
-def test_glossary_translator_replaces_whole_words(spark):
+def test_glossary_model_replaces_whole_words(spark):
     g = spark.sparkContext.broadcast({"cat": "gato", "the cat": "o gato", "dog": "cão"})
     ch = chapters_df(spark, [(1, "the cat saw a dog; concat stays"), (2, "Cat")])
-    out = translate.translate_chunks(chunking.chunk_chapters(ch), translate.GlossaryTranslator(g))
+    out = translate.translate_chunks(chunking.chunk_chapters(ch), translate.GlossaryModel(g))
     got = {r.id: r.translated for r in out.collect()}
     assert got == {1: "o gato saw a cão; concat stays", 2: "Cat"}
 
@@ -104,7 +104,7 @@ def test_flagship_drops_books_with_a_failed_chunk(spark):
     a = chapters_df(spark, [(1, "ok one"), (2, "ok two")], book="good")
     b = chapters_df(spark, [(1, "fine"), (2, "FAIL here")], book="bad")
     ch = a.unionByName(b).withColumn("fk", F.concat_ws("-", "book_id", F.col("id").cast("string")))
-    tr = translate.FlakyTranslator(translate.fail_listed({"bad-2"}, 9))
+    tr = faults.FlakyModel(faults.fail_listed({"bad-2"}, 9))
     pages = pipeline.flagship(ch, tr, key_col="fk", sleep=translate.no_sleep).collect()
     assert sorted((r.book_id, r.id, r.page_no) for r in pages) == [("good", 1, 1), ("good", 2, 2)]
     t = pipeline.translate_books(ch, tr, key_col="fk", sleep=translate.no_sleep)
@@ -113,13 +113,13 @@ def test_flagship_drops_books_with_a_failed_chunk(spark):
 
 
 
-def counting_translator(log):
+def counting_model(log):
     """Mock-like output; each call appends a line to ``log`` (calls counted across workers)."""
     def f(text, target_language):
         with open(log, "a") as fh:
             fh.write("x\n")
         return f"{target_language}: {text[:20]}"
-    return translate.FunctionTranslator(f)
+    return translate.FunctionModel(f)
 
 
 def test_dedupe_calls_once_per_distinct_chunk_and_keeps_every_row(spark, tmp_path):
@@ -128,8 +128,8 @@ def test_dedupe_calls_once_per_distinct_chunk_and_keeps_every_row(spark, tmp_pat
     b = chapters_df(spark, [(1, long), (2, "same"), (3, "other")], book="b")
     ch = chunking.chunk_chapters(a.unionByName(b))
     logs = [str(tmp_path / "dedupe.log"), str(tmp_path / "plain.log")]
-    out = translate.translate_chunks(ch, counting_translator(logs[0]), dedupe=True)
-    plain = translate.translate_chunks(ch, counting_translator(logs[1]))
+    out = translate.translate_chunks(ch, counting_model(logs[0]), dedupe=True)
+    plain = translate.translate_chunks(ch, counting_model(logs[1]))
     cols = ["book_id", "id", "chunk_idx", "chunk", "translated", "attempts", "error"]
     assert sorted(out.select(*cols).collect()) == sorted(plain.select(*cols).collect())
     assert out.count() == ch.count() == 10
@@ -137,8 +137,8 @@ def test_dedupe_calls_once_per_distinct_chunk_and_keeps_every_row(spark, tmp_pat
     assert len(open(logs[0]).read().splitlines()) == 5
     assert len(open(logs[1]).read().splitlines()) == 9
     opts = C.PipelineOptions(dedupe=True)
-    fast = pipeline.flagship(a.unionByName(b), translate.MockTranslator(), opts)
-    slow = pipeline.flagship(a.unionByName(b), translate.MockTranslator())
+    fast = pipeline.flagship(a.unionByName(b), translate.PreviewModel(), opts)
+    slow = pipeline.flagship(a.unionByName(b), translate.PreviewModel())
     assert sorted(fast.collect()) == sorted(slow.collect())
 
 
@@ -147,13 +147,13 @@ def test_each_chunk_reaches_the_model_once_across_branches(spark, tmp_path):
     ch = chapters_df(spark, [(1, long), (2, "two"), (3, "")], book="a").unionByName(
         chapters_df(spark, [(1, "solo")], book="b"))
     log = str(tmp_path / "calls.log")
-    t = pipeline.translate_books(ch, counting_translator(log))
+    t = pipeline.translate_books(ch, counting_model(log))
     t.outcomes.collect()
     t.chapters.collect()
     pipeline.numbered_pages(t).collect()
     t.all_chapters.count()
     assert len(open(log).read().splitlines()) == 5                 # 3 + "two" + "solo"; "" is no call
-    pages = pipeline.flagship(ch, counting_translator(str(tmp_path / "flag.log")))
+    pages = pipeline.flagship(ch, counting_model(str(tmp_path / "flag.log")))
     pages.collect()
     pages.count()
     assert len(open(tmp_path / "flag.log").read().splitlines()) == 5

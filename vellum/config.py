@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the matched behaviour; do not edit)
 # ---------------------------------------------------------------------------
-CHUNK_SIZE = 4000                    # characters per translator call
+CHUNK_SIZE = 4000                    # characters per model call
 CHARS_PER_PAGE = 3000                # DOCX page size in characters
 MAX_PAGES_PER_CHAPTER = 10           # DOCX page cap; surplus is dropped
 MAX_RETRIES = 3                      # attempts = MAX_RETRIES + 1
@@ -89,7 +89,6 @@ REJECT_TOO_MANY_PAGES = ("The PDF contains too many pages/chapters ({n}). "
                          "Maximum allowed is {max}.")
 REJECT_EXTRACT_ERROR = "Error processing PDF: {e}"
 REJECT_BLANK_CHAPTER = "Por favor, preencha todos os capítulos"
-REJECT_WRONG_TYPE_CLIENT = "Por favor, carregue apenas arquivos PDF"
 RETRY_ERROR = "Translation error after {n} attempts: {e}"
 
 # Download gate outcomes: (http status, detail), checked in this order.
@@ -98,7 +97,7 @@ GATE_NOT_DONE = (400, "Translation job not completed yet")
 GATE_NO_PATH = (404, "Output file not found")
 GATE_FILE_GONE = (404, "Output file not found on server")
 
-# Mock translators (test doubles): prefix + language + bounded preview + "...".
+# Mock models (test doubles): prefix + language + bounded preview + "...".
 MOCK_TEXT_PREFIX = "Translated to "
 MOCK_TEXT_PREVIEW = 20
 MOCK_CHAPTER_PREFIX = "Chapter translated to "
@@ -120,9 +119,9 @@ STYLES = [
     ("docx", "break",   None,          None, None,      None,    None,   None,        None),
     ("pdf",  "break",   None,          None, None,      None,    None,   None,        None),
     ("pdf",  "title",   "Times-Bold",  30.0, "RIGHT",   None,    None,   24.0,        None),
-    ("pdf",  "spacer",  None,          None, None,      None,    None,   None,        None),
+    ("pdf",  "spacer",  None,          None, None,      None,    None,   None,        0.2),
     ("pdf",  "body",    "Times-Roman", 11.0, "JUSTIFY", 14.0,    20.0,   None,        None),
-    ("pdf",  "gap",     None,          None, None,      None,    None,   None,        None),
+    ("pdf",  "gap",     None,          None, None,      None,    None,   None,        0.1),
 ]
 TITLE_SPACER_IN = 0.2
 PARAGRAPH_SPACER_IN = 0.1
@@ -139,24 +138,20 @@ class Limits:
 
 @dataclass(frozen=True)
 class ModelOptions:
-    """Options handed to the translator factory and carried in the run log."""
+    """Options handed to the model factory and carried in the run log."""
     model: str = MODEL
     temperature: float = TEMPERATURE
     max_tokens: int = MAX_TOKENS
     source_language: str = "English"
-    # Our own wording; {source} and {target} are substituted, target twice.
-    system_template: str = (
-        "You translate literary prose from {source} into {target}. Keep meaning, tone and "
-        "paragraph breaks, write natural {target}, keep names and terms consistent, and "
-        "answer with the translation only."
-    )
+    # {source} and {target} are substituted, target twice.
+    system_template: str = "Source: {source}. Target: {target}. Reply in {target}."
 
 
 @dataclass(frozen=True)
 class PipelineOptions:
     chunk_size: int = CHUNK_SIZE
     chars_per_page: int = CHARS_PER_PAGE
-    max_pages: int = MAX_PAGES_PER_CHAPTER
+    max_pages: int | None = None     # None: no page of a chapter is dropped
     max_retries: int = MAX_RETRIES
     target_language: str = DEFAULT_TARGET_LANGUAGE
     output_format: str = "docx"

@@ -34,13 +34,11 @@ def slices(text, width: int, *, cap: int | None = None, keep_empty: bool) -> Col
     ``keep_empty`` gives ``[""]`` for an empty text (chunking: one blank call), else ``[]``
     (pagination: no page).  Slices past the cap are never produced."""
     t = _c(text)
-    n = slice_count(t, width, at_least_one=keep_empty)
     if cap is not None:
-        n = F.least(n, F.lit(cap))
-    idx = F.sequence(F.lit(0), n - 1)
-    arr = F.transform(idx, lambda i: F.substring(t, i * width + 1, F.lit(width)))
-    # sequence(0, -1) counts down; guard the empty case explicitly.
-    return F.when(n <= 0, F.array().cast("array<string>")).otherwise(arr)
+        t = F.substring(t, 1, cap * width)
+    # One linear pass; a substring per slice would count from the start each time.
+    arr = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    return F.when(F.length(t) == 0, F.array(F.lit(""))).otherwise(arr) if keep_empty else arr
 
 
 def first_char(text) -> Column:
@@ -79,8 +77,8 @@ def backoff_seconds(failure_number) -> Column:
 
 
 def _idiv(a: Column, b: int) -> Column:
-    """Exact floor division of a non-negative BIGINT by a positive constant."""
-    return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("bigint")
+    """Exact division of a non-negative BIGINT by a positive constant."""
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
 def fixed_decimal(numerator, denominator: int, decimals: int) -> Column:
@@ -89,17 +87,16 @@ def fixed_decimal(numerator, denominator: int, decimals: int) -> Column:
     Integer arithmetic only, so every engine prints the same digits.  Needs a
     non-negative numerator."""
     scale = 10 ** decimals
-    num = _c(numerator).cast("bigint") * F.lit(scale)
-    r = F.pmod(num, F.lit(denominator))
-    q = _idiv(num, denominator)
-    q = (F.when(r * 2 > denominator, q + 1)
-         .when((r * 2 == denominator) & (F.pmod(q, F.lit(2)) == 1), q + 1)
-         .otherwise(q))
-    whole = _idiv(q, scale).cast("string")
+    n = _c(numerator).cast("bigint")
+    # Whole part and fraction apart: the product with ``scale`` stays small.
+    part = F.pmod(n, F.lit(denominator)) * F.lit(scale)
+    low, r = _idiv(part, denominator), F.pmod(part, F.lit(denominator))
+    odd = F.pmod(low + _idiv(n, denominator) * F.lit(scale % 2), F.lit(2)) == 1
+    low = low + F.when((r * 2 > denominator) | ((r * 2 == denominator) & odd), 1).otherwise(0)
+    whole = (_idiv(n, denominator) + F.when(low == scale, 1).otherwise(0)).cast("string")
     if decimals == 0:
         return whole
-    frac = F.lpad(F.pmod(q, F.lit(scale)).cast("string"), decimals, "0")
-    return F.concat(whole, F.lit("."), frac)
+    return F.concat(whole, F.lit("."), F.lpad(F.pmod(low, F.lit(scale)).cast("string"), decimals, "0"))
 
 
 def size_kb_text(nbytes) -> Column:
@@ -161,8 +158,12 @@ def mock_translate_batch(chapter_id, language) -> Column:
 
 
 def job_id_hash(*parts) -> Column:
-    """Reproducible job id (a random uuid() would change on recomputation)."""
-    return F.md5(F.concat_ws("|", *[_c(p).cast("string") for p in parts]))
+    """Reproducible job id (a random uuid() would change on recomputation).  Every part is
+    written with its length, a NULL as ``n``, so different parts never give one text."""
+    def coded(p):
+        s = _c(p).cast("string")
+        return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("n"))
+    return F.md5(F.concat(*[coded(p) for p in parts]))
 
 
 def chapter_message(chapter_id, total) -> Column:

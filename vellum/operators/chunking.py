@@ -1,4 +1,4 @@
-"""Chunking of chapters for the translator and ordered reassembly of the results."""
+"""Chunking of chapters for the model and ordered reassembly of the results."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,7 +12,7 @@ CHAPTER_KEY = ["book_id", "ordinal", "id"]
 
 
 def chunk_plan(chapters: DataFrame, size: int = C.CHUNK_SIZE) -> DataFrame:
-    """Per chapter: length, number of translator calls, and whether one call suffices."""
+    """Per chapter: length, number of model calls, and whether one call suffices."""
     n = F.length("content")
     return chapters.select(
         *CHAPTER_KEY,

@@ -18,14 +18,16 @@ EVENT_ORDER = ["ts", "event_id"]
 
 
 def submit_jobs(books: DataFrame, intake: str, target_language: str | Column,
-                output_format: str | Column = "docx") -> DataFrame:
-    """Accepted book (book_id, n_chapters) -> job row.  Typed chapters are 'queued' and
+                output_format: str | Column = "docx", submission: str | Column = "0") -> DataFrame:
+    """Accepted book (book_id, n_chapters) -> job row.  ``submission`` tells submissions of
+    one book apart: a book sent again under another one is another job.  Typed chapters are 'queued' and
     keep language and format; extracted files are 'pending' and keep neither."""
     lang = target_language if isinstance(target_language, Column) else F.lit(target_language)
     fmt = output_format if isinstance(output_format, Column) else F.lit(output_format)
     chapters_route = intake == "chapters"
+    sent = submission if isinstance(submission, Column) else F.lit(submission)
     return books.select(
-        T.job_id_hash(F.lit(intake), "book_id", lang, fmt).alias("job_id"),
+        T.job_id_hash(F.lit(intake), "book_id", lang, fmt, sent).alias("job_id"),
         "book_id",
         F.lit(intake).alias("intake"),
         F.lit(C.STATUS_QUEUED if chapters_route else C.STATUS_PENDING).alias("status"),
@@ -122,7 +124,10 @@ def download_gate(probes: DataFrame, state: DataFrame, listing: DataFrame) -> Da
     no path, file missing from the listing (``path`` column), else the download name."""
     s = state.select("job_id", "status", "file_path", F.lit(True).alias("_known"))
     files = listing.select(F.col("path").alias("file_path"), F.lit(True).alias("_exists")).distinct()
-    j = probes.join(s, "job_id", "left").join(files, "file_path", "left")
+    # The listing meets the job states that have a path, then the probes: an unknown job
+    # never carries a NULL path into a join.
+    found = s.where(F.col("file_path").isNotNull()).join(files, "file_path").select("job_id", "_exists")
+    j = probes.join(s, "job_id", "left").join(found, "job_id", "left")
     gate = (F.when(F.col("_known").isNull(), F.lit(C.GATE_UNKNOWN[1]))
              .when(F.col("status") != C.STATUS_COMPLETED, F.lit(C.GATE_NOT_DONE[1]))
              .when(F.col("file_path").isNull(), F.lit(C.GATE_NO_PATH[1]))

@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import config as C
 from ..functions import text as T
 from .chunking import CHAPTER_KEY
-from .scan import running_sums
+from .scan import null_safe_join, running_sums
 
 ORDER = ["id", "ordinal"]
 
 
 def paginate(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
-             max_pages: int = C.MAX_PAGES_PER_CHAPTER) -> DataFrame:
-    """DOCX pagination: ``content[i:i+chars_per_page]`` pages, at most ``max_pages``
-    (the rest is dropped and never produced); an empty chapter has no page."""
+             max_pages: int | None = None) -> DataFrame:
+    """DOCX pagination: ``content[i:i+chars_per_page]`` pages; an empty chapter has no
+    page.  With ``max_pages`` the rest of a chapter is dropped (``truncation_audit`` tells
+    how much)."""
     pages = T.slices("content", chars_per_page, cap=max_pages, keep_empty=False)
     return chapters.select("book_id", "id", "ordinal",
                            F.posexplode(pages).alias("page_idx", "text"))
@@ -41,13 +42,16 @@ def truncation_audit(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE
     )
 
 
+def page_count(length: Column, chars_per_page: int, max_pages: int | None) -> Column:
+    n = F.ceil(length / F.lit(chars_per_page))
+    return F.coalesce(n if max_pages is None else F.least(n, F.lit(max_pages)), F.lit(0)).cast("int")
+
+
 def chapter_shape(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
-                  max_pages: int = C.MAX_PAGES_PER_CHAPTER, *, paragraphs: bool = True) -> DataFrame:
-    """Adds ``n_pages`` (DOCX, capped) and, for the PDF layout, ``paras`` (non-blank
+                  max_pages: int | None = None, *, paragraphs: bool = True) -> DataFrame:
+    """Adds ``n_pages`` (DOCX) and, for the PDF layout, ``paras`` (non-blank
     paragraphs with their split position) and ``n_paras``: row-local, no shuffle."""
-    pages = T.slice_count("content", chars_per_page, at_least_one=False)
-    base = chapters.withColumn("n_pages", F.coalesce(F.least(pages, F.lit(max_pages)), F.lit(0))
-                               .cast("int"))
+    base = chapters.withColumn("n_pages", page_count(F.length("content"), chars_per_page, max_pages))
     if not paragraphs:
         return base.withColumn("n_paras", F.lit(0))
     nonblank = F.filter(F.transform(T.split_paragraphs("content"),
@@ -71,7 +75,7 @@ def scan_positions(slim: DataFrame, *, bounded: bool = False, blocks: int | None
     totals: no join on the book key (a hot book never meets in one task)."""
     weights = {"ch_idx": F.lit(1),
                "pages_before": F.col("n_pages"),
-               "docx_before": 1 + 3 * F.col("n_pages"),
+               "docx_before": 1 + 3 * F.col("n_pages") + F.when(F.col("n_pages") > 0, 1).otherwise(0),
                "_pdf_w": 2 + 2 * F.col("n_paras")}
     totals = {"n_chapters": "ch_idx"}
     if "failed" in slim.columns:
@@ -91,7 +95,7 @@ def scan_positions(slim: DataFrame, *, bounded: bool = False, blocks: int | None
 def chapter_positions(chapters: DataFrame, *, bounded: bool = False,
                       drop_failed_books: bool = False, paragraphs: bool = False,
                       chars_per_page: int = C.CHARS_PER_PAGE,
-                      max_pages: int = C.MAX_PAGES_PER_CHAPTER,
+                      max_pages: int | None = None,
                       blocks: int | None = None) -> DataFrame:
     """Per chapter: ``ch_idx`` (0-based, in id order, stable), ``n_chapters`` of its book,
     ``n_pages``, ``pages_before`` (DOCX pages in earlier chapters), ``docx_before`` and
@@ -106,15 +110,35 @@ def chapter_positions(chapters: DataFrame, *, bounded: bool = False,
     slim = shaped.select(*CHAPTER_KEY, "n_pages", "n_paras",
                          *(["failed"] if drop_failed_books else []))
     pos = scan_positions(slim, bounded=bounded, blocks=blocks).drop("n_pages", "n_paras")
-    return shaped.join(pos, CHAPTER_KEY)
+    return null_safe_join(shaped, pos, CHAPTER_KEY)
+
+
+def slim_positions(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
+                   max_pages: int | None = None, *, bounded: bool = False) -> DataFrame:
+    """As ``chapter_positions`` for numbers only: no text beyond its length, no join back."""
+    slim = chapters.select(*CHAPTER_KEY, page_count(F.length("content"), chars_per_page, max_pages).alias("n_pages"),
+                           F.lit(0).alias("n_paras"))
+    return scan_positions(slim, bounded=bounded)
+
+
+def page_numbers(positions: DataFrame) -> DataFrame:
+    """Page number, alignment and page-break flag of every page, from slim positions."""
+    p = positions.where(F.col("n_pages") > 0).select(
+        "book_id", "id", "ordinal", "ch_idx", "n_chapters", "n_pages", "pages_before",
+        F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)).alias("page_idx"))
+    return _numbered(p)
 
 
 def page_rows(positioned: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
-              max_pages: int = C.MAX_PAGES_PER_CHAPTER) -> DataFrame:
+              max_pages: int | None = None) -> DataFrame:
     """DOCX pages with running page number, alignment and page-break flag."""
     pages = T.slices("content", chars_per_page, cap=max_pages, keep_empty=False)
-    p = positioned.select("book_id", "id", "ordinal", "ch_idx", "n_chapters", "n_pages",
-                          "pages_before", F.posexplode(pages).alias("page_idx", "text"))
+    return _numbered(positioned.select(
+        "book_id", "id", "ordinal", "ch_idx", "n_chapters", "n_pages", "pages_before",
+        F.posexplode(pages).alias("page_idx", "text")))
+
+
+def _numbered(p: DataFrame) -> DataFrame:
     page_no = F.col("pages_before") + F.col("page_idx") + 1
     return p.withColumns({
         "page_no": page_no.cast("bigint"),
@@ -124,29 +148,24 @@ def page_rows(positioned: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
     })
 
 
-_EL = "struct<pos:int,kind:string,part_idx:int,text:string,cap:string,page_no:bigint,align:string,height_in:double,keep:boolean>"
-
-
-def _el(pos, kind, part_idx=None, text=None, cap=None, page_no=None, align=None,
-        height=None, keep=True) -> Column:
+def _el(pos, kind, part_idx=None, text=None, page_no=None, align=None,
+        height=None, keep=True, error=None) -> Column:
     def v(x, t):
         return x if isinstance(x, Column) else F.lit(x).cast(t)
     return F.struct(v(pos, "int").cast("int").alias("pos"), F.lit(kind).alias("kind"),
                     v(part_idx, "int").cast("int").alias("part_idx"),
-                    v(text, "string").alias("text"), v(cap, "string").alias("cap"),
+                    v(text, "string").alias("text"),
                     v(page_no, "bigint").cast("bigint").alias("page_no"),
                     v(align, "string").alias("align"),
-                    v(height, "double").alias("height_in"), v(keep, "boolean").alias("keep"))
-
-
-ELEMENT_COLUMNS = ["book_id", "seq", "kind", "chapter_id", "part_idx", "text", "cap",
-                   "page_no", "align", "height_in"]
+                    v(height, "double").alias("height_in"), v(keep, "boolean").alias("keep"),
+                    v(error, "string").alias("element_error"))
 
 
 def docx_elements(positioned: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
-                  max_pages: int = C.MAX_PAGES_PER_CHAPTER) -> DataFrame:
-    """Title, then per page: body (drop cap apart on the chapter's first page), page
-    number (aligned by parity), page break (except after the book's last page)."""
+                  max_pages: int | None = None) -> DataFrame:
+    """Title, then per page: body (on the chapter's first page after a drop cap, an element
+    of its own), page number (aligned by parity), page break (except after the book's
+    last page)."""
     pages = T.slices("content", chars_per_page, cap=max_pages, keep_empty=False)
     last_ch = F.col("ch_idx") >= F.col("n_chapters") - 1
 
@@ -154,13 +173,13 @@ def docx_elements(positioned: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
         no = F.col("pages_before") + j + 1
         first = j == 0
         body = F.when(first, T.rest_after_first(p)).otherwise(p)
-        cap = F.when(first, T.first_char(p))
         brk = (j < F.col("n_pages") - 1) | ~last_ch
         return F.array(
-            _el(2 + 3 * j, "body", j, body, cap),
-            _el(3 + 3 * j, "number", j, no.cast("string"), page_no=no,
+            _el(F.lit(2), "dropcap", j, T.first_char(p), keep=first),
+            _el(3 + 3 * j, "body", j, body),
+            _el(4 + 3 * j, "number", j, no.cast("string"), page_no=no,
                 align=T.parity_alignment(no)),
-            _el(4 + 3 * j, "break", j, keep=brk),
+            _el(5 + 3 * j, "break", j, keep=brk),
         )
 
     title = F.array(_el(1, "title", text=T.chapter_title("id"), align="RIGHT"))
@@ -170,25 +189,26 @@ def docx_elements(positioned: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
     rows = positioned.select("book_id", F.col("id").alias("chapter_id"), "docx_before",
                              F.inline(els))
     return rows.select("book_id", (F.col("docx_before") + F.col("pos")).alias("seq"),
-                       "kind", "chapter_id", "part_idx", "text", "cap", "page_no", "align",
-                       "height_in")
+                       "kind", "chapter_id", "part_idx", "text", "page_no", "align", "height_in")
 
 
 def pdf_elements(positioned: DataFrame) -> DataFrame:
     """Per chapter: page break (not before the first), title, 0.2 in spacer; per non-blank
-    paragraph (split on a blank line): escaped body, 0.1 in spacer.  No page cap, no drop
-    cap, no page numbers."""
+    paragraph (split on a blank line): escaped body, 0.1 in gap.  No drop cap, no page
+    numbers.  A chapter without content keeps its heading, whose title carries
+    ``element_error``; the rest of the book is unaffected."""
     b = F.when(F.col("ch_idx") > 0, 1).otherwise(0)
 
     def per_para(s, k):
         return F.array(
             _el(3 + b + 2 * k, "body", s["i"], T.xml_escape(s["p"])),
-            _el(4 + b + 2 * k, "spacer", s["i"], height=C.PARAGRAPH_SPACER_IN),
+            _el(4 + b + 2 * k, "gap", s["i"], height=C.PARAGRAPH_SPACER_IN),
         )
 
     head = F.array(
         _el(1, "break", keep=F.col("ch_idx") > 0),
-        _el(1 + b, "title", text=T.chapter_title("id"), align="RIGHT"),
+        _el(1 + b, "title", text=T.chapter_title("id"), align="RIGHT",
+            error=F.when(F.col("content").isNull(), F.lit("chapter has no content"))),
         _el(2 + b, "spacer", height=C.TITLE_SPACER_IN),
     )
     els = F.filter(F.concat(head, F.flatten(F.transform("paras", per_para))),
@@ -196,19 +216,8 @@ def pdf_elements(positioned: DataFrame) -> DataFrame:
     rows = positioned.select("book_id", F.col("id").alias("chapter_id"), "pdf_before",
                              F.inline(els))
     return rows.select("book_id", (F.col("pdf_before") + F.col("pos")).alias("seq"),
-                       "kind", "chapter_id", "part_idx", "text", "cap", "page_no", "align",
-                       "height_in")
-
-
-def layout_errors(elements: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Per-chapter fault isolation: a chapter whose content is missing is laid out with
-    its heading only and its title element carries ``element_error``; the rest of the
-    book is unaffected (Column expressions never fail one row)."""
-    bad = (chapters.where(F.col("content").isNull())
-           .select("book_id", F.col("id").alias("chapter_id"),
-                   F.lit("chapter has no content").alias("_err")).distinct())
-    j = elements.join(bad, ["book_id", "chapter_id"], "left")
-    return j.withColumn("element_error", F.when(F.col("kind") == "title", F.col("_err"))).drop("_err")
+                       "kind", "chapter_id", "part_idx", "text", "page_no", "align", "height_in",
+                       "element_error")
 
 
 def split_paragraphs(chapters: DataFrame) -> DataFrame:
@@ -223,15 +232,16 @@ def split_paragraphs(chapters: DataFrame) -> DataFrame:
 
 def render_text(elements: DataFrame) -> DataFrame:
     """Book read back as text, elements in ``seq`` order joined by newlines: a page break
-    renders as form feed, a spacer as an empty line, a drop cap glued to its body.
-    One string per book: use on books that passed the chapter limit."""
-    shown = (F.when(F.col("kind") == "break", F.lit("\f"))
-             .when(F.col("kind") == "spacer", F.lit(""))
-             .otherwise(F.concat(F.coalesce("cap", F.lit("")), F.col("text"))))
+    renders as form feed, a spacer or gap as an empty line, a drop cap is glued to its
+    body.  One string per book: the row is as large as the book."""
+    shown = (F.when(F.col("kind") == "break", F.lit("\f\n"))
+             .when(F.col("kind").isin("spacer", "gap"), F.lit("\n"))
+             .when(F.col("kind") == "dropcap", F.col("text"))
+             .otherwise(F.concat("text", F.lit("\n"))))
     parts = F.array_sort(F.collect_list(F.struct(F.col("seq"), shown.alias("t"))))
+    whole = F.array_join(F.transform(parts, lambda x: x["t"]), "")
     return elements.groupBy("book_id").agg(
-        F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"),
-        F.count("*").alias("n_elements"))
+        F.substring(whole, F.lit(1), F.length(whole) - 1).alias("text"), F.count("*").alias("n_elements"))
 
 
 def styled(elements: DataFrame, styles: DataFrame, fmt: str) -> DataFrame:

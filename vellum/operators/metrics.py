@@ -28,31 +28,25 @@ def layout_counts(positioned: DataFrame) -> DataFrame:
         F.count("*").alias("n_chapters"),
         F.sum("n_pages").cast("bigint").alias("n_pages"),
         F.sum("n_paras").cast("bigint").alias("n_paragraphs"),
+        F.count_if(F.col("n_pages") > 0).alias("_with_pages"),
         F.max_by("n_pages", F.struct("id", "ordinal")).alias("_last_pages"))
     return g.select(
         "book_id", "n_chapters", "n_pages", "n_paragraphs",
-        (F.col("n_chapters") + 3 * F.col("n_pages")
+        (F.col("n_chapters") + 3 * F.col("n_pages") + F.col("_with_pages")
          - F.when(F.col("_last_pages") > 0, 1).otherwise(0)).alias("docx_elements"),
         (3 * F.col("n_chapters") - 1 + 2 * F.col("n_paragraphs")).alias("pdf_elements"))
 
 
-def extraction_summary(all_pages: DataFrame) -> DataFrame:
-    """Per file: pages seen, pages kept (non-blank), skipped, characters kept.
-    Needs (file, text) with one row per page, blank ones included."""
-    blank = T.is_blank("text")
-    return all_pages.groupBy("file").agg(
-        F.count("*").alias("n_pages"),
-        F.count_if(~blank).alias("n_extracted"),
-        F.count_if(blank).alias("n_skipped"),
-        F.coalesce(F.sum(F.when(~blank, F.length("text"))), F.lit(0)).cast("bigint").alias("n_chars"))
-
-
-def char_volume(pairs: DataFrame) -> DataFrame:
-    """Characters sent to and received from the translator per source language."""
-    return pairs.groupBy("lang").agg(
-        F.count("*").alias("n_chapters"),
-        F.sum(F.length("source_text")).cast("bigint").alias("chars_in"),
-        F.sum(F.length("content")).cast("bigint").alias("chars_out"))
+def extraction_summary(files: DataFrame, text_col: str = "text", sep: str = "\f") -> DataFrame:
+    """Per file: pages seen, pages kept (non-blank), skipped, characters kept.  Row-local:
+    no page leaves its file."""
+    pages = F.split(F.col(text_col), sep, -1)
+    kept = F.filter(pages, lambda p: ~T.is_blank(p))
+    f = files.select("file", F.size(pages).cast("bigint").alias("n_pages"), kept.alias("kept"))
+    return f.select("file", "n_pages", F.size("kept").cast("bigint").alias("n_extracted"),
+                    (F.col("n_pages") - F.size("kept")).alias("n_skipped"),
+                    F.aggregate(F.transform("kept", lambda p: F.length(p).cast("bigint")),
+                                F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n_chars"))
 
 
 def run_log(events: DataFrame) -> DataFrame:

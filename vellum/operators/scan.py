@@ -30,6 +30,16 @@ from ..session import materialize
 _BLK = "_blk"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet each other; the keys come from the left side."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"__r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def _blocks(df: DataFrame, blocks: int | None) -> int:
     if blocks:
         return blocks
@@ -81,16 +91,19 @@ def running_sums(df: DataFrame, group: list[str], order: list[str],
                       *[F.sum(f"_t_{k}").over(wall).cast("bigint").alias(t) for t, k in totals.items()])
     # Joined on (block, group): balanced even for a hot group, and the same key as the
     # local window's partitioning, so the large side is not shuffled again.
-    out = local.join(info, [_BLK, *group], "inner")
+    out = null_safe_join(local, info, [_BLK, *group])
     out = out.withColumns({k: F.col(k) + F.col(f"_o_{k}") for k in weights})
     return out.drop(_BLK, *wcols, *[f"_o_{k}" for k in weights])
 
 
 def previous_values(df: DataFrame, group: list[str], order: list[str],
-                    columns: dict[str, str], *, bounded: bool = False,
+                    columns: dict[str, str], *, keep: list[str] | None = None, bounded: bool = False,
                     blocks: int | None = None) -> DataFrame:
     """For each ``out_name -> column``, adds the value of ``column`` on the previous row
-    of the same group in ``order`` (``lag``), NULL on the first row."""
+    of the same group in ``order`` (``lag``), NULL on the first row.  The result has the
+    group, the order, the columns and ``keep``; no other column of ``df`` is moved."""
+    # Only what the result needs is sorted and checkpointed.
+    df = df.select(*dict.fromkeys([*group, *order, *(keep or []), *columns.values()]))
     if bounded:
         w = Window.partitionBy(*group).orderBy(*order)
         return df.withColumns({k: F.lag(c).over(w) for k, c in columns.items()})
@@ -107,7 +120,7 @@ def previous_values(df: DataFrame, group: list[str], order: list[str],
     wt = Window.partitionBy(*group).orderBy(_BLK)
     carry = (last.select(_BLK, *group, F.lag("_last").over(wt).alias("_carry"))
                  .where(F.col("_carry").isNotNull()))   # continuing groups only: <= n rows
-    out = local.join(F.broadcast(carry), [_BLK, *group], "left")
+    out = null_safe_join(local, F.broadcast(carry), [_BLK, *group], "left")
     out = out.withColumns({
         k: F.when(F.col("_first") & F.col("_carry").isNotNull(), F.col("_carry")[c])
             .otherwise(F.col(k))

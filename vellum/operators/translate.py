@@ -1,6 +1,6 @@
-"""Translator stage: a pluggable per-chunk function run in Arrow batches.
+"""TextModel stage: a pluggable per-chunk function run in Arrow batches.
 
-The translator is a *parameter* of the job.  It is built once per Python worker
+The model is a *parameter* of the job.  It is built once per Python worker
 (one client per process), called once per non-blank chunk, retried with exponential
 backoff, and its failures become an ``error`` column instead of failing the task:
 a task retry would call the model again for the whole partition.
@@ -23,11 +23,11 @@ RESULT_COLUMNS = "translated string, attempts int, wait_s bigint, error string"
 DEFAULT_CONCURRENCY = 8
 
 
-class Translator(Protocol):
+class TextModel(Protocol):
     def translate(self, text: str, target_language: str, *, key=None, attempt: int = 1) -> str: ...
 
 
-class FunctionTranslator:
+class FunctionModel:
     """Adapts a plain ``f(text, target_language) -> str``."""
 
     def __init__(self, fn: Callable[[str, str], str]):
@@ -37,7 +37,23 @@ class FunctionTranslator:
         return self.fn(text, target_language)
 
 
-class MockTranslator:
+class LetterModel:
+    """Deterministic stand-in that reads every character: letters a-z and A-Z move 13
+    places, the rest stays, and the target language stands in front."""
+
+    FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    TO = "nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM"
+    TABLE = str.maketrans(FROM, TO)
+
+    def translate(self, text, target_language, *, key=None, attempt=1):
+        return f"[{target_language}] {text.translate(self.TABLE)}"
+
+    @classmethod
+    def column(cls, text: Column, language: Column) -> Column:
+        return F.concat(F.lit("["), language, F.lit("] "), F.translate(text, cls.FROM, cls.TO))
+
+
+class PreviewModel:
     """Deterministic stand-in: 'Translated to {lang}: {text[:20]}...' ("" for "")."""
 
     def translate(self, text, target_language, *, key=None, attempt=1):
@@ -50,7 +66,7 @@ class MockTranslator:
         return T.mock_translate_text(text, language)
 
 
-class IdentityTranslator:
+class IdentityModel:
     """Returns its input; shows the seams that chunking + stripping leave."""
 
     def translate(self, text, target_language, *, key=None, attempt=1):
@@ -61,7 +77,7 @@ class IdentityTranslator:
         return text
 
 
-class GlossaryTranslator:
+class GlossaryModel:
     """Replaces whole words found in a glossary (e.g. names that must stay fixed, or a
     term list).  Pass a ``SparkContext.broadcast`` of the dict for a large glossary: it
     then reaches each executor once instead of with every task."""
@@ -90,71 +106,37 @@ class GlossaryTranslator:
         return self._rx.sub(lambda m: self._lookup[m.group(0).lower()], text)
 
 
-class FlakyTranslator:
-    """Fails the first ``failures(key)`` attempts of each chunk, then delegates."""
-
-    def __init__(self, failures: Callable[[object], int], inner: Translator | None = None):
-        self.failures = failures
-        self.inner = inner or MockTranslator()
-
-    def translate(self, text, target_language, *, key=None, attempt=1):
-        if attempt <= self.failures(key):
-            raise RuntimeError(f"injected failure on attempt {attempt}")
-        return self.inner.translate(text, target_language, key=key, attempt=attempt)
-
-
-class DelayTranslator:
-    """Adds a fixed delay per call (a stand-in for model latency in benchmarks)."""
-
-    def __init__(self, seconds: float, inner: Translator | None = None):
-        self.seconds = seconds
-        self.inner = inner or MockTranslator()
-
-    def translate(self, text, target_language, *, key=None, attempt=1):
-        time.sleep(self.seconds)
-        return self.inner.translate(text, target_language, key=key, attempt=attempt)
-
-
-def fail_first_by_key(k: int):
-    """Failure count ``key % k`` (deterministic fault injection keyed by a column)."""
-    return lambda key: int(key) % k
-
-
-def fail_listed(keys, times: int):
-    """Failure count ``times`` for the listed keys, 0 for the others."""
-    listed = frozenset(keys)
-    return lambda key: times if key in listed else 0
-
-
 def no_sleep(_seconds: float) -> None:
     """Backoff that records instead of waiting (tests, fault injection)."""
     return None
 
 
-def translate_one(tr: Translator, text, language: str, key, max_retries: int,
+def wait_schedule(max_retries: int) -> tuple[int, ...]:
+    """Seconds to wait after each failure that is followed by another attempt."""
+    return tuple(C.BACKOFF_BASE ** k for k in range(1, max_retries + 1))
+
+
+def translate_one(model: TextModel, text, language: str, key, max_retries: int,
                   sleep: Callable[[float], None], strip_output: bool = True):
     """Returns (translated, attempts, waited seconds, error) for one chunk."""
     if text is None:
         return None, 0, 0, "no text"
     if not text.strip():
         return "", 0, 0, None
-    retries, waited, last = 0, 0, None
-    while retries <= max_retries:
+    waited = 0
+    for attempt, pause in enumerate((*wait_schedule(max_retries), None), 1):
         try:
-            out = tr.translate(text, language, key=key, attempt=retries + 1)
-            out = "" if out is None else out
-            return (out.strip() if strip_output else out), retries + 1, waited, None
-        except Exception as e:  # noqa: BLE001 - any translator failure is retried
-            last = e
-            retries += 1
-            if retries <= max_retries:
-                wait = C.BACKOFF_BASE ** retries
-                sleep(wait)
-                waited += wait
-    return None, retries, waited, C.RETRY_ERROR.format(n=max_retries, e=last)
-
-
-def _worker(factory: Callable[[], Translator], text_col: str, lang_col: str, key_col: str | None,
+            out = model.translate(text, language, key=key, attempt=attempt) or ""
+        except Exception as e:  # noqa: BLE001 - any failure of the model is tried again
+            if pause is None:
+                return None, attempt, waited, C.RETRY_ERROR.format(n=max_retries, e=e)
+            sleep(pause)
+            waited += pause
+        else:
+            return (out.strip() if strip_output else out), attempt, waited, None
+
+
+def _worker(factory: Callable[[], TextModel], text_col: str, lang_col: str, key_col: str | None,
             max_retries: int, sleep: Callable[[float], None], strip_output: bool,
             concurrency: int = 1):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +149,7 @@ def _worker(factory: Callable[[], Translator], text_col: str, lang_col: str, key
             if pool is not None:
                 pool.shutdown(wait=True)
 
-    def _translate_batch(pdf: pd.DataFrame, tr: Translator, pool) -> pd.DataFrame:
+    def _translate_batch(pdf: pd.DataFrame, tr: TextModel, pool) -> pd.DataFrame:
         keys = pdf[key_col] if key_col else [None] * len(pdf)
         args = list(zip(pdf[text_col], pdf[lang_col], keys))
 
@@ -186,7 +168,7 @@ def _worker(factory: Callable[[], Translator], text_col: str, lang_col: str, key
     return run
 
 
-def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Translator] | None = None,
+def translate_chunks(chunks: DataFrame, model: TextModel | Callable[[], TextModel] | None = None,
                      *, target_language: str | Column = C.DEFAULT_TARGET_LANGUAGE,
                      max_retries: int = C.MAX_RETRIES, key_col: str | None = None,
                      parallelism: int | None = None, sleep: Callable[[float], None] | None = None,
@@ -197,18 +179,18 @@ def translate_chunks(chunks: DataFrame, translator: Translator | Callable[[], Tr
     * Chunks are spread by a hash of their identity over ``parallelism`` tasks before
       the call (one long chapter becomes many rows, so it does not hold up one task);
       an explicit count is never coalesced by AQE, so it bounds concurrent callers.
-    * ``jvm=True`` with a translator that has a ``column`` form (mock, identity) runs
+    * ``jvm=True`` with a model that has a ``column`` form (mock, identity) runs
       as a Column expression with no Python worker.
     * ``sleep`` defaults to real waiting; tests and fault injection pass a no-op and
       read the waits from ``wait_s``.
     * ``concurrency`` calls are in flight per task (threads; model calls wait on I/O), so
-      the cluster has at most ``parallelism x concurrency`` open calls.  The translator
+      the cluster has at most ``parallelism x concurrency`` open calls.  The model
       object is shared by the threads of a worker and must be thread-safe.
     * ``dedupe=True`` calls the model once per distinct (target language, chunk text):
       equal chunks (copied documents, boilerplate) share one call, whose ``attempts`` and
       ``wait_s`` every copy reports.  See ``translate_distinct``.
     """
-    tr = translator if translator is not None else MockTranslator()
+    tr = model if model is not None else LetterModel()
     lang = target_language if isinstance(target_language, Column) else F.lit(target_language)
     df = chunks.withColumn("target_language", lang)
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import text as T
+from .scan import null_safe_join
+
+
+REJECT_NO_BOOK = "field required: book_id"
 
 
 def is_pdf(content_type) -> Column:
@@ -63,11 +67,14 @@ def file_reject_reason(files: DataFrame, limits: C.Limits | None = None,
 
 
 def request_reject_reason(requests: DataFrame, max_chapters: int = C.MAX_CHAPTERS) -> DataFrame:
-    """Chapter intake, in order: no chapters, too many chapters (limit inclusive)."""
-    n = F.coalesce(F.size("chapters"), F.lit(0))
+    """Chapter intake, in order: no chapters, too many chapters (limit inclusive).  The
+    chapters of all parts of a book count together; ``n_chapters`` is their number."""
+    own = F.coalesce(F.when(F.col("chapters").isNotNull(), F.size("chapters")), F.lit(0))
+    per = requests.groupBy("book_id").agg(F.sum(own).cast("bigint").alias("n_chapters"))
+    n = F.col("n_chapters")
     reason = (F.when(n <= 0, F.lit(C.REJECT_NO_CHAPTERS))
                .when(n > max_chapters, too_many_chapters_message(F.lit(max_chapters))))
-    return requests.withColumn("reject_reason", reason)
+    return null_safe_join(requests, per, ["book_id"]).withColumn("reject_reason", reason)
 
 
 def max_chapters_guard(chapters: DataFrame, max_chapters: int = C.MAX_CHAPTERS) -> DataFrame:
@@ -79,11 +86,12 @@ def max_chapters_guard(chapters: DataFrame, max_chapters: int = C.MAX_CHAPTERS)
                          .alias("reject_reason"))
 
 
-def within_chapter_limit(chapters: DataFrame, max_chapters: int = C.MAX_CHAPTERS) -> DataFrame:
-    """Chapters of the books that pass the limit.  After this, a book has at most
-    ``max_chapters`` rows: the bound that makes per-book strings and windows safe."""
-    ok = max_chapters_guard(chapters, max_chapters).where("accepted").select("book_id")
-    return chapters.join(ok, "book_id", "left_semi")
+def book_reject_reason(chapters: DataFrame, max_chapters: int = C.MAX_CHAPTERS) -> DataFrame:
+    """Per book (book_id, n_chapters, reject_reason): no book id, too many chapters."""
+    counts = chapters.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
+    return counts.withColumn("reject_reason", F.when(F.col("book_id").isNull(), F.lit(REJECT_NO_BOOK))
+                             .when(F.col("n_chapters") > max_chapters,
+                                   too_many_chapters_message(F.lit(max_chapters))))
 
 
 def blank_chapter_guard(chapters: DataFrame) -> DataFrame:

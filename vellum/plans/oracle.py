@@ -5,7 +5,8 @@ same fixed values and perturbations are spliced in from ``config`` / ``registry`
 from __future__ import annotations
 
 from .. import config as C
-from .registry import LANG, LANG_NAMES, LIMIT_OVERRIDES
+from ..operators.translate import LetterModel
+from .registry import EXTRA, JOB_OPTIONS, LANG, LANG_NAMES, LIMIT_OVERRIDES
 
 WS = "||".join(f"chr({ord(c)})" for c in C.WHITESPACE)
 NL2 = "chr(10)||chr(10)"
@@ -33,6 +34,15 @@ def mock(x: str, lang: str = LANG) -> str:
             f"|| substring({x}, 1, {C.MOCK_TEXT_PREVIEW}) || '...' end)")
 
 
+def letters(x: str, lang: str = LANG) -> str:
+    return f"({q('[' + lang + '] ')} || translate({x}, {q(LetterModel.FROM)}, {q(LetterModel.TO)}))"
+
+
+def job_id(intake: str, book: str, submission: str = "0") -> str:
+    coded = lambda x: f"coalesce(length({x}) || ':' || {x}, 'n')"
+    return "md5(" + " || ".join(coded(x) for x in (q(intake), f"cast({book} as varchar)", q(LANG), q("docx"), q(submission))) + ")"
+
+
 def fixed_decimal_py(n: int, den: int, d: int) -> str:
     scale = 10 ** d
     num = n * scale
@@ -55,9 +65,10 @@ CONV_CH = ("select conv_id as book_id, turn + 1 as id, turn as ordinal, text as
            "from conversations")
 
 
-def blanked(src: str, every: int = 7, b: str = "  ") -> str:
-    return (f"select * replace (case when id % {every} = 0 then {q(b)} else content end as content) "
-            f"from ({src})")
+def blanked(src: str, every: int = 7, b: str | None = "  ") -> str:
+    content = "cast(null as varchar)" if b is None else q(b)
+    return (f"select * from ({src}) union all select * replace (id + {EXTRA} as id, ordinal + {EXTRA} as ordinal, "
+            f"{content} as content) from ({src}) where id % {every} = 0")
 
 
 def paragraphed(src: str) -> str:
@@ -75,10 +86,10 @@ def slices(src: str, width: int, cap: int | None = None, keep_empty: bool = Fals
             f"from (select *, unnest(range(0, {n})) as i from ({src}))")
 
 
-def pos(src: str, width: int = C.CHARS_PER_PAGE, cap: int = C.MAX_PAGES_PER_CHAPTER) -> str:
+def pos(src: str, width: int = C.CHARS_PER_PAGE) -> str:
     return (f"select *, cast(row_number() over (partition by book_id order by id, ordinal) - 1 as integer) "
             f"as ch_idx, count(*) over (partition by book_id) as n_chapters, "
-            f"cast(least(ceil(length(content) / {width}.0), {cap}) as integer) as n_pages from ({src})")
+            f"cast(coalesce(ceil(length(content) / {width}.0), 0) as integer) as n_pages from ({src})")
 
 
 def page_rows(src: str) -> str:
@@ -102,19 +113,20 @@ def docx_ctes(src: str) -> str:
     return f"""{page_rows(src)},
 dels as (
   select book_id, ch_idx, -1 as j, 0 as rk, 'title' as kind, id as chapter_id, NULL::INTEGER as part_idx,
-         {title('id')} as text, NULL::VARCHAR as cap, NULL::BIGINT as page_no, 'RIGHT' as align from pos
+         {title('id')} as text, NULL::BIGINT as page_no, 'RIGHT' as align from pos
+  union all
+  select book_id, ch_idx, 0, 0, 'dropcap', id, page_idx, substring(text, 1, 1), NULL, NULL from pages where page_idx = 0
   union all
   select book_id, ch_idx, page_idx, 1, 'body', id, page_idx,
-         case when page_idx = 0 then substring(text, 2) else text end,
-         case when page_idx = 0 then substring(text, 1, 1) end, NULL, NULL from pages
+         case when page_idx = 0 then substring(text, 2) else text end, NULL, NULL from pages
   union all
-  select book_id, ch_idx, page_idx, 2, 'number', id, page_idx, cast(page_no as varchar), NULL, page_no,
+  select book_id, ch_idx, page_idx, 2, 'number', id, page_idx, cast(page_no as varchar), page_no,
          {ALIGN} from pages
   union all
-  select book_id, ch_idx, page_idx, 3, 'break', id, page_idx, NULL, NULL, NULL, NULL from pages
+  select book_id, ch_idx, page_idx, 3, 'break', id, page_idx, NULL, NULL, NULL from pages
   where {HAS_BREAK}),
 docx as (select book_id, row_number() over (partition by book_id order by ch_idx, j, rk) as seq, kind,
-  chapter_id, part_idx, text, cap, page_no, align, NULL::DOUBLE as height_in from dels)"""
+  chapter_id, part_idx, text, page_no, align, NULL::DOUBLE as height_in from dels)"""
 
 
 def pdf_ctes(src: str) -> str:
@@ -124,15 +136,16 @@ paras as (select book_id, id, ordinal, ch_idx, unnest(string_split(content, {NL2
 nb as (select * from paras where not {blank('para')}),
 pels as (
   select book_id, ch_idx, -1 as i, 0 as rk, 'break' as kind, id as chapter_id, NULL::INTEGER as part_idx,
-         NULL::VARCHAR as text, NULL::DOUBLE as height_in from ppos where ch_idx > 0
-  union all select book_id, ch_idx, -1, 1, 'title', id, NULL, {title('id')}, NULL from ppos
-  union all select book_id, ch_idx, -1, 2, 'spacer', id, NULL, NULL, {C.TITLE_SPACER_IN} from ppos
-  union all select book_id, ch_idx, i, 3, 'body', id, cast(i as integer), {esc('para')}, NULL from nb
-  union all select book_id, ch_idx, i, 4, 'spacer', id, cast(i as integer), NULL, {C.PARAGRAPH_SPACER_IN}
+         NULL::VARCHAR as text, NULL::DOUBLE as height_in, NULL::VARCHAR as element_error from ppos where ch_idx > 0
+  union all select book_id, ch_idx, -1, 1, 'title', id, NULL, {title('id')}, NULL,
+         case when content is null then 'chapter has no content' end from ppos
+  union all select book_id, ch_idx, -1, 2, 'spacer', id, NULL, NULL, {C.TITLE_SPACER_IN}, NULL from ppos
+  union all select book_id, ch_idx, i, 3, 'body', id, cast(i as integer), {esc('para')}, NULL, NULL from nb
+  union all select book_id, ch_idx, i, 4, 'gap', id, cast(i as integer), NULL, {C.PARAGRAPH_SPACER_IN}, NULL
   from nb),
 pdf as (select book_id, row_number() over (partition by book_id order by ch_idx, i, rk) as seq, kind,
-  chapter_id, part_idx, text, NULL::VARCHAR as cap, NULL::BIGINT as page_no,
-  case when kind = 'title' then 'RIGHT' end as align, height_in from pels)"""
+  chapter_id, part_idx, text, NULL::BIGINT as page_no,
+  case when kind = 'title' then 'RIGHT' end as align, height_in, element_error from pels)"""
 
 
 def chunks(src: str) -> str:
@@ -140,7 +153,7 @@ def chunks(src: str) -> str:
 
 
 def mock_translated(src: str) -> str:
-    return (f"select *, case when {blank('chunk')} then '' else {strip(mock('chunk'))} end as translated, "
+    return (f"select *, case when {blank('chunk')} then '' else {strip(letters('chunk'))} end as translated, "
             f"cast(case when {blank('chunk')} then 0 else 1 end as integer) as attempts, "
             f"cast(0 as bigint) as wait_s, false as failed from ({chunks(src)})")
 
@@ -151,11 +164,11 @@ def reassembled(tr: str, text: str = "translated", carry: str = "") -> str:
 
 
 def flaky(src: str, key: str) -> str:
-    """Chunks through a translator failing the first key % 6 attempts, 3 retries."""
+    """Chunks through a model failing the first key % 6 attempts, 3 retries."""
     k = f"({key} % 6)"
     err = q(C.RETRY_ERROR.format(n=C.MAX_RETRIES, e="injected failure on attempt 4"))
     return f"""select *,
-  case when {blank('chunk')} then '' when {k} <= 3 then {strip(mock('chunk'))} end as translated,
+  case when {blank('chunk')} then '' when {k} <= 3 then {strip(letters('chunk'))} end as translated,
   cast(case when {blank('chunk')} then 0 when {k} <= 3 then {k} + 1 else 4 end as integer) as attempts,
   cast(case when {blank('chunk')} or {k} = 0 then 0 when {k} = 1 then 2 when {k} = 2 then 6 else 14 end
        as bigint) as wait_s,
@@ -175,7 +188,7 @@ def job_events_sql() -> str:
   case when status = 'error' then {q(C.MSG_ERROR_PREFIX)} || props else case status {msg} end end as message,
   case when status = 'completed' then 'output/' || cast(user_id as varchar) || '.' ||
        case when value > 50 then 'pdf' else 'docx' end end as file_path,
-  NULL::INTEGER as current_chapter,
+  case when status = 'translating' then cast(json_extract_string(props, '$.k') as integer) end as current_chapter,
   case when status = 'queued' then cast(json_extract_string(props, '$.k') as integer) end as total_chapters,
   value, event_type
 from (select *, {st} as status from events)"""
@@ -184,12 +197,12 @@ from (select *, {st} as status from events)"""
 STATE = f"""ev as ({job_events_sql()}),
 f as (select job_id, status, message, event_id,
   last_value(progress ignore nulls) over w as lp, last_value(file_path ignore nulls) over w as lf,
-  last_value(total_chapters ignore nulls) over w as lt, count(*) over (partition by job_id) as n_events,
+  last_value(total_chapters ignore nulls) over w as lt, last_value(current_chapter ignore nulls) over w as lc, count(*) over (partition by job_id) as n_events,
   row_number() over (partition by job_id order by ts desc, event_id desc) as rn
   from ev window w as (partition by job_id order by ts, event_id
                        rows between unbounded preceding and unbounded following)),
 state as (select job_id, status, message, event_id as last_event_id, coalesce(lp, 0.0) as progress,
-  lf as file_path, cast(0 as integer) as current_chapter, cast(coalesce(lt, 0) as integer) as total_chapters,
+  lf as file_path, cast(coalesce(lc, 0) as integer) as current_chapter, cast(coalesce(lt, 0) as integer) as total_chapters,
   n_events from f where rn = 1)"""
 
 PROBES = "probes as (select c_custkey as job_id from customer)"
@@ -215,6 +228,7 @@ np as (select file, count(*) filter (where not {blank('line')}) as n_pages from
 fc as (select pf.*, coalesce(np.n_pages, 0) as n_pages,
   case when content_type is distinct from {q(C.PDF_CONTENT_TYPE)} then {q(C.REJECT_NOT_PDF)}
        when length > {mx} then {too_large(mx)}
+       when file % 5 = 0 and strlen(text) <> length(text) then {q(C.REJECT_EXTRACT_ERROR.format(e='not ASCII'))}
        when coalesce(np.n_pages, 0) = 0 then {q(C.REJECT_NO_TEXT)}
        when np.n_pages > {mc} then {q(a)} || cast(np.n_pages as varchar) || {q(b + str(mc) + c)}
   end as reject_reason
@@ -226,27 +240,27 @@ def jobs_both() -> str:
 books as (select source as book_id, count(*) as n from documents group by 1),
 fbooks as (select cast(file as varchar) as book_id, count(*) as n from pl where not {blank('line')} group by 1),
 jobs as (
-  select md5(concat_ws('|', 'chapters', book_id, {q(LANG)}, 'docx')) as job_id, book_id,
+  select {job_id('chapters', 'book_id')} as job_id, book_id,
          'chapters' as intake, {q(C.STATUS_QUEUED)} as status, 0.0::DOUBLE as progress,
          cast(0 as integer) as current_chapter, cast(n as integer) as total_chapters,
          {q(C.MSG_QUEUED)} as message, {q(LANG)} as target_language, 'docx' as output_format from books
   union all
-  select md5(concat_ws('|', 'files', book_id, {q(LANG)}, 'docx')), book_id, 'files', {q(C.STATUS_PENDING)},
+  select {job_id('files', 'book_id')}, book_id, 'files', {q(C.STATUS_PENDING)},
          0.0, 0, cast(n as integer), {q(C.MSG_PENDING)}, NULL, NULL from fbooks)"""
 
 
 # --- A ---------------------------------------------------------------------------------
 SQL["scan_book_requests"] = (f"select cast(book_id as varchar) as book_id, id, ordinal, content, "
                              f"{q(LANG)} as target_language from ({CONV_CH})")
-SQL["schema_check"] = """select cast(conv_id as varchar) as book_id,
+SQL["schema_check"] = """select distinct cast(conv_id as varchar) as book_id, turn // 3 as part,
   case conv_id % 9 when 1 then 'field required: target_language' when 2 then 'malformed request' end as schema_error
-from conversations group by conv_id"""
-SQL["empty_request"] = f"""select cast(conv_id as varchar) as book_id,
-  cast(case when conv_id % 9 = 0 then 0 else count(*) end as integer) as n_chapters,
-  case when conv_id % 9 = 0 then {q(C.REJECT_NO_CHAPTERS)}
-       when count(*) > {C.MAX_CHAPTERS} then {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=C.MAX_CHAPTERS))} end
-  as reject_reason
-from conversations where conv_id % 9 not in (1, 2) group by conv_id"""
+from conversations"""
+SQL["empty_request"] = f"""with n as (select conv_id, cast(case when conv_id % 9 = 0 then 0 else count(*) end as bigint) as n
+  from conversations where conv_id % 9 not in (1, 2) group by conv_id)
+select distinct cast(conv_id as varchar) as book_id, turn // 3 as part, n as n_chapters,
+  case when n = 0 then {q(C.REJECT_NO_CHAPTERS)}
+       when n > 5 then {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=5))} end as reject_reason
+from conversations join n using (conv_id)"""
 SQL["extract_errors"] = f"""with l as (select page_id, strlen(html) <> length(html) as failed,
   unnest(string_split(html || chr(10), chr(10))) as line from pages)
 select page_id as file, cast(case when bool_or(failed) then 0 else count(*) filter (where not {blank('line')}) end
@@ -268,9 +282,10 @@ select tenant, cast(coalesce(mfs, {C.MAX_FILE_SIZE}) as bigint) as max_file_size
 from t left join ov using (tenant)"""
 
 # --- B ---------------------------------------------------------------------------------
-_JOBID_CONV = f"md5(concat_ws('|', 'chapters', cast(book_id as varchar), {q(LANG)}, 'docx'))"
+_JOBID_CONV = job_id("chapters", "book_id")
 SQL["artifact_roundtrip"] = f"""with ch as ({CONV_CH}), {docx_ctes('ch')}
-select {_JOBID_CONV} as job_id, seq, kind, text from docx"""
+select {_JOBID_CONV} as job_id, seq, kind, case when book_id % 3 = 0 then 'v2 ' || text else text end as text
+from docx"""
 SQL["submission_response"] = f"""with {jobs_both()}
 select job_id, book_id, intake, case when intake = 'chapters' then 200 else 202 end as http_status,
   '{{"job_id":"' || job_id || '","status":"' || status || '","message":"' ||
@@ -336,19 +351,24 @@ select p.job_id, coalesce(s.status, 'completed') as status, coalesce(s.progress,
   coalesce(s.message, {q(C.MSG_MISSING_AS_DONE)}) as message
 from probes p left join state s using (job_id)"""
 SQL["edit_update"] = f"""select book_id, id, id % 4 = 0 as edited,
-  case when id % 8 = 0 then '[rev 2] ' || substring(content, 1, 40)
-       when id % 4 = 0 then '[rev 1] ' || substring(content, 1, 40) else content end as content
+  case when id % 8 = 0 then '[rev 2] ' || content
+       when id % 4 = 0 then '[rev 1] ' || content else content end as content
 from ({DOC_CH})"""
 _styles = ", ".join("(" + ", ".join("NULL" if v is None else (q(v) if isinstance(v, str) else str(v))
                                      for v in row) + ")" for row in C.STYLES)
 SQL["styled_elements"] = f"""with ch as ({CONV_CH}), {docx_ctes('ch')}, {pdf_ctes('ch')},
 st(format, kind, font, size, style_align, "leading", indent, space_after, sheight) as (values {_styles}),
-allx as (select 'docx' as format, * from docx union all select 'pdf', * from pdf)
+allx as (select 'docx' as format, * from docx union all select 'pdf', * exclude (element_error) from pdf)
 select a.format, a.book_id, a.seq, a.kind, st.font, cast(st.size as double) as size,
   case when st.style_align = 'PARITY' then a.align else coalesce(st.style_align, a.align) end as align,
   cast(st."leading" as double) as "leading", cast(st.indent as double) as indent,
   cast(st.space_after as double) as space_after, a.height_in
 from allx a left join st on st.format = a.format and st.kind = a.kind"""
+SQL["page_geometry"] = f"""select distinct source as book_id, {C.PAGE_WIDTH_IN}::DOUBLE as page_width_in,
+  {C.PAGE_HEIGHT_IN}::DOUBLE as page_height_in, {C.MARGIN_LEFT_IN}::DOUBLE as margin_left_in,
+  {C.MARGIN_RIGHT_IN}::DOUBLE as margin_right_in, {C.MARGIN_TOP_IN}::DOUBLE as margin_top_in,
+  {C.MARGIN_BOTTOM_IN}::DOUBLE as margin_bottom_in, 4.75::DOUBLE as text_width_in, 8.0::DOUBLE as text_height_in
+from documents"""
 
 # --- E ---------------------------------------------------------------------------------
 SQL["reassemble_chapters"] = f"""select book_id, id, content from ({reassembled(
@@ -356,19 +376,20 @@ SQL["reassemble_chapters"] = f"""select book_id, id, content from ({reassembled(
 SQL["chapter_counts"] = "select source as book_id, count(*) as n_chapters from documents group by 1"
 SQL["chapter_length_lists"] = f"""select book_id, string_agg(cast(id as varchar), ',' order by id, ordinal) as ids,
   string_agg(cast(length(content) as varchar), ',' order by id, ordinal) as lengths
-from ({CONV_CH}) where book_id in (select conv_id from conversations group by 1 having count(*) <= {C.MAX_CHAPTERS})
-group by book_id"""
-SQL["next_chapter_id"] = "select source as book_id, max(doc_id) + 1 as next_id from documents group by 1"
+from ({CONV_CH}) group by book_id"""
+SQL["next_chapter_id"] = """select c_custkey as book_id, coalesce(max(turn) + 1, 0) + 1 as next_id
+from customer left join conversations on conv_id = c_custkey group by c_custkey"""
 SQL["layout_counts"] = f"""with ch as ({blanked(paragraphed(DOC_CH), 7, '')}),
 pc as (select book_id, ordinal, count(*) filter (where not {blank('para')}) as nb from
   (select book_id, ordinal, unnest(string_split(content, {NL2})) as para from ch) group by all),
-c as (select ch.book_id, cast(least(ceil(length(content) / 3000.0), 10) as bigint) as n_pages, coalesce(pc.nb, 0) as nb,
+c as (select ch.book_id, cast(ceil(length(content) / 3000.0) as bigint) as n_pages, coalesce(pc.nb, 0) as nb,
   row_number() over (partition by ch.book_id order by ch.id desc, ch.ordinal desc) as rlast
   from ch left join pc using (book_id, ordinal)),
 g as (select book_id, count(*) as n_chapters, sum(n_pages) as n_pages, sum(nb) as n_paragraphs,
+  count(*) filter (where n_pages > 0) as with_pages,
   max(case when rlast = 1 then n_pages end) as last_pages from c group by 1)
 select book_id, n_chapters, cast(n_pages as bigint) as n_pages, cast(n_paragraphs as bigint) as n_paragraphs,
-  cast(n_chapters + 3 * n_pages - case when last_pages > 0 then 1 else 0 end as bigint) as docx_elements,
+  cast(n_chapters + 3 * n_pages + with_pages - case when last_pages > 0 then 1 else 0 end as bigint) as docx_elements,
   cast(3 * n_chapters - 1 + 2 * n_paragraphs as bigint) as pdf_elements from g"""
 SQL["extraction_summary"] = f"""with l as (select id as file, unnest(string_split(content, chr(10))) as text
   from ({paragraphed(DOC_CH)}))
@@ -406,14 +427,11 @@ from (select source as book_id, doc_id % 10 as id, doc_id as ordinal from docume
 SQL["paginate_docx"] = f"""select 'default' as layout, book_id, id, idx as page_idx, piece as text from ({slices(DOC_CH, 3000, 10)})
 union all
 select 'small', book_id, id, idx, piece from ({slices(DOC_CH, 500, 3)})"""
-SQL["truncation_audit"] = f"""select book_id, id, cast(length(content) as bigint) as n_chars,
-  cast(least(ceil(length(content) / 3000.0), 10) as integer) as pages_kept,
-  cast(ceil(length(content) / 3000.0) - least(ceil(length(content) / 3000.0), 10) as integer) as pages_dropped,
-  cast(greatest(length(content) - 30000, 0) as bigint) as chars_lost,
-  cast(least(ceil(length(content) / 500.0), 3) as integer) as pages_kept_small,
-  cast(ceil(length(content) / 500.0) - least(ceil(length(content) / 500.0), 3) as integer) as pages_dropped_small,
-  cast(greatest(length(content) - 1500, 0) as bigint) as chars_lost_small
-from ({DOC_CH})"""
+SQL["truncation_audit"] = " union all ".join(f"""select '{name}' as layout, book_id, id,
+  cast(length(content) as bigint) as n_chars, cast(least(ceil(length(content) / {w}.0), {cap}) as integer) as pages_kept,
+  cast(ceil(length(content) / {w}.0) - least(ceil(length(content) / {w}.0), {cap}) as integer) as pages_dropped,
+  cast(greatest(length(content) - {w * cap}, 0) as bigint) as chars_lost
+from ({DOC_CH})""" for name, w, cap in (("default", 3000, 10), ("small", 500, 3)))
 
 # --- H ---------------------------------------------------------------------------------
 SQL["intake_union"] = f"""with {PAGE_FILES}, {PAGE_LINES}
@@ -425,23 +443,20 @@ where not {blank('line')}"""
 SQL["edit_append"] = f"""select book_id, id, ordinal, content from ({CONV_CH})
 union all select book_id, max(id) + 1, max(ordinal) + 1, '' from ({CONV_CH}) group by book_id"""
 SQL["edit_remove"] = f"""with ch as ({CONV_CH}), n as (select book_id, count(*) as n from ch group by 1)
-select book_id, id, ordinal from ch join n using (book_id) where not (id = 1 and n > 1)"""
+select book_id, id, ordinal from ch join n using (book_id)
+where case when n = 1 then true when book_id % 3 = 0 then id = n else id <> 1 end"""
 
 # --- I ---------------------------------------------------------------------------------
 SQL["blank_flags"] = f"select id as doc_id, {blank('content')} as is_blank from ({blanked(DOC_CH)})"
 SQL["strip_text"] = f"select doc_id, {strip(chr(39) + ' ' + chr(39) + ' || text || chr(10)')} as stripped from documents"
 SQL["chunk_chapters"] = f"select book_id, id, chunk_idx, chunk from ({chunks(DOC_CH)})"
 SQL["drop_caps"] = f"""select book_id, id, substring(piece, 1, 1) as cap, substring(piece, 2) as rest
-from ({slices(CONV_CH, 3000, 10)}) where idx = 0"""
+from ({slices(CONV_CH, 3000)}) where idx = 0"""
 SQL["split_paragraphs"] = f"""with p as (select book_id, id, unnest(string_split(content, {NL2})) as para,
   unnest(range(0, len(string_split(content, {NL2})))) as i from ({paragraphed(DOC_CH)}))
 select book_id, id, cast(i as integer) as para_idx, {esc('para')} as text from p where not {blank('para')}"""
 SQL["xml_escape"] = f"select page_id, {esc('html')} as escaped from pages"
 SQL["chapter_titles"] = f"select book_id, id, {title('id')} as title from ({DOC_CH})"
-SQL["retry_schedule"] = """select doc_id, cast(doc_id % 6 as integer) as failures,
-  cast(case when doc_id % 6 <= 3 then doc_id % 6 + 1 else 4 end as integer) as attempts,
-  cast(case doc_id % 6 when 0 then 0 when 1 then 2 when 2 then 6 else 14 end as bigint) as total_wait_s,
-  doc_id % 6 > 3 as gives_up from documents"""
 SQL["size_text"] = f"""with {PAGE_FILES}
 select file, length, {fixed_decimal('length', 1024, 2)} as kb, {fixed_decimal('length', 1048576, 1)} as mb1,
   {fixed_decimal('length', 1048576, 2)} as mb2 from pf"""
@@ -479,8 +494,18 @@ SQL["translate_books"] = f"""select book_id, bool_or(error is not null) as faile
 from ({flaky(_CONV_FK, 'fault_key')}) group by book_id"""
 
 # --- K ---------------------------------------------------------------------------------
+_MAX = JOB_OPTIONS.limits.max_chapters
+_WITHIN = f"book_id in (select conv_id from conversations group by conv_id having count(*) <= {_MAX})"
+SQL["job_elements"] = f"""with f as (select * from ({flaky(_CONV_FK, 'fault_key')}) where {_WITHIN}),
+r as (select book_id, ordinal, id, string_agg(translated, chr(10) order by chunk_idx) as content from f
+  where book_id not in (select book_id from f where error is not null) group by all),
+{docx_ctes('select * from r')}
+select {_JOBID_CONV} as job_id, seq, kind, chapter_id, text, page_no from docx"""
+SQL["job_rejects"] = f"""select conv_id as book_id, count(*) as n_chapters,
+  {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=_MAX))} as reject_reason
+from conversations group by conv_id having count(*) > {_MAX}"""
 SQL["job_lifecycle"] = f"""with o as (select book_id, bool_or(error is not null) as failed, min(error) as error
-  from ({flaky(_CONV_FK, 'fault_key')}) group by book_id),
+  from ({flaky(_CONV_FK, 'fault_key')}) where {_WITHIN} group by book_id),
 j as (select {_JOBID_CONV} as job_id, o.* from o)
 select job_id, 0 as seq, {q(C.STATUS_QUEUED)} as status, 0.0::DOUBLE as progress, {q(C.MSG_QUEUED)} as message,
   NULL::VARCHAR as file_path from j
@@ -499,16 +524,14 @@ select book_id, id, page_idx, page_no, {ALIGN} as align, {HAS_BREAK} as has_brea
 
 # --- L ---------------------------------------------------------------------------------
 SQL["docx_elements"] = (f"with ch as ({blanked(DOC_CH, 7, '')}), {docx_ctes('ch')} "
-                        f"select book_id, seq, kind, chapter_id, part_idx, text, cap, page_no, align from docx")
+                        f"select book_id, seq, kind, chapter_id, part_idx, text, page_no, align from docx")
 SQL["pdf_elements"] = (f"with ch as ({paragraphed(DOC_CH)}), {pdf_ctes('ch')} "
                        f"select book_id, seq, kind, chapter_id, part_idx, text, height_in from pdf")
-_NULLED = f"select * replace (case when id % 11 = 0 then NULL else content end as content) from ({DOC_CH})"
-SQL["layout_errors"] = f"""with ch as ({_NULLED}), {pdf_ctes('ch')}
-select book_id, seq, kind, chapter_id, case when kind = 'title' and chapter_id % 11 = 0
-  then 'chapter has no content' end as element_error from pdf"""
+SQL["layout_errors"] = f"""with ch as (select * replace (id % 10 as id) from ({blanked(DOC_CH, 11, None)})), {pdf_ctes('ch')}
+select book_id, seq, kind, chapter_id, element_error from pdf"""
 SQL["render_book_text"] = f"""with ch as ({CONV_CH}), {docx_ctes('ch')}
-select book_id, string_agg(case kind when 'break' then chr(12) when 'spacer' then ''
-  else coalesce(cap, '') || text end, chr(10) order by seq) as text, count(*) as n_elements
+select book_id, rtrim(string_agg(case kind when 'break' then chr(12) || chr(10) when 'dropcap' then text
+  else text || chr(10) end, '' order by seq), chr(10)) as text, count(*) as n_elements
 from docx group by book_id"""
 
 # --- M ---------------------------------------------------------------------------------
@@ -519,7 +542,7 @@ g as (select job_id, count(*) as n_events, first(status order by ts, event_id) a
 select job_id, n_events, first_status, last_status, us / 1e6 as elapsed_s,
   {fixed_decimal('us', 1000000, 4)} as elapsed_text from g"""
 SQL["pipeline_metrics"] = """with g as (select source as book_id, count(*) as n_chapters,
-  sum(greatest(ceil(length(text) / 4000.0), 1)) as n_chunks, sum(least(ceil(length(text) / 3000.0), 10)) as n_pages,
+  sum(greatest(ceil(length(text) / 4000.0), 1)) as n_chunks, sum(ceil(length(text) / 3000.0)) as n_pages,
   sum(length(text)) as n_chars from documents group by 1)
 select book_id, 'n_chapters' as metric, cast(n_chapters as bigint) as value from g
 union all select book_id, 'n_chunks', cast(n_chunks as bigint) from g
@@ -528,6 +551,8 @@ union all select book_id, 'n_chars', cast(n_chars as bigint) from g"""
 
 # --- N ---------------------------------------------------------------------------------
 SQL["stream_intake"] = f"select book_id, id, ordinal, content from ({CONV_CH})"
-SQL["stream_translate"] = f"select book_id, id, content from ({reassembled(mock_translated(CONV_CH))})"
-SQL["stream_job_state"] = (f"with {STATE} select job_id, status, message, progress, file_path, total_chapters, "
-                           f"n_events from state")
+SQL["stream_translate"] = f"""with ok as (select conv_id from conversations group by conv_id having count(*) <= {_MAX}),
+r as ({reassembled(mock_translated(CONV_CH))}), {docx_ctes('select * from r where book_id in (select conv_id from ok)')}
+select cast(book_id as varchar) as book_id, seq, kind, text from docx"""
+SQL["stream_job_state"] = (f"with {STATE} select job_id, status, message, progress, file_path, current_chapter, "
+                           f"total_chapters, n_events from state")

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
+from ..functions import text as T
 from ..operators import chunking, jobs, layout, translate, validate
+from ..operators.scan import null_safe_join
 from ..session import materialize as _materialize
 
 
@@ -23,27 +25,27 @@ class Translated:
         return self.all_chapters.join(self.ok_books, "book_id", "left_semi")
 
 
-def translate_books(chapters: DataFrame, translator=None, opts: C.PipelineOptions = C.PipelineOptions(),
+def translate_books(chapters: DataFrame, model=None, opts: C.PipelineOptions = C.PipelineOptions(),
                     *, key_col: str | None = None, jvm: bool = False, materialize: bool | None = None,
                     carry: list[str] | None = None, sleep=None,
                     parallelism: int | None = None) -> Translated:
     """Chunk, translate, reassemble; a book with any failed chunk yields no chapters.
 
     The reassembled chapter table (with per-chapter failure) is written once to the
-    shared folder (``materialize``, on by default for a Python translator): outcomes,
+    shared folder (``materialize``, on by default for a Python model): outcomes,
     the filtered chapters and the layout all read it, so each chunk reaches the model
     once even though several branches consume the result."""
     carry = list(carry or [])
     if key_col and key_col not in carry:
         carry.append(key_col)
     chunks = chunking.chunk_chapters(chapters, opts.chunk_size, carry=carry)
-    tr = translate.translate_chunks(chunks, translator, target_language=opts.target_language,
+    tr = translate.translate_chunks(chunks, model, target_language=opts.target_language,
                                     max_retries=opts.max_retries, key_col=key_col, jvm=jvm,
                                     sleep=sleep, parallelism=parallelism, dedupe=opts.dedupe)
     keep = [c for c in carry if c != key_col]
     all_ch = chunking.reassemble(tr, carry=keep)
     if materialize is None:
-        materialize = not (jvm and hasattr(translator, "column"))
+        materialize = not (jvm and hasattr(model, "column"))
     if materialize:
         all_ch = _materialize(all_ch)
     outcomes = translate.book_outcomes(all_ch)
@@ -58,18 +60,18 @@ def numbered_pages(t: Translated, opts: C.PipelineOptions = C.PipelineOptions(),
     return pages.select("book_id", "id", "page_idx", "page_no", "align", "has_break", "text")
 
 
-def flagship(chapters: DataFrame, translator=None,
+def flagship(chapters: DataFrame, model=None,
              opts: C.PipelineOptions = C.PipelineOptions(), *, bounded: bool = False,
              key_col: str | None = None, sleep=None) -> DataFrame:
     """The numbered pages of every translated book (DOCX pagination).
 
-    Shuffles of text: source chunks once (spread over the translator tasks), translated
+    Shuffles of text: source chunks once (spread over the model tasks), translated
     chunks once (reassembly).  The translated chunks are written once; page positions
     come from a slim aggregate of their lengths (a chapter's length is the sum of its
     translated chunks plus the newlines between them) and are joined to the chunks
     before the reassembly exchange, which then carries them at no extra shuffle."""
     chunks = chunking.chunk_chapters(chapters, opts.chunk_size, carry=[key_col] if key_col else None)
-    tr = translate.translate_chunks(chunks, translator, target_language=opts.target_language,
+    tr = translate.translate_chunks(chunks, model, target_language=opts.target_language,
                                     max_retries=opts.max_retries, key_col=key_col, sleep=sleep,
                                     dedupe=opts.dedupe)
     # Only what the layout reads is written: not the source slice, not the language
@@ -78,12 +80,11 @@ def flagship(chapters: DataFrame, translator=None,
     per_ch = tr.groupBy(*chunking.CHAPTER_KEY).agg(
         (F.sum(F.length("translated")) + F.count("*") - 1).alias("n_out"),
         F.bool_or(F.col("error").isNotNull()).alias("failed"))
-    pages = F.ceil(F.col("n_out") / F.lit(opts.chars_per_page))
     slim = per_ch.select(
-        *chunking.CHAPTER_KEY, F.coalesce(F.least(pages, F.lit(opts.max_pages)), F.lit(0))
-        .cast("int").alias("n_pages"), F.lit(0).alias("n_paras"), "failed")
+        *chunking.CHAPTER_KEY, layout.page_count(F.col("n_out"), opts.chars_per_page, opts.max_pages).alias("n_pages"),
+        F.lit(0).alias("n_paras"), "failed")
     pos = layout.scan_positions(slim, bounded=bounded)      # also drops books with a failed chunk
-    joined = tr.join(pos.drop("failed"), chunking.CHAPTER_KEY)
+    joined = null_safe_join(tr, pos.drop("failed"), chunking.CHAPTER_KEY)
     if key_col:
         joined = joined.drop(key_col)
     chapters_out = chunking.reassemble(joined, carry=["n_pages", *layout.POSITION_COLUMNS])
@@ -91,21 +92,35 @@ def flagship(chapters: DataFrame, translator=None,
     return out.select("book_id", "id", "page_idx", "page_no", "align", "has_break", "text")
 
 
-def run_jobs(chapters: DataFrame, translator=None, opts: C.PipelineOptions = C.PipelineOptions(),
-             *, key_col: str | None = None, sleep=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Books within the chapter limit -> job rows, lifecycle events, DOCX or PDF elements.
-    Because of the limit, per-book steps here may use plain windows (``bounded``)."""
-    ok = validate.within_chapter_limit(chapters, opts.limits.max_chapters)
-    books = ok.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
-    job_rows = jobs.submit_jobs(books, "chapters", opts.target_language, opts.output_format)
-    t = translate_books(ok, translator, opts, key_col=key_col, sleep=sleep)
+@dataclass
+class JobRun:
+    jobs: DataFrame          # one row per accepted book
+    events: DataFrame        # lifecycle of every job
+    elements: DataFrame      # layout of the books that succeeded, with job_id
+    rejects: DataFrame       # refused books with their reason
+
+
+def run_jobs(chapters: DataFrame, model=None, opts: C.PipelineOptions = C.PipelineOptions(),
+             *, key_col: str | None = None, sleep=None, submission: str = "0") -> JobRun:
+    """Intake to artifact rows: every book either becomes a job, with its events and, when
+    all its chunks succeed, its elements, or a reject row with the reason.
+
+    The job id is a function of the row, so no join on the book brings it to the
+    elements.  Positions come from the skew-safe scan: a book may be of any size."""
+    books = validate.book_reject_reason(chapters, opts.limits.max_chapters)
+    ok, bad = validate.split_rejects(books)
+    accepted = chapters.join(ok.select("book_id"), "book_id", "left_semi")
+    job_rows = jobs.submit_jobs(ok, "chapters", opts.target_language, opts.output_format, submission)
+    t = translate_books(accepted, model, opts, key_col=key_col, sleep=sleep)
     events = jobs.lifecycle_events(job_rows, t.outcomes)
-    pos = layout.chapter_positions(t.all_chapters, bounded=True, drop_failed_books=True,
+    pos = layout.chapter_positions(t.all_chapters, drop_failed_books=True,
                                    paragraphs=opts.output_format == "pdf",
                                    chars_per_page=opts.chars_per_page, max_pages=opts.max_pages)
     if opts.output_format == "pdf":
         els = layout.pdf_elements(pos)
     else:
         els = layout.docx_elements(pos, opts.chars_per_page, opts.max_pages)
-    els = els.join(job_rows.select("book_id", "job_id"), "book_id")
-    return job_rows, events, els
+    job_id = T.job_id_hash(F.lit("chapters"), "book_id", F.lit(opts.target_language), F.lit(opts.output_format),
+                           F.lit(submission))
+    return JobRun(job_rows, events, els.withColumn("job_id", job_id),
+                  bad.select("book_id", "n_chapters", "reject_reason"))

@@ -3,8 +3,8 @@ DataFrame`` over the driver tables (whole tables, whole texts).  Column names an
 match the DuckDB statements in ``oracle.py``.
 
 Perturbations (applied identically in ``oracle.py``) make rules fire that the raw
-tables never trigger: blank chapters, surrounding white space, blank lines, page caps,
-repeated ids, failing translator calls.  They rewrite values; they never drop rows.
+tables never trigger: blank and missing chapters, blank lines, repeated ids, failing model
+calls.  They add rows or text to the tables' own and take none away.
 """
 from __future__ import annotations
 
@@ -16,9 +16,10 @@ from .. import config as C
 from ..functions import text as T
 from ..operators import chunking, edits, jobs, layout, metrics, translate, validate
 from ..operators.scan import running_sums
+from ..sinks import read_artifacts, write_artifacts, write_rejects
 from ..sources import files as FS, options as O, requests as RQ, tables as TB
 from ..session import scratch_path
-from . import pipeline
+from . import faults, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,10 +34,15 @@ def query(fn: Query) -> Query:
 
 # --- perturbations ---------------------------------------------------------------
 
-def blanked(ch: DataFrame, every: int = 7, blank: str = "  ") -> DataFrame:
-    """Every ``every``-th chapter (by id) becomes ``blank``."""
-    return ch.withColumn("content", F.when(F.col("id") % every == 0, F.lit(blank))
-                         .otherwise(F.col("content")))
+EXTRA = 1_000_000_000        # ids of added chapters start here
+
+
+def blanked(ch: DataFrame, every: int = 7, blank: str | None = "  ") -> DataFrame:
+    """An extra chapter with the content ``blank`` for every ``every``-th one (by id)."""
+    extra = ch.where(F.col("id") % every == 0).withColumns({
+        "id": F.col("id") + EXTRA, "ordinal": F.col("ordinal") + EXTRA,
+        "content": F.lit(blank).cast("string")})
+    return ch.unionByName(extra)
 
 
 def paragraphed(ch: DataFrame) -> DataFrame:
@@ -54,17 +60,13 @@ def convs(spark, sf):
     return TB.conversation_chapters(spark, sf)
 
 
-def str_book(df: DataFrame) -> DataFrame:
-    return df.withColumn("book_id", F.col("book_id").cast("string"))
-
-
 # --- A: sources --------------------------------------------------------------------
 
 @query
 def scan_book_requests(spark, sf):
     """A1: requests landed as JSON lines, read back with an explicit schema, flattened."""
     path = scratch_path(spark, "requests")
-    RQ.requests_from_chapters(convs(spark, sf), LANG).write.json(path)
+    RQ.requests_from_chapters(convs(spark, sf), LANG, 3).write.json(path)      # parts of 3
     req = RQ.schema_reject_reason(RQ.read_requests(spark, path))
     ok = req.where(F.col("schema_error").isNull())
     return RQ.request_chapters(ok).select("book_id", "id", "ordinal", "content", "target_language")
@@ -73,7 +75,7 @@ def scan_book_requests(spark, sf):
 def _landed_requests(spark, sf):
     """Conversation books landed as JSON requests, some of them faulty: every 9th book
     has no chapters, the next has no target language, the next has word ids."""
-    req = RQ.requests_from_chapters(convs(spark, sf), LANG).withColumn("k", F.col("book_id").cast("bigint") % 9)
+    req = RQ.requests_from_chapters(convs(spark, sf), LANG, 3).withColumn("k", F.col("book_id").cast("bigint") % 9)
     req = req.withColumns({
         "chapters": F.when(F.col("k") == 0, F.array().cast(req.schema["chapters"].dataType))
                      .otherwise(F.col("chapters")),
@@ -90,15 +92,16 @@ def _landed_requests(spark, sf):
 def schema_check(spark, sf):
     """Required fields present and typed (missing field vs wrongly typed value)."""
     r = RQ.schema_reject_reason(_landed_requests(spark, sf))
-    return r.select("book_id", "schema_error")
+    return r.select("book_id", "part", "schema_error")
 
 
 @query
 def empty_request(spark, sf):
-    """C6 (+ C5 on the chapter route): a well-formed request without chapters is refused."""
+    """C6 (+ C5 on the chapter route): a well-formed request without chapters is refused, and
+    so is one whose parts have more than five together."""
     r = RQ.schema_reject_reason(_landed_requests(spark, sf)).where(F.col("schema_error").isNull())
-    r = validate.request_reject_reason(r)
-    return r.select("book_id", F.size("chapters").cast("int").alias("n_chapters"), "reject_reason")
+    r = validate.request_reject_reason(r, 5)
+    return r.select("book_id", "part", "n_chapters", "reject_reason")
 
 
 def _page_files_on_disk(spark, sf):
@@ -159,17 +162,21 @@ def limits_resolved(spark, sf):
 
 @query
 def artifact_roundtrip(spark, sf):
-    """B1: element rows written per job (dynamic partition overwrite), read back."""
-    ch = validate.within_chapter_limit(convs(spark, sf))
-    pos = layout.chapter_positions(ch, bounded=True)
-    els = layout.docx_elements(pos).withColumn(
-        "job_id", T.job_id_hash(F.lit("chapters"), "book_id", F.lit(LANG), F.lit("docx")))
-    from ..sinks import write_artifacts
+    """B1: element rows written by job, one run twice (the second replaces the first), and
+    some jobs in a later run whose rows win; read back."""
+    pos = layout.chapter_positions(convs(spark, sf))
+    els = layout.docx_elements(pos).withColumn("job_id", _conv_job_id())
+    els = els.select("book_id", "job_id", "seq", "kind", "text")
     path = scratch_path(spark, "artifacts")
-    write_artifacts(els.select("job_id", "seq", "kind", "text"), path)
-    write_artifacts(els.select("job_id", "seq", "kind", "text"), path)   # rerun overwrites
-    back = spark.read.parquet(path)
-    return back.select("job_id", "seq", "kind", "text")
+    write_artifacts(els.drop("book_id"), path, "0001")
+    write_artifacts(els.drop("book_id"), path, "0001")
+    again = els.where(F.col("book_id") % 3 == 0).withColumn("text", F.concat(F.lit("v2 "), "text"))
+    write_artifacts(again.drop("book_id"), path, "0002")
+    return read_artifacts(spark, path).select("job_id", "seq", "kind", "text")
+
+
+def _conv_job_id():
+    return T.job_id_hash(F.lit("chapters"), "book_id", F.lit(LANG), F.lit("docx"), F.lit("0"))
 
 
 def _jobs_both_intakes(spark, sf):
@@ -188,10 +195,10 @@ def submission_response(spark, sf):
 
 
 def _file_checks(spark, sf, max_file_size=8000, max_chapters=2):
-    f = TB.page_files(spark, sf)
-    n = (FS.split_pages(f, "text", NL).groupBy("file")
-         .agg(F.count_if(~F.col("blank")).alias("n_pages")))
-    f = f.join(n, "file", "left").withColumn("extract_error", F.lit(None).cast("string"))
+    f = FS.page_stats(TB.page_files(spark, sf), "text", NL)
+    # Every fifth file with a character outside ASCII stands for one that does not decode.
+    bad = (F.col("file") % 5 == 0) & (F.octet_length("text") != F.length("text"))
+    f = f.withColumn("extract_error", F.when(bad, F.lit("not ASCII")))
     return validate.file_reject_reason(f, C.Limits(max_file_size=max_file_size,
                                                    max_chapters=max_chapters))
 
@@ -199,7 +206,6 @@ def _file_checks(spark, sf, max_file_size=8000, max_chapters=2):
 @query
 def rejects(spark, sf):
     """Refused files with their reason, written to the reject sink and read back."""
-    from ..sinks import write_rejects
     _, rej = validate.split_rejects(_file_checks(spark, sf))
     path = scratch_path(spark, "rejects")
     write_rejects(rej.select("file", "name", "reject_reason"), path)
@@ -231,8 +237,7 @@ def size_filter(spark, sf):
 def empty_extraction(spark, sf):
     """C4: files whose pages are all blank extract nothing and are refused."""
     files = blanked(docs(spark, sf)).select(F.col("id").alias("file"), F.col("content").alias("text"))
-    n = FS.extract_pages(files, "text", NL).groupBy("file").agg(F.count("*").alias("n"))
-    j = files.join(n, "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("n_pages"))
+    j = FS.page_stats(files, "text", NL).select("file", "n_pages")
     empty = F.col("n_pages") == 0
     return j.select("file", "n_pages", empty.alias("empty"),
                     F.when(empty, F.lit(C.REJECT_NO_TEXT)).alias("reject_reason"))
@@ -306,10 +311,9 @@ def language_semi(spark, sf):
     d = TB.read(spark, sf, "documents")
     name = TB.case_map(F.col("lang"), LANG_NAMES)
     req = d.select("doc_id", name.alias("language"))
-    dim = F.broadcast(O.languages(spark).select("language"))      # fixed 8 rows
-    yes = req.join(dim, "language", "left_semi").withColumn("supported", F.lit(True))
-    no = req.join(dim, "language", "left_anti").withColumn("supported", F.lit(False))
-    return yes.unionByName(no)
+    dim = F.broadcast(O.languages(spark).select("language", F.lit(True).alias("_in")))      # fixed 8 rows
+    j = req.join(dim, "language", "left")
+    return j.select("doc_id", "language", F.coalesce("_in", F.lit(False)).alias("supported"))
 
 
 @query
@@ -320,10 +324,10 @@ def status_with_default(spark, sf):
 def _edits(ch: DataFrame) -> DataFrame:
     first = ch.where(F.col("id") % 4 == 0).select(
         "book_id", "id", F.lit(1).alias("edit_seq"),
-        F.concat(F.lit("[rev 1] "), F.substring("content", 1, 40)).alias("content"))
+        F.concat(F.lit("[rev 1] "), F.col("content")).alias("content"))
     second = ch.where(F.col("id") % 8 == 0).select(
         "book_id", "id", F.lit(2).alias("edit_seq"),
-        F.concat(F.lit("[rev 2] "), F.substring("content", 1, 40)).alias("content"))
+        F.concat(F.lit("[rev 2] "), F.col("content")).alias("content"))
     return first.unionByName(second)
 
 
@@ -345,12 +349,18 @@ def styled_elements(spark, sf):
     return d.select(*cols).unionByName(p.select(*cols))
 
 
+@query
+def page_geometry(spark, sf):
+    """Page size, margins and the room for text with every DOCX book (a one-row table)."""
+    return docs(spark, sf).select("book_id").distinct().join(F.broadcast(O.page_geometry(spark)))
+
+
 # --- E: aggregations ---------------------------------------------------------------
 
 @query
 def reassemble_chapters(spark, sf):
     """Identity translation shows the seams: every chunk stripped, joined by '\\n'."""
-    t = pipeline.translate_books(docs(spark, sf), translate.IdentityTranslator())
+    t = pipeline.translate_books(docs(spark, sf), translate.IdentityModel())
     return t.chapters.select("book_id", "id", "content")
 
 
@@ -361,8 +371,7 @@ def chapter_counts(spark, sf):
 
 @query
 def chapter_length_lists(spark, sf):
-    ch = validate.within_chapter_limit(convs(spark, sf))
-    m = metrics.chapter_lists(ch)
+    m = metrics.chapter_lists(convs(spark, sf))
     return m.select("book_id",
                     F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"),
                     F.array_join(F.transform("lengths", lambda x: x.cast("string")), ",")
@@ -371,25 +380,27 @@ def chapter_length_lists(spark, sf):
 
 @query
 def next_chapter_id(spark, sf):
-    return edits.next_chapter_id(docs(spark, sf)).select("book_id", "next_id")
+    """Over the customers' books (book = conversation), most of which have no chapter."""
+    books = TB.read(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("book_id"))
+    return edits.next_chapter_id(convs(spark, sf), books).select("book_id", "next_id")
 
 
 @query
 def layout_counts(spark, sf):
-    """E5; every 7th chapter is empty, so some books end in a chapter without pages."""
+    """E5; extra empty chapters, so some books end in a chapter without pages."""
     return metrics.layout_counts(layout.chapter_shape(blanked(paragraphed(docs(spark, sf)), 7, "")))
 
 
 @query
 def extraction_summary(spark, sf):
     files = paragraphed(docs(spark, sf)).select(F.col("id").alias("file"), F.col("content").alias("text"))
-    return metrics.extraction_summary(FS.split_pages(files, "text", NL))
+    return metrics.extraction_summary(files, "text", NL)
 
 
 @query
 def char_volume(spark, sf):
     ch = docs(spark, sf).withColumn("source_chars", F.length("content"))
-    t = pipeline.translate_books(ch, translate.MockTranslator(), carry=["lang", "source_chars"])
+    t = pipeline.translate_books(ch, translate.LetterModel(), carry=["lang", "source_chars"])
     return t.chapters.groupBy("lang").agg(
         F.count("*").alias("n_chapters"),
         F.sum("source_chars").cast("bigint").alias("chars_in"),
@@ -405,26 +416,26 @@ def chunk_plan(spark, sf):
 
 @query
 def chapter_index(spark, sf):
-    pos = layout.chapter_positions(docs(spark, sf))
+    pos = layout.slim_positions(docs(spark, sf))
     return pos.select("book_id", "id", "ch_idx", "n_chapters")
 
 
 @query
 def page_numbers(spark, sf):
-    pos = layout.chapter_positions(docs(spark, sf))
-    return layout.page_rows(pos).select("book_id", "id", "page_idx", "page_no", "align")
+    pos = layout.slim_positions(docs(spark, sf))
+    return layout.page_numbers(pos).select("book_id", "id", "page_idx", "page_no", "align")
 
 
 @query
 def page_breaks(spark, sf):
     ch = blanked(docs(spark, sf), 7, "")
-    return layout.page_rows(layout.chapter_positions(ch)).select(
+    return layout.page_numbers(layout.slim_positions(ch)).select(
         "book_id", "id", "page_idx", "has_break")
 
 
 @query
 def translate_progress(spark, sf):
-    return jobs.translate_progress(layout.chapter_positions(convs(spark, sf))).drop("ordinal")
+    return jobs.translate_progress(layout.slim_positions(convs(spark, sf))).drop("ordinal")
 
 
 @query
@@ -442,7 +453,7 @@ def stage_durations(spark, sf):
 @query
 def ordered_chapters(spark, sf):
     """G1: stable sort on repeated ids (id = doc_id % 10, submission order = doc_id)."""
-    ch = docs(spark, sf).withColumn("id", F.col("id") % 10)
+    ch = docs(spark, sf).select("book_id", (F.col("id") % 10).alias("id"), "ordinal")
     r = running_sums(ch, ["book_id"], ["id", "ordinal"], {"pos": F.lit(1)})
     return r.select("book_id", "id", "ordinal", (F.col("pos") + 1).alias("pos"))
 
@@ -450,7 +461,7 @@ def ordered_chapters(spark, sf):
 @query
 def paginate_docx(spark, sf):
     ch = docs(spark, sf)
-    a = layout.paginate(ch).withColumn("layout", F.lit("default"))
+    a = layout.paginate(ch, max_pages=C.MAX_PAGES_PER_CHAPTER).withColumn("layout", F.lit("default"))
     b = layout.paginate(ch, 500, 3).withColumn("layout", F.lit("small"))
     return a.unionByName(b).select("layout", "book_id", "id", "page_idx", "text")
 
@@ -459,11 +470,9 @@ def paginate_docx(spark, sf):
 def truncation_audit(spark, sf):
     ch = docs(spark, sf)
     a = layout.truncation_audit(ch)
-    b = layout.truncation_audit(ch, 500, 3).select(
-        "book_id", "ordinal", F.col("pages_kept").alias("pages_kept_small"),
-        F.col("pages_dropped").alias("pages_dropped_small"),
-        F.col("chars_lost").alias("chars_lost_small"))
-    return a.join(b, ["book_id", "ordinal"]).drop("ordinal")
+    b = layout.truncation_audit(ch, 500, 3)
+    return (a.withColumn("layout", F.lit("default")).unionByName(b.withColumn("layout", F.lit("small")))
+             .drop("ordinal"))
 
 
 # --- H: set operations -------------------------------------------------------------
@@ -486,8 +495,11 @@ def edit_append(spark, sf):
 
 @query
 def edit_remove(spark, sf):
+    """H3: removals in order; those of every third book name all its chapters, so the last
+    one is refused."""
     ch = convs(spark, sf)
-    removals = ch.select("book_id").distinct().withColumn("id", F.lit(1).cast("bigint"))
+    removals = ch.where((F.col("id") == 1) | (F.col("book_id") % 3 == 0)).select(
+        "book_id", "id", F.col("id").alias("removal_seq"))
     return edits.remove_chapters(ch, removals).select("book_id", "id", "ordinal")
 
 
@@ -534,20 +546,6 @@ def chapter_titles(spark, sf):
     return docs(spark, sf).select("book_id", "id", T.chapter_title("id").alias("title"))
 
 
-@query
-def retry_schedule(spark, sf):
-    """Attempts and waits when the first k = doc_id % 6 calls fail (3 retries)."""
-    d = TB.read(spark, sf, "documents")
-    k = (F.col("doc_id") % 6).cast("int")
-    fails = F.least(k, F.lit(C.MAX_RETRIES + 1))
-    waits = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(k, F.lit(C.MAX_RETRIES)), F.lit(1))),
-                        F.lit(0).cast("bigint"), lambda acc, r: acc + T.backoff_seconds(r))
-    total = F.when(k == 0, F.lit(0).cast("bigint")).otherwise(waits)
-    return d.select("doc_id", k.alias("failures"),
-                    F.when(k <= C.MAX_RETRIES, k + 1).otherwise(fails).alias("attempts"),
-                    total.alias("total_wait_s"), (k > C.MAX_RETRIES).alias("gives_up"))
-
-
 @query
 def size_text(spark, sf):
     f = TB.page_files(spark, sf)
@@ -570,7 +568,7 @@ def submit_jobs(spark, sf):
 
 @query
 def job_messages(spark, sf):
-    pr = jobs.translate_progress(layout.chapter_positions(convs(spark, sf)))
+    pr = jobs.translate_progress(layout.slim_positions(convs(spark, sf)))
     return pr.select("book_id", "id", "message", (F.col("progress") * 100).alias("percent"))
 
 
@@ -622,19 +620,19 @@ def _chunk_result(df: DataFrame) -> DataFrame:
 @query
 def translate_chunks(spark, sf):
     ch = chunking.chunk_chapters(docs(spark, sf))
-    return _chunk_result(translate.translate_chunks(ch, translate.MockTranslator()))
+    return _chunk_result(translate.translate_chunks(ch, translate.LetterModel()))
 
 
 @query
 def translate_blank_skip(spark, sf):
     ch = chunking.chunk_chapters(blanked(docs(spark, sf)))
-    return _chunk_result(translate.translate_chunks(ch, translate.MockTranslator()))
+    return _chunk_result(translate.translate_chunks(ch, translate.LetterModel()))
 
 
 @query
 def translate_retry(spark, sf):
     ch = chunking.chunk_chapters(docs(spark, sf))
-    tr = translate.FlakyTranslator(translate.fail_first_by_key(6))
+    tr = faults.FlakyModel(faults.fail_first_by_key(6))
     out = translate.translate_chunks(ch, tr, key_col="id", sleep=translate.no_sleep)
     return out.select("book_id", "id", "chunk_idx", "translated", "attempts", "wait_s", "error")
 
@@ -646,7 +644,7 @@ def _fault_key(ch: DataFrame) -> DataFrame:
 @query
 def translate_books(spark, sf):
     """A book fails as a whole when any chunk still fails after the retries."""
-    tr = translate.FlakyTranslator(translate.fail_first_by_key(6))
+    tr = faults.FlakyModel(faults.fail_first_by_key(6))
     t = pipeline.translate_books(_fault_key(convs(spark, sf)), tr, key_col="fault_key",
                                  sleep=translate.no_sleep)
     return t.outcomes.select("book_id", "failed", "error", "n_chunks", "n_calls")
@@ -654,12 +652,32 @@ def translate_books(spark, sf):
 
 # --- K: jobs -----------------------------------------------------------------------
 
+#: Books of more than six chapters are refused, so that the reject rows are not empty.
+JOB_OPTIONS = C.PipelineOptions(limits=C.Limits(max_chapters=6))
+
+
 @query
 def job_lifecycle(spark, sf):
-    tr = translate.FlakyTranslator(translate.fail_first_by_key(6))
-    _, events, _ = pipeline.run_jobs(_fault_key(convs(spark, sf)), tr, key_col="fault_key",
-                                     sleep=translate.no_sleep)
-    return events.select("job_id", "seq", "status", "progress", "message", "file_path")
+    tr = faults.FlakyModel(faults.fail_first_by_key(6))
+    run = pipeline.run_jobs(_fault_key(convs(spark, sf)), tr, JOB_OPTIONS, key_col="fault_key",
+                            sleep=translate.no_sleep)
+    return run.events.select("job_id", "seq", "status", "progress", "message", "file_path")
+
+
+@query
+def job_elements(spark, sf):
+    """K7: the artifact rows of the same run, for books that succeeded."""
+    tr = faults.FlakyModel(faults.fail_first_by_key(6))
+    run = pipeline.run_jobs(_fault_key(convs(spark, sf)), tr, JOB_OPTIONS, key_col="fault_key",
+                            sleep=translate.no_sleep)
+    return run.elements.select("job_id", "seq", "kind", "chapter_id", "text", "page_no")
+
+
+@query
+def job_rejects(spark, sf):
+    """K7: books over the chapter limit leave a row with the reason."""
+    run = pipeline.run_jobs(convs(spark, sf), opts=JOB_OPTIONS)
+    return run.rejects
 
 
 @query
@@ -680,7 +698,7 @@ def open_jobs(spark, sf):
 @query
 def flagship_translate_books(spark, sf):
     """K7: the numbered pages of every translated book (documents, book = source)."""
-    return pipeline.flagship(docs(spark, sf), translate.MockTranslator())
+    return pipeline.flagship(docs(spark, sf), translate.LetterModel())
 
 
 # --- L: layout ---------------------------------------------------------------------
@@ -689,8 +707,7 @@ def flagship_translate_books(spark, sf):
 def docx_elements(spark, sf):
     ch = blanked(docs(spark, sf), 7, "")
     els = layout.docx_elements(layout.chapter_positions(ch))
-    return els.select("book_id", "seq", "kind", "chapter_id", "part_idx", "text", "cap",
-                      "page_no", "align")
+    return els.select("book_id", "seq", "kind", "chapter_id", "part_idx", "text", "page_no", "align")
 
 
 @query
@@ -701,18 +718,16 @@ def pdf_elements(spark, sf):
 
 @query
 def layout_errors(spark, sf):
-    """Chapters without content (every 11th) keep their heading; the title carries
-    the error; the other chapters are laid out as usual."""
-    ch = docs(spark, sf).withColumn("content", F.when(F.col("id") % 11 == 0, F.lit(None).cast("string"))
-                                    .otherwise(F.col("content")))
+    """Extra chapters without content keep their heading, whose title carries the error;
+    display ids repeat (id = doc_id % 10), and only the faulty chapter is marked."""
+    ch = blanked(docs(spark, sf), 11, None).withColumn("id", F.col("id") % 10)
     els = layout.pdf_elements(layout.chapter_positions(ch, paragraphs=True))
-    return layout.layout_errors(els, ch).select("book_id", "seq", "kind", "chapter_id", "element_error")
+    return els.select("book_id", "seq", "kind", "chapter_id", "element_error")
 
 
 @query
 def render_book_text(spark, sf):
-    ch = validate.within_chapter_limit(convs(spark, sf))
-    els = layout.docx_elements(layout.chapter_positions(ch, bounded=True))
+    els = layout.docx_elements(layout.chapter_positions(convs(spark, sf)))
     return layout.render_text(els)
 
 
@@ -745,7 +760,7 @@ def stream_intake(spark, sf):
 @query
 def stream_translate(spark, sf):
     from ..streaming import stream
-    return stream.translate_query(spark, sf)
+    return stream.translate_query(spark, sf, JOB_OPTIONS)
 
 
 @query

@@ -1,27 +1,29 @@
-"""Sinks: per-job artifacts, reject rows, response bodies."""
+"""Sinks: artifacts by job, reject rows."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+BUCKETS = 64
 
-def write_artifacts(elements: DataFrame, path: str) -> None:
-    """One artifact folder per job (``job_id=...``).  Dynamic partition overwrite: a rerun
-    replaces the jobs it writes and leaves the others.  Rows of a job are brought
-    together first so each job is one file (a job is one book within the chapter limit)."""
-    (elements.repartition("job_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path))
 
+def write_artifacts(elements: DataFrame, path: str, run: str, buckets: int = BUCKETS) -> None:
+    """Element rows of a run's jobs under ``run=.../bucket=...``: a number of folders that
+    does not grow with the jobs, rows sorted by job and sequence inside.  Writing a run
+    again replaces it (dynamic partition overwrite); other runs stay."""
+    b = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+    (elements.withColumns({"run": F.lit(run), "bucket": b})
+     .repartition("bucket", F.pmod(F.xxhash64("seq"), F.lit(8))).sortWithinPartitions("bucket", "job_id", "seq")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run", "bucket").parquet(path))
 
-def write_rendered(rendered: DataFrame, path: str) -> None:
-    """Book text per job as plain text files, one folder per job."""
-    (rendered.select("job_id", "text").repartition("job_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("job_id").text(path))
+
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """Each job's rows from the latest run (largest name) that wrote it."""
+    a = spark.read.parquet(path)
+    last = a.groupBy("bucket", "job_id").agg(F.max("run").alias("run"))
+    return a.join(last, ["bucket", "job_id", "run"], "left_semi").drop("run", "bucket")
 
 
 def write_rejects(rejected: DataFrame, path: str) -> None:
     """Refused input with its reason, appended."""
     rejected.write.mode("append").parquet(path)
-
-
-def write_responses(responses: DataFrame, path: str) -> None:
-    responses.select("body").write.mode("append").text(path)

@@ -44,18 +44,24 @@ def extract_pages(files: DataFrame, text_col: str = "text", sep: str = "\f",
             .select("file", "id", F.col("text").alias("content")))
 
 
-def decode_text(files: DataFrame) -> DataFrame:
-    """Default decoder for plain-text files read by ``binaryFile``."""
-    return files.withColumn("text", F.decode("content", "UTF-8"))
+def page_stats(files: DataFrame, text_col: str = "text", sep: str = "\f") -> DataFrame:
+    """Adds ``n_pages``, the number of non-blank pages, on the row itself."""
+    kept = F.filter(F.split(F.col(text_col), sep, -1), lambda p: ~T.is_blank(p))
+    return files.withColumn("n_pages", F.size(kept).cast("bigint"))
 
 
 PAGES_SCHEMA = "path string, id bigint, content string, extract_error string"
 
 
-def extract_with(files: DataFrame, extractor: Callable[[bytes, str], list[str]]) -> DataFrame:
+def extract_with(files: DataFrame, extractor: Callable[[bytes, str], list[str]],
+                 max_length: int | None = None) -> DataFrame:
     """Pluggable decoder (e.g. a PDF library) over ``binaryFile`` rows, in Arrow batches.
     ``extractor(content, name)`` returns the page texts or raises; a failure yields one
-    row with ``extract_error`` and no pages.  Blank pages are dropped, ids keep gaps."""
+    row with ``extract_error`` and no pages.  Blank pages are dropped, ids keep gaps.
+    Files above ``max_length`` are neither read nor decoded: the size test comes first."""
+    if max_length is not None:
+        files = files.where(F.col("length") <= max_length)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []

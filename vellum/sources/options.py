@@ -20,12 +20,20 @@ def styles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.STYLES, STYLE_SCHEMA)
 
 
-def resolve_limits(tenants: DataFrame, overrides: DataFrame, limits: C.Limits = C.Limits(),
-                   max_override_rows: int = 100_000) -> DataFrame:
+def page_geometry(spark: SparkSession) -> DataFrame:
+    """Page size and margins in inches, and the room they leave for text: one row."""
+    w = C.PAGE_WIDTH_IN - C.MARGIN_LEFT_IN - C.MARGIN_RIGHT_IN
+    h = C.PAGE_HEIGHT_IN - C.MARGIN_TOP_IN - C.MARGIN_BOTTOM_IN
+    return spark.createDataFrame(
+        [(C.PAGE_WIDTH_IN, C.PAGE_HEIGHT_IN, C.MARGIN_LEFT_IN, C.MARGIN_RIGHT_IN, C.MARGIN_TOP_IN,
+          C.MARGIN_BOTTOM_IN, w, h)],
+        "page_width_in double, page_height_in double, margin_left_in double, margin_right_in double, "
+        "margin_top_in double, margin_bottom_in double, text_width_in double, text_height_in double")
+
+
+def resolve_limits(tenants: DataFrame, overrides: DataFrame, limits: C.Limits = C.Limits()) -> DataFrame:
     """Default limits unless a tenant overrides them (NULL = keep the default)."""
-    from ..operators.joins import checked_broadcast
-    o = checked_broadcast(overrides, max_override_rows)
-    j = tenants.join(o, "tenant", "left")
+    j = tenants.join(overrides, "tenant", "left")
     return j.select(
         "tenant",
         F.coalesce("max_file_size", F.lit(limits.max_file_size)).cast("bigint").alias("max_file_size"),

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.scan import null_safe_join, running_sums
+
 CHAPTER = T.StructType([T.StructField("id", T.LongType()), T.StructField("content", T.StringType())])
 REQUEST_SCHEMA = T.StructType([
     T.StructField("book_id", T.StringType()),
@@ -36,26 +38,32 @@ def schema_reject_reason(requests: DataFrame) -> DataFrame:
 PART_SIZE = 100
 
 
-def request_chapters(requests: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+def request_chapters(requests: DataFrame) -> DataFrame:
     """One row per chapter; the position in the list is kept as ``ordinal`` (it makes the
-    later sort by id stable).  A request may come in parts (``part``, default 0) of
-    ``part_size`` chapters each; the ordinal continues across parts."""
+    later sort by id stable).  A book may come in several requests (``part``, default 0):
+    ordinals go on from part to part, whatever their sizes, in the order of ``part`` and,
+    for equal parts, of a hash of the chapters.  A line that repeats book, part and chapters
+    is a replayed landing and counts once."""
     part = F.coalesce(F.col("part"), F.lit(0)) if "part" in requests.columns else F.lit(0)
-    return requests.select(
-        "book_id", "target_language", "output_format", part.alias("_part"),
-        F.posexplode("chapters").alias("pos", "ch"),
+    r = requests.select("book_id", "target_language", "output_format", part.cast("bigint").alias("_part"), "chapters",
+                        F.xxhash64(F.to_json("chapters")).alias("_hash")).dropDuplicates(["book_id", "_part", "_hash"])
+    key = ["book_id", "_part", "_hash"]
+    sizes = r.select(*key, F.coalesce(F.size("chapters"), F.lit(0)).alias("_n"))
+    before = running_sums(sizes, ["book_id"], ["_part", "_hash"], {"_before": F.col("_n")}).drop("_n")
+    return null_safe_join(r, before, key).select(
+        "book_id", "target_language", "output_format", "_before", F.posexplode("chapters").alias("pos", "ch"),
     ).select("book_id", F.col("ch.id").alias("id"),
-             (F.col("_part") * part_size + F.col("pos")).cast("bigint").alias("ordinal"),
+             (F.col("_before") + F.col("pos")).cast("bigint").alias("ordinal"),
              F.col("ch.content").alias("content"), "target_language", "output_format")
 
 
 def requests_from_chapters(chapters: DataFrame, target_language: str,
-                           part_size: int = PART_SIZE) -> DataFrame:
-    """Request rows from chapter rows (dense ordinals per book), at most ``part_size``
-    chapters per row, so no row gathers an unbounded book."""
+                           part_size: int | None = 100) -> DataFrame:
+    """Request rows from chapter rows (dense ordinals per book): parts of ``part_size``
+    chapters, or with ``None`` one request per book."""
     ch = F.array_sort(F.collect_list(F.struct("ordinal", "id", "content")))
-    part = F.floor(F.col("ordinal") / F.lit(part_size)).cast("bigint")
-    return chapters.groupBy("book_id", part.alias("part")).agg(ch.alias("_c")).select(
+    part = F.floor(F.col("ordinal") / F.lit(part_size)) if part_size else F.lit(0)
+    return chapters.groupBy("book_id", part.cast("bigint").alias("part")).agg(ch.alias("_c")).select(
         F.col("book_id").cast("string").alias("book_id"), "part",
         F.transform("_c", lambda x: F.struct(x["id"].alias("id"), x["content"].alias("content")))
         .alias("chapters"),

@@ -72,7 +72,8 @@ def job_event_columns() -> list:
         F.when(status == C.STATUS_COMPLETED,
                F.concat(F.lit(C.OUTPUT_DIR + "/"), F.col("user_id").cast("string"), F.lit("."),
                         event_format(F.col("value")))).alias("file_path"),
-        F.lit(None).cast("int").alias("current_chapter"),
+        F.when(status == C.STATUS_TRANSLATING,
+               F.get_json_object("props", "$.k").cast("int")).alias("current_chapter"),
         F.when(status == C.STATUS_QUEUED,
                F.get_json_object("props", "$.k").cast("int")).alias("total_chapters"),
     ]
