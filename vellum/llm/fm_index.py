@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Words whose intervals are tabulated while the suffixes are sorted; a search starts there.
+JUMP = 4
+
 
 class Bits:
     """A packed bit vector with rank in constant time."""
@@ -32,14 +35,18 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray, depth: int):
         n, self.sigma = len(symbols), int(symbols.max(initial=0)) + 1
-        rank, k = symbols.astype(np.int64), 1
+        rank, k, self.jump = symbols.astype(np.int64), 1, None
         while True:
             order = np.argsort(rank, kind="stable")
             if k >= depth:
                 break
             s = rank[order]
             dense = np.empty(n, np.int64)
-            dense[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+            new = np.concatenate([[True], s[1:] != s[:-1]])
+            dense[order] = np.cumsum(new) - 1
+            if k == JUMP:
+                edge = np.append(np.flatnonzero(new), n).astype(np.int32)
+                self.jump = edge[dense], edge[dense + 1]
             nxt = np.zeros(n, np.int64)
             nxt[:n - k] = dense[k:] + 1
             rank = dense * (n + 2) + nxt
@@ -85,9 +92,14 @@ def earliest(symbols: np.ndarray, places: np.ndarray, length: int) -> np.ndarray
     if not len(places):
         return first
     ix = FMIndex(symbols, length)
+    live, j = np.arange(len(places)), length
     lo, hi = np.zeros(len(places), np.int64), np.full(len(places), len(symbols), np.int64)
-    live = np.arange(len(places))
-    for j in range(length - 1, -1, -1):
+    if ix.jump is not None and length >= JUMP:
+        j -= JUMP
+        lo, hi = (x[places + j].astype(np.int64) for x in ix.jump)
+        on = hi - lo > 1
+        live, lo, hi = live[on], lo[on], hi[on]
+    for j in range(j - 1, -1, -1):
         lo, hi = ix.extend(symbols[places[live] + j], lo, hi)
         on = hi - lo > 1
         live, lo, hi = live[on], lo[on], hi[on]

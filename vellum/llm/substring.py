@@ -39,7 +39,7 @@ GRAM = 5
 #: Low bits of a gram's hash that its place replaces while minima are taken.
 PLACE_BITS = 28
 #: Words indexed by a shard, on average.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 300_000
 #: Distinct segments of one minimiser beyond which it is dealt window by window.
 HOT = 2_000
 
@@ -62,17 +62,31 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - size:w - size + n])
 
 
-def _cut(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, minimiser) of the segments of one text's words.
+def _cut(h: np.ndarray, at: np.ndarray, length: int, gram: int):
+    """(first window, windows, minimiser, content) of the segments of some texts' words;
+    ``at`` are the texts' first words and the end.
 
     A segment's windows share the place of their minimiser (the leftmost of equal ones), so
     no two windows of a segment are equal: a repeat always lies in another segment."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     g = rolling(h, gram)
-    place_bits = np.uint64(max(PLACE_BITS, len(g).bit_length()))
-    packed = (g >> place_bits << place_bits) | np.arange(len(g), dtype=np.uint64)
-    at = _sliding_min(packed, length - gram + 1) & ((np.uint64(1) << place_bits) - np.uint64(1))
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return first, np.diff(np.append(first, len(at))), g[at[first].astype(np.int64)]
+    bits = np.uint64(max(PLACE_BITS, len(g).bit_length()))
+    packed = (g >> bits << bits) | np.arange(len(g), dtype=np.uint64)
+    place = _sliding_min(packed, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))
+    inside = text[:len(place)] == text[length - 1:]
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)
+    whole = np.flatnonzero(inside)
+    size = np.diff(np.append(np.searchsorted(whole, first), len(whole)))
+    # The content is the sum of the window hashes, which does not depend on the place in the
+    # text, with the first window once more for the order.
+    win = rolling(h, length)
+    total = np.zeros(len(win) + 1, np.uint64)
+    np.cumsum(win, out=total[1:])
+    content = mix(total[first + size] - total[first] ^ (win[first] * np.uint64(3)))
+    content = (content >> np.uint64(7) << np.uint64(7)) | size.astype(np.uint64)
+    return first, text[first], g[place[first].astype(np.int64)], content
 
 
 def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -82,25 +96,13 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for b in batches:
             did, tag = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "tag"))
             for a, e, _, at, _, _, h in batch_words(b.column("text"), lower=False):
-                out = []
-                for row in range(a, e):
-                    own = h[at[row - a]:at[row - a + 1]]
-                    if len(own) < length:
-                        continue
-                    first, size, key = _cut(own, length, gram)
-                    # The words of a segment as a difference of running sums of mixed
-                    # (word, place in segment) values would depend on the place in the text;
-                    # the window hashes at its two ends and their sum between do not.
-                    win = rolling(own, length)
-                    total = np.concatenate([[0], np.cumsum(win, dtype=np.uint64)]).astype(np.uint64)
-                    c = mix(total[first + size] - total[first] ^ (win[first] * np.uint64(3)))
-                    content = (c >> np.uint64(7) << np.uint64(7)) | size.astype(np.uint64)
-                    out.append((np.full(len(first), did[row]), (tag[row] << 32) + first, key, content))
-                if out:
-                    did_, pos, key, content = (np.concatenate(c) for c in zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(did_.astype(np.int64)), pa.array(pos.astype(np.int64)), pa.array(key.view(np.int64)),
-                         pa.array(content.view(np.int64))], names=["did", "pos", "key", "content"])
+                if len(h) < length:
+                    continue
+                first, text, key, content = _cut(h, at, length, gram)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(did[a:e][text]), pa.array((tag[a:e][text] << 32) + first - at[text]),
+                     pa.array(key.view(np.int64)), pa.array(content.view(np.int64))],
+                    names=["did", "pos", "key", "content"])
 
     return docs.mapInArrow(run, SEGMENTS)
 

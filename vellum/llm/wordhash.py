@@ -93,14 +93,27 @@ def batch_words(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.nda
         a = b
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from those of its two parts (order matters)."""
+    x = a * _P + b
+    return x ^ (x >> np.uint64(29))
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k consecutive words (row boundaries are the caller's concern)."""
-    if len(h) < k:
+    """Hashes of all k consecutive words (row boundaries are the caller's concern), joined
+    from spans of 1, 2, 4, ... words."""
+    n = len(h) - k + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        out = (out ^ h[j:len(h) - k + 1 + j]) * _P
-        out ^= out >> np.uint64(29)
+    out, at, span, size = None, 0, h, 1
+    while size <= k:
+        if k & size:
+            part = span[at:at + n]
+            out = part + np.uint64(size) if out is None else _join(out, part)
+            at += size
+        if size * 2 <= k:
+            span = _join(span[:-size], span[size:])
+        size *= 2
     return mix(out)
 
 
