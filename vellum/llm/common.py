@@ -3,18 +3,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir
+from ..session import scratch_path
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the application's part of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/vellum-llm/{name}-{uuid.uuid4().hex}"
+    """A new folder under the session's part of the shared folder."""
+    return scratch_path(spark, f"llm-{name}")
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -72,23 +71,21 @@ class BucketedTable:
         self.spark.catalog.refreshTable(self.name)
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step of the alternating algorithm over edges (u, v) with u > v.
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every node hands its larger neighbours to the smallest node it knows.  The minimum per
+    node is a partial/final aggregate and returns to the edges by a join that AQE can
+    split, so a hub never has its neighbours in one task."""
+    sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = sym.groupBy("u").agg(F.min("v").alias("m"))
+    out = sym.join(low, "u").where(F.col("v") > F.col("u"))
+    return out.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
-    The minimum per node is a partial/final aggregate and returns to the edges by a
-    join that AQE can split, so a hub never has its neighbours in one task."""
-    if large:
-        sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("m", "u").alias("m"))
-        out = sym.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"),
-                                                                      F.col("m").alias("v"))
-    else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = (edges.join(low, "u").where(F.col("v") != F.col("m"))
-                    .select(F.col("v").alias("u"), F.col("m").alias("v"))
-                    .unionByName(low.select("u", F.col("m").alias("v"))))
-    return out.where(F.col("u") != F.col("v")).distinct()
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every node hands its smaller neighbours, and itself, to the smallest of them."""
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    out = e.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return out.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -96,18 +93,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smallest node reachable, for every node that has an edge to another.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected components
-    in MapReduce and beyond"): at the end each edge leads straight to the minimum.  A
-    round is written to the shared folder, which cuts the lineage; convergence is
-    judged by a count and an order-free hash of the edges."""
-    e = (edges.where(F.col("u") != F.col("v"))
-              .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    e = land(e, "edges")
-    mark = None
+    in MapReduce and beyond") on edges kept as (larger, smaller).  A round is written to the
+    shared folder, which cuts the lineage.  The rounds end when every node points to one
+    smaller node that points nowhere: then the edges are the answer."""
+    e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e = land(e.distinct(), "edges")
     for _ in range(max_rounds):
-        e = land(_stars(_stars(e, True), False), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark is not None and tuple(now) == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        mark = tuple(now)
+        ends = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+        chained = ends.join(e.select(F.col("v").alias("u")), "u", "left_semi")
+        if ends.where("n > 1").unionByName(chained).limit(1).count() == 0:
+            roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        e = land(_small_star(_large_star(e)), "stars")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

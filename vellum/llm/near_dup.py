@@ -5,16 +5,20 @@
    class from here on, however many copies there are.
 2. Retained values held by one class only link nothing.  Two sets with a Jaccard index of
    ``threshold`` share about ``threshold * k`` retained values; fewer than
-   ``floor * k`` has a chance below 1e-9 (k = 64).  So a class enters inverted lists only with
-   its rarest ``k - ceil(floor * k) + 1`` values, of which any linked pair shares one, and a
-   passage that many texts quote makes no list at all unless it fills half a text.
-3. Lists are joined by pivots, not by pairs: in each round every list compares its members
-   with two of them, verified links merge components, and a list whose members are in one
-   component is done.  What is left is compared across components, exactly.
-4. A candidate's Jaccard index is estimated on the union sketch first; what passes, with a
-   wide margin, is verified on the full sets.
-
-Only classes that occur in candidate pairs have their full sets rebuilt.
+   ``floor * k`` has a chance below 1e-8.  So a class enters inverted lists only with its
+   rarest ``k - ceil(floor * k) + 1`` values, of which any linked pair shares one, and a
+   passage that many texts quote makes no list unless it fills most of a text.  Sets that
+   are retained whole need no such margin: they share ``threshold`` of their values.
+3. This is done twice.  A small sketch of every class (k = 64) finds the classes that may be
+   linked at all, a tenth of them here; only those have their full sets rebuilt, and a
+   large sketch of these (k = 512, most sets whole) makes the lists that are joined.
+4. Lists are joined by pivots first: every list compares its members with two of them and
+   verified links merge components, which settles a list of thousands of near copies in one
+   pass.  What is left is compared across components, exactly, a pair at the rarest value it
+   shares; the values before it in either set bound the overlap from above, and a pair whose
+   bound is too small for its sizes is no candidate.
+5. A candidate's Jaccard index is estimated on the union sketch first; what passes, with a
+   margin of seven standard deviations, is verified on the full sets.
 """
 from __future__ import annotations
 
@@ -30,14 +34,10 @@ from .wordhash import batch_words, rolling, shingles
 
 WORDS = 5
 THRESHOLD = 85          # percent
-K = 64
-FLOOR = 0.5
-#: Estimates this far below the threshold are not verified: over six standard deviations.
-MARGIN = 0.30
-#: Pivot rounds go on while the exact rest would be more than this many pairs per posting.
-REST = 4
-MAX_ROUNDS = 8
-
+K, FLOOR = 64, 0.50
+FINE_K, FINE_FLOOR = 512, 0.75
+#: Estimates this far below the threshold are not verified.
+MARGIN = 0.12
 SKETCH = "doc_id bigint, n_shingles bigint, low bigint, high bigint, sketch array<bigint>"
 
 
@@ -85,32 +85,41 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def prefixes(classes: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """Postings (value, id) of the rarest retained values of each class that other classes
-    retain too.  ``value`` is 31 bits of the hash: a chance collision adds a candidate."""
-    post = classes.select("id", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
-    post = post.select("id", "kept", F.pmod("v", F.lit(2**31 - 1)).cast("int").alias("value"))
+def prefixes(classes: DataFrame, k: int, percent: int, floor: float) -> DataFrame:
+    """(id, n, kept, solo, prefix): the rarest retained values of each class that other
+    classes retain too, in the order of rarity, and the number of those that none other
+    retains, which come before them.  A value is 31 bits of the hash: a chance collision
+    adds a candidate."""
+    post = classes.select("id", F.explode("sketch").alias("v"))
+    post = post.select("id", F.pmod("v", F.lit(2**31 - 1)).cast("int").alias("value"))
     shared = post.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = post.join(shared, "value").groupBy("id", "kept").agg(
+    mine = post.join(shared, "value").groupBy("id").agg(
         F.array_sort(F.collect_set(F.struct("df", "value"))).alias("by_df"))
+    sizes = classes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.max(F.size("sketch")).alias("kept"))
+    mine = mine.join(sizes, "id")
+    # A set so small that every set it can be linked with is retained whole.
+    whole = F.col("n_shingles") * 100 <= k * percent
+    share = F.when(whole, F.lit(percent / 100)).otherwise(F.lit(floor))
     # Values of one class alone come first in the order of rarity; the rest of the prefix
     # is taken from the shared ones.
-    length = F.col("kept") - F.ceil(F.col("kept") * floor) + 1 - (F.col("kept") - F.size("by_df"))
-    return (mine.where(length > 0)
-                .select("id", F.explode(F.slice("by_df", F.lit(1), length.cast("int"))).alias("x"))
-                .select(F.col("x.value").alias("value"), "id").distinct())
+    length = F.col("kept") - F.ceil(F.col("kept") * share) + 1 - (F.col("kept") - F.size("by_df"))
+    return mine.where(length > 0).select(
+        "id", F.col("n_shingles").alias("n"), "kept", (F.col("kept") - F.size("by_df")).alias("solo"),
+        F.transform(F.slice("by_df", F.lit(1), F.greatest(length, F.lit(0)).cast("int")), lambda x: x["value"]).alias("prefix"))
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def inverted(members: DataFrame) -> DataFrame:
+    """The inverted lists: one row (value, and the member's columns) per prefix value."""
+    return members.select(F.explode("prefix").alias("value"), *members.columns)
 
 
 def estimate(pairs: DataFrame, classes: DataFrame, k: int, percent: int, margin: float = MARGIN) -> DataFrame:
     """The pairs (a, b) whose sizes allow a link and whose union sketch does not speak
-    against it: of the k smallest values of both sketches together, the share held by both."""
-    c = classes.select("id", "n_shingles", "sketch")
-    p = (pairs.join(c.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
-              .join(c.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b"))
+    against it: of the k smallest values of both sketches together, the share held by both.
+    The upper 31 bits of the hashes keep their order and are enough to tell them apart."""
+    c = classes.select("id", "n_shingles", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("s"))
+    p = (pairs.join(c.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("s").alias("sa")), "a")
+              .join(c.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("s").alias("sb")), "b"))
     p = p.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
@@ -135,64 +144,72 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _two_pivots(lists: DataFrame) -> DataFrame:
-    """Each member with the pivots of its list that are in another component: the smallest
-    member of the list's smallest component and that of its largest."""
-    ends = lists.groupBy("value").agg(F.min(F.struct("comp", "id")).alias("lo"),
-                                      F.max(F.struct("comp", (-F.col("id")).alias("id"))).alias("hi"))
-    ends = ends.where(F.col("lo.comp") != F.col("hi.comp"))
-    j = lists.join(ends, "value")
-    out = [j.where(F.col("comp") != F.col(f"{e}.comp")).select(*_ordered(F.col("id"), s * F.col(f"{e}.id")))
-           for e, s in (("lo", F.lit(1)), ("hi", F.lit(-1)))]
-    return out[0].unionByName(out[1]).distinct()
-
-
-def _rest(lists: DataFrame) -> int:
-    """How many pairs a plain join of the lists across components would make."""
-    per = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return per.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-
-
-def link(classes: DataFrame, sets_of, k: int = K, percent: int = THRESHOLD, floor: float = FLOOR) -> DataFrame:
-    """(id, component) of the classes that have a link.  ``sets_of(ids)`` gives the full
-    sets of some classes."""
-    post = land(prefixes(classes, floor), "postings")
-    met = post.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    post = land(post.join(met.select("value"), "value", "left_semi"), "met")
-    sizes = classes.select("id", F.col("n_shingles").alias("n"))
-    sets = land(sets_of(post.select("id").distinct()), "sets")
-    lists = land(post.join(sizes, "id").withColumn("comp", F.col("id")), "lists")
-    members = lists.count()
-    links, comps = None, None
-    for step in range(MAX_ROUNDS + 1):
-        rest = _rest(lists)
-        if not rest:
-            break
-        if step == MAX_ROUNDS or rest <= REST * members:
-            x = lists.select("value", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-            y = lists.select("value", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            pairs = x.join(y, "value").where(
-                (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
-            last = True
-        else:
-            pairs, last = _two_pivots(lists), False
-        found = land(verify(estimate(pairs, classes, k, percent), sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        comps = land(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-        if last:
-            break
-        lists = lists.drop("comp").join(comps.withColumnRenamed("node", "id"), "id", "left")
-        lists = land(lists.withColumn("comp", F.coalesce("component", "id")).drop("component"), "lists")
-        open_ = lists.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        lists = land(lists.join(open_.select("value"), "value", "left_semi"), "open")
-    if comps is None:
-        return classes.sparkSession.createDataFrame([], "id bigint, component bigint")
-    return comps.withColumnRenamed("node", "id")
+    """Each member with the pivots of its list: its smallest member and its largest."""
+    ends = lists.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    j = lists.select("value", "id").join(ends, "value")
+    pivots = F.array_distinct(F.filter(F.array("lo", "hi"), lambda p: p != F.col("id")))
+    pairs = j.select("id", F.explode(pivots).alias("p"))
+    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
+def _overlap_needed(percent: int, k: int) -> Column:
+    """Least number of values that the sketches of a linked pair (x, y) share: for sets that
+    are retained whole the overlap that the threshold asks of their sizes, else its
+    expectation in k draws less seven standard deviations."""
+    n = F.col("x_n") + F.col("y_n")
+    whole = (F.col("x_n") <= F.col("x_kept")) & (F.col("y_n") <= F.col("y_kept"))
+    p = n * (percent / (100 + percent)) / F.greatest("x_n", "y_n")
+    drawn = p * k - 7 * F.sqrt(F.greatest(k * p * (1 - p), F.lit(0.0)))
+    return F.when(whole, F.ceil(n * percent / (100 + percent) - 1e-9)).otherwise(drawn)
+
+
+def _across(lists: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs of all lists whose members are in different components and whose sizes and
+    places allow a link, each at the rarest value that both prefixes hold."""
+    columns = ("id", "comp", "n", "kept", "solo", "prefix")
+    x = lists.select("value", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = lists.select("value", *[F.col(c).alias(f"y_{c}") for c in columns])
+    at = x["value"]
+    # Values of either set that come no earlier than the shared one.
+    left = F.least(*[F.col(f"{s}_kept") - F.col(f"{s}_solo") - F.array_position(F.col(f"{s}_prefix"), at) + 1 for s in "xy"])
+    return x.join(y, (at == y["value"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp"))
+                  & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
+                  & (left >= _overlap_needed(percent, k))
+                  & (F.get(F.array_intersect("x_prefix", "y_prefix"), F.lit(0)) == at)
+                  ).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+
+
+def _meeting(members: DataFrame) -> DataFrame:
+    """The ids of members that share a prefix value with another."""
+    met = inverted(members).groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return (inverted(members).select("value", "id").join(met.select("value"), "value", "left_semi")
+            .select("id").distinct())
+
+
+def link(classes: DataFrame, sets_of, k: int = K, percent: int = THRESHOLD, floor: float = FLOOR,
+         fine_k: int = FINE_K, fine_floor: float = FINE_FLOOR) -> DataFrame:
+    """(id, component) of the classes (id, n_shingles, sketch) that have a link.
+    ``sets_of(ids)`` gives the full sets of some classes."""
+    coarse = land(prefixes(classes, k, percent, floor), "coarse")
+    sets = land(sets_of(land(_meeting(coarse), "ids")), "sets")
+    fine = sets.select("id", F.size("shingles").cast("bigint").alias("n_shingles"),
+                       F.slice("shingles", 1, fine_k).alias("sketch"))
+    members = land(prefixes(fine, fine_k, percent, fine_floor).withColumn("comp", F.col("id")), "members")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return land(verify(estimate(pairs, fine, fine_k, percent), sets, percent), "links")
+
+    links = confirmed(_two_pivots(inverted(members)))
+    comps = land(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    members = members.drop("comp").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    members = land(members.withColumn("comp", F.coalesce("component", "id")).drop("component"), "pivoted")
+    both = links.unionByName(confirmed(_across(inverted(members), percent, fine_k)))
+    return components(both.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, words: int = WORDS, k: int = K,
-                    floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    floor: float = FLOOR, fine_k: int = FINE_K, fine_floor: float = FINE_FLOOR,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| over their sets of distinct
@@ -206,14 +223,16 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, words: int = WORD
     key = ["n_shingles", "low", "high"]
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     groups = named.groupBy(*key).agg(F.min("doc_id").alias("id"))
-    classes = land(named.join(groups, key).where(F.col("doc_id") == F.col("id"))
-                        .select("id", "n_shingles", "low", "high", "sketch").dropDuplicates(["id", *key]), "classes")
+    # One row per class and id; its sketch crosses this one shuffle.
+    classes = land(named.join(groups.select(F.col("id").alias("doc_id"), *key), ["doc_id", *key], "left_semi")
+                        .dropDuplicates(["doc_id", *key])
+                        .select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "classes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         own = d.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
         return full_sets(own.join(ids, "id", "left_semi"), words)
 
-    comps = link(classes.drop("low", "high"), sets_of, k, percent, floor)
+    comps = link(classes, sets_of, k, percent, floor, fine_k, fine_floor)
     groups = land(groups.join(comps, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id")),
                   "groups")
     out = rows.select("doc_id", *key).join(groups, key, "left")
