@@ -216,8 +216,8 @@ def fit_label_model(patterns: list[tuple[int, int, int]], rounds: int = 40) -> t
     return model, table
 
 
-def fit_linear(rows: list[list[int]], q: np.ndarray, n_features: int, l2: float = 1.0,
-               rounds: int = 300) -> np.ndarray:
+def fit_linear(rows: list[list[int]], q: np.ndarray, n_features: int, l2: float = 0.1,
+               rounds: int = 600) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression on soft labels."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.fromiter((c for r in rows for c in r), int, len(at))
