@@ -1,7 +1,9 @@
 """Toxicity by weak supervision.
 
 1. Terms (words and word beginnings) whose presence goes with the label are mined from a
-   bounded sample of labelled training rows.
+   bounded sample of labelled training rows, in which near copies of a text count once: else
+   every word of a toxic text that is copied often would pass for a toxic word.  Of a word
+   and its beginnings with the same support only the longest is kept.
 2. Every text of the corpus is read once and reduced to the terms and patterns it holds.
    Lexicon voters (terms by kind and half) and pattern voters vote on each text.
 3. A generative label model is fitted to the votes of all texts: EM over a hidden label with
@@ -22,11 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import documents, land
+from .token_count import byte_groups
 
 #: Expected number of labelled training rows that terms and classifier are fitted on.
 SAMPLE_ROWS = 20_000
@@ -36,6 +39,8 @@ MIN_SUPPORT = 6
 #: Least lower bound (95 %) of a term's share of toxic training texts.
 MIN_PRECISION = 0.4
 PREFIXES = (3, 4, 5, 6)
+#: Words whose terms a Python worker remembers.
+KNOWN_WORDS = 50_000
 KINDS = ("w", *(str(n) for n in PREFIXES))
 HALVES = 2
 PATTERNS = [
@@ -78,6 +83,36 @@ def sample_of(train: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
+def family(text: str) -> str:
+    """The longest word (of equal ones the last in order): near copies share it, other
+    texts hardly ever do."""
+    return max(WORD.findall(text.lower()), key=lambda w: (len(w), w), default="")
+
+
+def one_per_family(sample: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) with one row of each family and label, the one of the smallest
+    doc_id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([family(t) for t in b.column("text").to_pylist()], pa.string())],
+                names=[*b.schema.names, "family"])
+
+    named = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, text string, toxic int, family string")
+    return named.groupBy("family", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.doc_id", "x.text", "toxic")
+
+
+def _most_specific(support: dict[str, int], share: float = 0.9) -> set[str]:
+    """Terms without those beginnings whose support is nearly that of a longer term."""
+    drop = set()
+    for term, n in support.items():
+        kind, _, text = term.partition(":")
+        for k in PREFIXES:
+            if k < len(text) and n >= share * support.get(f"{k}:{text[:k]}", 10**12):
+                drop.add(f"{k}:{text[:k]}")
+    return set(support) - drop
+
+
 def _count_terms(texts: DataFrame, only: frozenset[str] | None) -> DataFrame:
     """(term, n): in how many texts each term stands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +131,7 @@ def mine_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     cap = 10 * max_terms
     toxic = _count_terms(sample.where("toxic = 1"), None).where(F.col("n") >= MIN_SUPPORT)
     pos = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(cap).collect()}
+    pos = {t: pos[t] for t in sorted(_most_specific(pos))}
     if not pos:
         return []
     neg = {r["term"]: r["n"] for r in _count_terms(sample.where("toxic = 0"), frozenset(pos)).collect()}
@@ -122,7 +158,7 @@ class Features:
         for w in set(WORD.findall(text.lower())):
             f = self.known.get(w)
             if f is None:
-                if len(self.known) > 300_000:
+                if len(self.known) > KNOWN_WORDS:
                     self.known.clear()
                 keys = ["w:" + w, *(f"{n}:{w[:n]}" for n in PREFIXES if len(w) > n)]
                 f = self.known[w] = tuple(self.ids[k] for k in keys if k in self.ids)
@@ -136,6 +172,13 @@ class Features:
                 bits |= 1 << (len(KINDS) * HALVES + k)
         return sorted(own), bits
 
+    def of_texts(self, texts: pa.Array) -> Iterator[tuple[list[int], int]]:
+        """The texts of an Arrow column, a bounded number of bytes as Python strings at a time."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        for i, j in byte_groups(sizes):
+            for t in texts.slice(i, j - i).to_pylist():
+                yield self(t)
+
 
 def featurise(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, features (ids of the terms and patterns present),
@@ -143,7 +186,7 @@ def featurise(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features(terms)
         for b in batches:
-            found = [of(t) for t in b.column("text").to_pylist()]
+            found = list(of.of_texts(b.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([f for f, _ in found], pa.list_(pa.int32())),
                  pa.array([v for _, v in found], pa.int32())], names=["doc_id", "features", "votes"])
@@ -272,10 +315,10 @@ def train_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     train = training(labels, label_col=label_col)
     sample = land(sample_of(train, sample_rows), "sample")
     # The sample's ids are bounded by sample_rows, which is why they may be broadcast.
-    texts = land(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "sample_texts")
+    texts = land(one_per_family(docs.join(F.broadcast(sample), "doc_id")), "sample_texts")
     terms = mine_terms(texts, max_terms)
     features = land(featurise(docs, terms), "features")
-    return terms, fit(features, train, sample, len(terms)), features
+    return terms, fit(features, train, texts.select("doc_id", "toxic"), len(terms)), features
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -298,10 +341,11 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     depends on the text alone, so each row is judged where it lies: no text is shuffled."""
     terms, weights, _ = train_on(documents(docs, id_col, text_col), labels, **options)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features(terms)
-        z = np.array([weights[-1] + weights[np.asarray(of(t)[0], int)].sum() for t in texts], float)
-        return pd.Series(_sigmoid(z) >= 0.5)
+        for b in batches:
+            text = pc.fill_null(b.column(text_col).cast(pa.string()), "")
+            z = np.array([weights[-1] + weights[np.asarray(f, int)].sum() for f, _ in of.of_texts(text)], float)
+            yield b.filter(pa.array(_sigmoid(z) < 0.5))
 
-    return docs.where(~toxic(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.mapInArrow(run, docs.schema)
