@@ -341,11 +341,11 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     depends on the text alone, so each row is judged where it lies: no text is shuffled."""
     terms, weights, _ = train_on(documents(docs, id_col, text_col), labels, **options)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def toxic(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = Features(terms)
-        for b in batches:
-            text = pc.fill_null(b.column(text_col).cast(pa.string()), "")
-            z = np.array([weights[-1] + weights[np.asarray(f, int)].sum() for f, _ in of.of_texts(text)], float)
-            yield b.filter(pa.array(_sigmoid(z) < 0.5))
+        for t in texts:
+            z = np.array([weights[-1] + weights[np.asarray(f, int)].sum() for f, _ in of.of_texts(t)], float)
+            yield pa.array(_sigmoid(z) >= 0.5)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(~toxic(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
