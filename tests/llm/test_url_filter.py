@@ -43,6 +43,27 @@ def test_blocks_reach_aliases_and_allow_has_precedence(spark):
     assert url_filter.judge(df.limit(0), url_filter.rule_table(spark)).collect() == []
 
 
+def test_targets_that_are_no_rows_are_judged(spark):
+    link, meta = '<link rel="canonical" href="{}">', '<meta http-equiv=refresh content="0; url={}">'
+    rows = [(1, "http://a.io/1", meta.format("http://bad.net/z")),
+            (2, "http://b.io/1", link.format("http://same.net/q")), (3, "http://c.io/1", meta.format("http://same.net/q/")),
+            (4, "http://d.io/1", link.format("http://bad.net/") + link.format("http://org/fr/x")),      # allow wins
+            (5, "http://e.io/1", link.format("http://f.io/x") + link.format("http://bad.net/y")),       # the second link
+            (6, "http://example.com/en/a/b", link.format("../../de/x")), (7, "http://example.com/en/c", meta.format("x")),
+            (8, "http://g.io/1", '<base href="http://example.com/de/">' + link.format("y")),
+            (9, "http://h.io/1", "<link rel='nofollow canonical' href='//bad.net/w'>"),
+            (10, "http://k.io/1", link.format("mailto:x@bad.net") + link.format("?q=1&amp;r=2")),
+            (11, "http://m.io/1", link.format("http://example.net/en/")), (12, None, link.format("http://bad.net/")),
+            (13, "http://example.org/de/p", link.format("./q/../../../de/r?s#t"))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    rules = url_filter.rule_table(spark, url_filter.RULES + [("example.org/de/r", "block")])
+    got = {r.page_id: r for r in url_filter.judge(df, rules).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {
+        1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "block", 9: "block",
+        10: "allow", 11: "allow", 12: "allow", 13: "block"}
+    assert got[2].component == got[3].component and got[10].component == "k.io/1"
+
+
 def test_components_equal_union_find(spark):
     import random
 

@@ -3,7 +3,8 @@
 A page's own verdict comes from the longest rule that fits its host and path.  Pages that
 no rule fits take the verdict of their aliases: URLs linked by a redirect (meta refresh), by
 a canonical link, or by having one normal form are connected components of one graph, and a
-block on any member reaches the whole component unless a member is explicitly allowed.
+block on any member reaches the whole component unless a member is explicitly allowed.  A
+target is a member, and judged by the rules, whether it is a row of the pages or not.
 """
 from __future__ import annotations
 
@@ -55,18 +56,50 @@ def normal_form(url: Column) -> Column:
                                        F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
-def _target(html: Column, url: Column) -> Column:
-    """Array of the absolute URLs that a page names as its canonical or refresh target."""
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    href = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    to = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    base = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
+LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"""
+REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
+BASE_TAG = r"""(?is)<base\b[^>]*\bhref\s*=[^>]*>"""
+HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+REFRESH_URL = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
+
+
+def _no_dots(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda acc, x:
+                       F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                       .otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def _resolved(target: Column, url: Column) -> Column:
+    """``target`` as named on the page ``url``: absolute URLs as they are, others against the
+    page's scheme, host and path.  Null for what has no host, as ``mailto:``."""
+    site = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, r"^([^:/?#]+:)//", 1)
-    absolute = lambda t: (F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
-                          .when(t.startswith("//"), F.concat(scheme, t))
-                          .when(t.startswith("/"), F.concat(base, t)))
-    found = F.when(html.rlike("(?i)canonical|refresh"), F.array(absolute(href), absolute(to)))
+    path = host_path(url)[1]
+    own, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)?", 1))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+             .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+             .when(site == "", F.lit(None))
+             .when(target.startswith("//"), F.concat(scheme, target))
+             .when(own == "", F.concat(site, path, rest))
+             .when(target.startswith("/"), F.concat(site, _no_dots(own), rest))
+             .otherwise(F.concat(site, _no_dots(F.concat(folder, own)), rest)))
+
+
+def _target(html: Column, url: Column) -> Column:
+    """Array of the absolute URLs that a page names as canonical or refresh targets, of all
+    its links; ``<base>`` moves what relative targets start from."""
+    named = lambda tag, at: F.filter(F.transform(
+        F.regexp_extract_all(html, F.lit(tag), F.lit(0)),
+        lambda t: F.replace(F.regexp_extract(t, at, 1), F.lit("&amp;"), F.lit("&"))), lambda t: t != "")
+    base = F.regexp_extract(F.regexp_extract(html, BASE_TAG, 0), HREF, 1)
+    start = F.when(base != "", F.coalesce(_resolved(base, url), url)).otherwise(url)
+    found = F.when(html.rlike("(?i)canonical|refresh"), F.transform(
+        F.concat(named(LINK, HREF), named(REFRESH, REFRESH_URL)), lambda t: _resolved(t, start)))
     return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda t: t.isNotNull())
 
 
@@ -81,18 +114,25 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     host, path = host_path(url)
     p = pages.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("bigint").alias("page_id"),
                      host.alias("host"), path.alias("path"), normal_form(url).alias("node"),
-                     F.transform(_target(F.col(html_col).cast("string"), url), normal_form).alias("targets"))
+                     F.array_distinct(_target(F.col(html_col).cast("string"), url)).alias("targets"))
     p = land(p, "pages")
-    edges = p.where(F.col("node").isNotNull()).select("node", F.explode("targets").alias("to"))
-    edges = edges.where(F.col("to").isNotNull() & (F.col("to") != F.col("node")))
+    named = p.where(F.col("node").isNotNull()).select("node", F.explode("targets").alias("target"))
+    named = named.select("node", normal_form(F.col("target")).alias("to"), *[
+        c.alias(n) for c, n in zip(host_path(F.col("target")), ("host", "path"))]).where(F.col("to").isNotNull())
+    edges = named.where(F.col("to") != F.col("node"))
     linked = components(edges.select(F.col("node").alias("u"), F.col("to").alias("v")))
     own = own_verdicts(p.select("__row", "host", "path"), rules)
     j = (p.select("__row", "page_id", "host", "path", "node").join(own, "__row", "left")
           .join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
     j = land(j.drop("__row", "node"), "judged")
+    # Targets are judged by their spelling on the page, rows or not.
+    spelt = named.select(F.struct(F.col("to").alias("node"), "host", "path").alias("__row"), "host", "path").distinct()
+    ruled = own_verdicts(spelt, rules).select(F.col("__row.node").alias("node"), "action").join(linked, "node", "left")
+    ruled = ruled.select(F.coalesce("component", "node").alias("component"), "action")
     # One verdict per component, made by a partial/final aggregate; a component with very
     # many pages comes back by a join that AQE splits.
-    spread = j.where(F.col("component").isNotNull() & F.col("action").isNotNull()).groupBy("component").agg(
+    ruled = ruled.unionByName(j.where(F.col("component").isNotNull() & F.col("action").isNotNull()).select("component", "action"))
+    spread = ruled.groupBy("component").agg(
         F.min("action").alias("shared"))     # "allow" sorts before "block": allow has precedence
     return j.join(spread, "component", "left").select(
         "page_id", "host", "path", "rule",
