@@ -50,3 +50,15 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert near_dup.near_duplicates(df.limit(0)).collect() == []
     kept = near_dup.keep_representatives(with_clashes(df))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "9", "None"]
+
+
+def test_floors_follow_the_threshold(spark):
+    """Two texts at exactly 0.80 whose sketches share 380 of 512 values, fewer than the floor of
+    0.85 asks for; the floors and the margin of the usual threshold stay."""
+    w = [f"a1108x{i}" for i in range(8004)]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:6404]))], SCHEMA)
+    assert [r.component_id for r in near_dup.near_duplicates(df, percent=80).collect()] == [1, 1]
+    assert [r.kept for r in near_dup.near_duplicates(df).collect()] == [True, True]
+    assert near_dup.margin_of(85, 512) == 0.12 and near_dup.floor_of(85, 512) == near_dup.FINE_FLOOR
+    assert {tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(corpus(3), SCHEMA), fine_k=32, fine_floor=0.3).collect()
+            } == brute(corpus(3))

@@ -34,13 +34,31 @@ from .wordhash import batch_words, rolling, shingles
 
 WORDS = 5
 THRESHOLD = 85          # percent
-K, FLOOR = 64, 0.50
-FINE_K, FINE_FLOOR = 512, 0.75
-#: Estimates this far below the threshold are not verified.
-MARGIN = 0.12
+K, FINE_K = 64, 512
+#: Floors of the two sketches at THRESHOLD; floor_of gives those of other thresholds.
+FLOOR, FINE_FLOOR = 0.50, 0.75
 SKETCH = "doc_id bigint, n_shingles bigint, low bigint, high bigint, sketch array<bigint>"
 
 
+def floor_of(percent: int, k: int) -> float:
+    """The largest floor in hundredths that two sets at ``percent`` fall under, of k draws,
+    with a chance below 1e-8."""
+    p, tail, n = percent / 100, 0.0, 0
+    while n < k:
+        tail += math.comb(k, n) * p**n * (1 - p)**(k - n)
+        if tail >= 1e-8:
+            break
+        n += 1
+    return math.floor(100 * n / k) / 100
+
+
+def margin_of(percent: int, k: int) -> float:
+    """Estimates this far below the threshold are not verified: seven standard deviations,
+    rounded up to hundredths."""
+    p = percent / 100
+    return math.ceil(700 * math.sqrt(p * (1 - p) / k)) / 100
+
+
 def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
     for a, b, _, first, _, _, h in batch_words(texts, lower=True):
         rolled = rolling(h, words)
@@ -113,7 +131,7 @@ def inverted(members: DataFrame) -> DataFrame:
     return members.select(F.explode("prefix").alias("value"), *members.columns)
 
 
-def estimate(pairs: DataFrame, classes: DataFrame, k: int, percent: int, margin: float = MARGIN) -> DataFrame:
+def estimate(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes allow a link and whose union sketch does not speak
     against it: of the k smallest values of both sketches together, the share held by both.
     The upper 31 bits of the hashes keep their order and are enough to tell them apart."""
@@ -123,7 +141,7 @@ def estimate(pairs: DataFrame, classes: DataFrame, k: int, percent: int, margin:
     p = p.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return p.where(both >= F.size(union) * (percent / 100 - margin)).select("a", "b")
+    return p.where(both >= F.size(union) * (percent / 100 - margin_of(percent, k))).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,10 +204,19 @@ def _meeting(members: DataFrame) -> DataFrame:
             .select("id").distinct())
 
 
-def link(classes: DataFrame, sets_of, k: int = K, percent: int = THRESHOLD, floor: float = FLOOR,
-         fine_k: int = FINE_K, fine_floor: float = FINE_FLOOR) -> DataFrame:
+def _floor(given: float | None, usual: float, percent: int, k: int, usual_k: int) -> float:
+    if given is not None:
+        return given
+    return usual if (percent, k) == (THRESHOLD, usual_k) else floor_of(percent, k)
+
+
+def link(classes: DataFrame, sets_of, k: int = K, percent: int = THRESHOLD, floor: float | None = None,
+         fine_k: int = FINE_K, fine_floor: float | None = None) -> DataFrame:
     """(id, component) of the classes (id, n_shingles, sketch) that have a link.
-    ``sets_of(ids)`` gives the full sets of some classes."""
+    ``sets_of(ids)`` gives the full sets of some classes.  Floors not given follow from
+    ``percent`` and the sketch's size."""
+    floor = _floor(floor, FLOOR, percent, k, K)
+    fine_floor = _floor(fine_floor, FINE_FLOOR, percent, fine_k, FINE_K)
     coarse = land(prefixes(classes, k, percent, floor), "coarse")
     sets = land(sets_of(land(_meeting(coarse), "ids")), "sets")
     fine = sets.select("id", F.size("shingles").cast("bigint").alias("n_shingles"),
@@ -208,7 +235,7 @@ def link(classes: DataFrame, sets_of, k: int = K, percent: int = THRESHOLD, floo
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, words: int = WORDS, k: int = K,
-                    floor: float = FLOOR, fine_k: int = FINE_K, fine_floor: float = FINE_FLOOR,
+                    floor: float | None = None, fine_k: int = FINE_K, fine_floor: float | None = None,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
