@@ -35,6 +35,26 @@ def test_base_phrases_equal_brute_force_and_labels_contain_them(spark):
     assert got[10].labels == "" and got[10].score == 0
 
 
+FSF = ("it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+       "either version {} of the License, or (at your option) any later version")
+CC = "Licensed under a Creative Commons Attribution{} {} International License"
+GPL = "licensed under the GNU General Public License"
+NAMED = [(FSF.format(2), "gpl-2"), (FSF.format(3), "gpl-3"), (FSF.format("2 or version 3"), "gpl-2,gpl-3"), (FSF.format(1), ""),
+         (CC.format("", "4.0"), "cc-by"), (CC.format("", "3.0"), "cc-by"), (CC.format("-NonCommercial", "4.0"), "cc-by-nc"),
+         (CC.format("-Non-Commercial", "4.0"), "cc-by-nc"), (CC.format("-NonCommercial", "3.0"), "cc-by-nc"),
+         (CC.format("", "4.0") + ". Not so: " + CC.format("-NonCommercial", "4.0"), "cc-by,cc-by-nc"),
+         ("GNU General Public License " * 3, ""), (GPL, ""), (GPL + " (GPL) version 3", "gpl-3"), (GPL + " v3", "gpl-3"),
+         (GPL + " v2", ""), (GPL + ", version 2", ""),
+         ("GNU General Public License " * 9 + GPL + ", version 3 " + "GNU General Public License " * 9, "gpl-3"),
+         ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0", "mpl-2"), ("Licensed under CC BY-NC 3.0", "cc-by-nc")]
+
+
+def test_deciding_words_and_dense_repeats(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NAMED)], SCHEMA)
+    got = {r.doc_id: r.labels for r in licenses.labelled(df).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(NAMED)] == NAMED
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(None, TEXTS[0]), (1, TEXTS[0]), (1, TEXTS[0])], SCHEMA)
     assert [r.n_base for r in licenses.labelled(df).collect()] == [2, 2, 2]
