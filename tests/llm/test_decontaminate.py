@@ -57,6 +57,21 @@ def test_regions_equal_brute_force(spark):
         assert distance(norm(dict(items)[r.item_id]), part) == r.distance
 
 
+def test_clustered_edits_and_items_of_unequal_length(spark):
+    """Forty edits, eight characters apart, leave the 400 characters with 73 q-grams at two
+    ends: exactly the bound, and at one end fewer than a window of the short item asks for."""
+    rnd = random.Random(3)
+    items = [(i, "".join(rnd.choice("etaoinshrdlu") for _ in range(n))) for i, n in enumerate((200, 400))]
+    text = list(items[1][1])
+    for p in range(52, 365, 8):
+        text[p] = "x"
+    docs = [(0, "".join(text)), (1, "".join(reversed(text))), (2, "y " * 300 + "".join(text) + " z" * 300 + items[0][1])]
+    got = decontaminate.find_regions(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)).collect()
+    want = {(d, i, distance(q, norm(t))) for d, t in docs for i, q in items}
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {w for w in want if w[2] <= (20, 40)[w[1]]}
+    assert (0, 1, 40) in want
+
+
 def test_item_blocks_empty_tables_and_clean_rows(spark):
     docs, items = fixture()
     df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)

@@ -6,8 +6,9 @@ space into one space.  An item of m characters may differ from a passage by
 m + 1 - q - q * e of the item's q-grams, all on diagonals (place in the text minus place in
 the item) that are at most e apart.
 
-1. Every q-gram of every text is looked up in the q-grams of a block of items.  Places where
-   the hits are too sparse for any item drop out by a running count.
+1. Every q-gram of every text is looked up in the q-grams of a block of items.  A hit further
+   than an item's longest passage from every place where hits are dense enough for some
+   item drops out for that item, by a running count.
 2. Hits are counted per item in diagonal bands of width 2e that overlap by e, so any passage
    lies in one band whole; bands that reach the lemma's bound are kept.
 3. Kept bands are verified by an alignment restricted to their diagonals.
@@ -100,7 +101,9 @@ class Index:
         self.table[self.grams >> np.uint64(64 - _TABLE_BITS)] = True
         if len(self.ids):
             # A window of the shortest passage holds at least this many hits somewhere in
-            # any passage that reaches its bound.
+            # any passage that reaches its bound; the passage's other hits may be sparse, but
+            # are no further away than it is long.
+            self.reach = self.sizes + self.edits
             self.window = int((self.sizes + 2 * self.edits).min())
             parts = -(-(self.sizes + 2 * self.edits) // self.window)
             self.dense = int((-(-self.need // parts)).min())
@@ -125,19 +128,24 @@ def candidates(ix: Index, points: np.ndarray, cuts: np.ndarray) -> list[tuple[in
     at, k, text = at[ok], k[ok], text[ok]
     if not len(at):
         return []
-    # Sparse places: keep hits that lie in some window with enough of them.
+    # Sparse places: keep hits that lie in some window with enough of them, or near one.
     ahead = np.searchsorted(at, at + ix.window) - np.arange(len(at))
     mark = np.zeros(len(at) + 1, int)
     full = np.flatnonzero(ahead >= ix.dense)
     np.add.at(mark, full, 1)
     np.add.at(mark, full + ahead[full], -1)
-    ok = np.cumsum(mark[:-1]) > 0
-    at, k, text = at[ok], k[ok], text[ok]
-    if not len(at):
+    dense = at[np.cumsum(mark[:-1]) > 0]
+    if not len(dense):
         return []
+    after = np.searchsorted(dense, at)
+    apart = np.minimum(np.abs(dense[np.minimum(after, len(dense) - 1)] - at), np.abs(at - dense[np.maximum(after - 1, 0)]))
+    ok = apart <= ix.reach.max()
+    at, k, text, apart = at[ok], k[ok], text[ok], apart[ok]
     many = ix.first[k + 1] - ix.first[k]
     row = np.repeat(np.arange(len(at)), many)
     entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + ix.first[k[row]]
+    ok = apart[row] <= ix.reach[ix.item[entry]]
+    row, entry = row[ok], entry[ok]
     item, text, local = ix.item[entry], text[row], at[row] - cuts[text[row]]
     diagonal = local - ix.place[entry]
     step = ix.edits[item] + 1
