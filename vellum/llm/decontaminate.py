@@ -271,7 +271,8 @@ def find_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float
 
     Clean documents give no row, nor do null and empty texts or an empty benchmark.  Items
     that repeat are searched once per id; null item texts and those under ``min_chars``
-    normalised characters are skipped.  Of overlapping passages of one item the one with the
+    normalised characters are skipped.  An item counts where it is found whole within its edits;
+    a part of it quoted alone gives no row.  Of overlapping passages of one item the one with the
     fewest edits is reported.  Repeated rows are reported each; a null doc_id stays null."""
     spark, d = docs.sparkSession, documents(docs, id_col, text_col)
     out = None
