@@ -15,8 +15,11 @@ work on runs:
 3. The placements, ranges of ranks against ranges of sequences, return to the rows by a
    join on length and rank.
 
-The run tables hold at most ``seq_len`` entries a side: a bound set by the sequence length
-and not by the corpus, which is why the sweep itself is done in one place.
+There are at most ``seq_len`` document runs.  A length leaves at most two gap runs more than
+it found (a placement that uses a gap run up replaces it by one; only the last may split one,
+and new sequences make two), so there are at most ``2 * seq_len`` gap runs and ``seq_len ** 2``
+placements: bounds set by the sequence length and not by the corpus, which is why the sweep
+itself is done in one place, on the driver, and not as distributed sweeps.
 """
 from __future__ import annotations
 
