@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_code, table_path
-from . import (decontaminate, exact_dedup, licenses, near_dup, packing, secrets, substring,
-               token_count, toxicity, url_filter)
+from . import (conversations, decontaminate, exact_dedup, language_id, licenses, merkle, near_dup, packing,
+               secrets, substring, token_count, toxicity, url_filter)
 
 #: The byte-level vocabulary of 50,257 ids, as ranks (see tokenizer.encoder).
 VOCABULARY = "public:byte_bpe_50k.tiktoken"
@@ -57,6 +57,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(found)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(read(spark, sf_dir, "conversations"))
+    return conversations.repair(damaged, present=F.col("present"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(read(spark, sf_dir, "documents"), tampered=merkle.stripped_newlines())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dup, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_best_fit_packing,
-    op6_exact_dedup, op7_url_filter, op8_decontaminate, op9_toxicity, op10_secret_scan)}
+    op6_exact_dedup, op7_url_filter, op8_decontaminate, op9_toxicity, op10_secret_scan, op11_language_id,
+    op12_conversation_repair, op13_merkle_manifest)}
