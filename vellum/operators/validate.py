@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import text as T
+from ..sources.requests import distinct_requests
 from .scan import null_safe_join
 
 
@@ -66,15 +67,28 @@ def file_reject_reason(files: DataFrame, limits: C.Limits | None = None,
     return files.withColumn("reject_reason", reason)
 
 
+def tenant_file_reject_reason(files: DataFrame, limits: DataFrame) -> DataFrame:
+    """``file_reject_reason`` with each tenant's own limits (``options.resolve_limits``: tenant,
+    max_file_size, max_chapters); a file of a tenant without limits has the defaults."""
+    d = C.Limits()
+    j = null_safe_join(files, limits.select("tenant", F.col("max_file_size").alias("_size"),
+                                            F.col("max_chapters").alias("_count")), ["tenant"], "left")
+    checked = file_reject_reason(j, max_file_size=F.coalesce("_size", F.lit(d.max_file_size)),
+                                 max_chapters=F.coalesce("_count", F.lit(d.max_chapters)))
+    return checked.drop("_size", "_count")
+
+
 def request_reject_reason(requests: DataFrame, max_chapters: int = C.MAX_CHAPTERS) -> DataFrame:
     """Chapter intake, in order: no chapters, too many chapters (limit inclusive).  The
-    chapters of all parts of a book count together; ``n_chapters`` is their number."""
+    chapters of all parts of a submission count together (``n_chapters``); lines landed again
+    are left out, and another submission of the same book is judged on its own."""
     own = F.coalesce(F.when(F.col("chapters").isNotNull(), F.size("chapters")), F.lit(0))
-    per = requests.groupBy("book_id").agg(F.sum(own).cast("bigint").alias("n_chapters"))
+    lines = distinct_requests(requests)
+    per = lines.groupBy("submission").agg(F.sum(own).cast("bigint").alias("n_chapters"))
     n = F.col("n_chapters")
     reason = (F.when(n <= 0, F.lit(C.REJECT_NO_CHAPTERS))
                .when(n > max_chapters, too_many_chapters_message(F.lit(max_chapters))))
-    return null_safe_join(requests, per, ["book_id"]).withColumn("reject_reason", reason)
+    return lines.drop("_content").join(per, "submission").withColumn("reject_reason", reason)
 
 
 def max_chapters_guard(chapters: DataFrame, max_chapters: int = C.MAX_CHAPTERS) -> DataFrame:
@@ -86,9 +100,11 @@ def max_chapters_guard(chapters: DataFrame, max_chapters: int = C.MAX_CHAPTERS)
                          .alias("reject_reason"))
 
 
-def book_reject_reason(chapters: DataFrame, max_chapters: int = C.MAX_CHAPTERS) -> DataFrame:
-    """Per book (book_id, n_chapters, reject_reason): no book id, too many chapters."""
-    counts = chapters.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
+def book_reject_reason(chapters: DataFrame, max_chapters: int = C.MAX_CHAPTERS,
+                       by: list[str] | None = None) -> DataFrame:
+    """Per book (book_id, n_chapters, reject_reason): no book id, too many chapters.  ``by``
+    tells submissions of a book apart."""
+    counts = chapters.groupBy(*(by or ["book_id"])).agg(F.count("*").alias("n_chapters"))
     return counts.withColumn("reject_reason", F.when(F.col("book_id").isNull(), F.lit(REJECT_NO_BOOK))
                              .when(F.col("n_chapters") > max_chapters,
                                    too_many_chapters_message(F.lit(max_chapters))))
