@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import text as T
-from .scan import previous_values
+from .scan import previous_values, running_sums
 
 EVENT_ORDER = ["ts", "event_id"]
 
@@ -165,19 +165,44 @@ def translate_progress(positioned: DataFrame) -> DataFrame:
     )
 
 
-def lifecycle_events(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
+def chapter_events(jobs: DataFrame, finished: DataFrame) -> DataFrame:
+    """A ``translating`` row per chapter that was reached: step = its place in the book,
+    progress by the share of chapters before it, message with its id.
+
+    ``finished``: job_id, id, ordinal, failed per chapter.  A book goes on in chapter order until
+    its first failure, so later chapters leave no row.  Places are running sums that do not
+    gather a book (``scan``)."""
+    slim = finished.select("job_id", "id", "ordinal", "failed")
+    placed = running_sums(slim, ["job_id"], ["id", "ordinal"],
+                          {"ch_idx": F.lit(1), "_bad": F.when(F.col("failed"), 1).otherwise(0)},
+                          totals={"n_chapters": "ch_idx"})
+    idx, n = F.col("ch_idx").cast("double"), F.col("n_chapters").cast("double")
+    progress = F.lit(C.PROGRESS_TRANSLATE_START) + F.lit(C.PROGRESS_TRANSLATE_SPAN) * (idx / n)
+    return placed.where(F.col("_bad") == 0).join(jobs.select("job_id"), "job_id", "left_semi").select(
+        "job_id", F.lit(1).alias("seq"), (F.col("ch_idx") + 1).cast("int").alias("step"),
+        F.lit(C.STATUS_TRANSLATING).alias("status"), progress.alias("progress"),
+        T.chapter_message("id", "n_chapters").alias("message"), F.lit(None).cast("string").alias("file_path"),
+        (F.col("ch_idx") + 1).cast("int").alias("current_chapter"), F.col("n_chapters").cast("int").alias("total_chapters"))
+
+
+def lifecycle_events(jobs: DataFrame, outcomes: DataFrame, finished: DataFrame | None = None) -> DataFrame:
     """Event log of pipeline runs: submit -> translating -> formatting -> completed, or
-    -> error with the translation error (progress stays where it was)."""
-    j = jobs.join(outcomes.select("book_id", "failed", "error"), "book_id", "left")
+    -> error with the translation error (progress stays where it was).  ``outcomes``: job_id
+    (or book_id), failed, error.  With ``finished`` (see ``chapter_events``) the translating step goes on
+    chapter by chapter.  Ordered by (seq, step)."""
+    key = "job_id" if "job_id" in outcomes.columns else "book_id"
+    j = jobs.join(outcomes.select(key, "failed", "error"), key, "left")
     failed = F.coalesce(F.col("failed"), F.lit(False))
-    def step(seq, status, progress, message, path, keep):
-        return F.struct(F.lit(seq).alias("seq"), status.alias("status"),
+    none = F.lit(None)
+
+    def step(seq, status, progress, message, path, keep, current=none, total=none):
+        return F.struct(F.lit(seq).alias("seq"), F.lit(0).alias("step"), status.alias("status"),
                         progress.cast("double").alias("progress"), message.alias("message"),
-                        path.cast("string").alias("file_path"), keep.alias("keep"))
+                        path.cast("string").alias("file_path"), current.cast("int").alias("current_chapter"),
+                        total.cast("int").alias("total_chapters"), keep.alias("keep"))
 
-    none = F.lit(None)
     steps = F.array(
-        step(0, F.col("status"), F.col("progress"), F.col("message"), none, F.lit(True)),
+        step(0, F.col("status"), F.col("progress"), F.col("message"), none, F.lit(True), F.lit(0), F.col("total_chapters")),
         step(1, F.lit(C.STATUS_TRANSLATING), F.lit(C.PROGRESS[C.STATUS_TRANSLATING]),
              F.lit(C.MSG_TRANSLATING), none, F.lit(True)),
         step(2, F.lit(C.STATUS_ERROR), none, F.concat(F.lit(C.MSG_ERROR_PREFIX), F.col("error")),
@@ -188,5 +213,20 @@ def lifecycle_events(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
              F.lit(C.MSG_COMPLETED),
              T.output_path("job_id", T.normalise_format(F.col("output_format"))), ~failed),
     )
-    return (j.select("job_id", F.inline(F.filter(steps, lambda s: s["keep"])))
-             .drop("keep"))
+    out = j.select("job_id", F.inline(F.filter(steps, lambda s: s["keep"]))).drop("keep")
+    return out if finished is None else out.unionByName(chapter_events(jobs, finished))
+
+
+def settled(events: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``completed`` only for jobs with an artifact: the row stays, with the artifact's path,
+    where ``artifacts`` (job_id, path) holds one; a job without one stays at formatting."""
+    done = F.col("status") == C.STATUS_COMPLETED
+    paths = artifacts.select("job_id", F.col("path").alias("_path"))
+    return (events.where(~done).unionByName(
+        events.where(done).join(paths, "job_id").withColumn("file_path", F.col("_path")).drop("_path")))
+
+
+def run_state(events: DataFrame) -> DataFrame:
+    """``latest_state`` of a run's own events, which are ordered by (seq, step)."""
+    return latest_state(events.withColumns({
+        "ts": F.timestamp_seconds(F.col("seq")), "event_id": F.col("step").cast("bigint")}))
