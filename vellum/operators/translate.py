@@ -12,12 +12,14 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Iterator, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import config as C
 from ..functions import text as T
 from ..session import materialize, ship_code
+from ..store import BucketedTable, RunStore
 from .chunking import CHAPTER_KEY
+from .scan import null_safe_join, running_sums
 
 RESULT_COLUMNS = "translated string, attempts int, wait_s bigint, error string"
 DEFAULT_CONCURRENCY = 8
@@ -173,7 +175,8 @@ def translate_chunks(chunks: DataFrame, model: TextModel | Callable[[], TextMode
                      max_retries: int = C.MAX_RETRIES, key_col: str | None = None,
                      parallelism: int | None = None, sleep: Callable[[float], None] | None = None,
                      strip_output: bool = True, jvm: bool = False,
-                     concurrency: int = DEFAULT_CONCURRENCY, dedupe: bool = False) -> DataFrame:
+                     concurrency: int = DEFAULT_CONCURRENCY, dedupe: bool = False,
+                     memory: TranslationMemory | None = None) -> DataFrame:
     """Adds ``translated, attempts, wait_s, error`` to every chunk row.
 
     * Chunks are spread by a hash of their identity over ``parallelism`` tasks before
@@ -189,6 +192,8 @@ def translate_chunks(chunks: DataFrame, model: TextModel | Callable[[], TextMode
     * ``dedupe=True`` calls the model once per distinct (target language, chunk text):
       equal chunks (copied documents, boilerplate) share one call, whose ``attempts`` and
       ``wait_s`` every copy reports.  See ``translate_distinct``.
+    * ``memory`` (implies ``dedupe``): translations kept from earlier runs.  Only pairs that it
+      lacks reach the model; a remembered one reports no attempt.
     """
     tr = model if model is not None else LetterModel()
     lang = target_language if isinstance(target_language, Column) else F.lit(target_language)
@@ -210,10 +215,10 @@ def translate_chunks(chunks: DataFrame, model: TextModel | Callable[[], TextMode
     n = parallelism or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     fn = _worker(factory, "chunk", "target_language", key_col, max_retries,
                  sleep or time.sleep, strip_output, concurrency)
-    if dedupe:
+    if dedupe or memory:
         if key_col:
             raise ValueError("dedupe shares one call among equal chunks: no per-row key_col")
-        return translate_distinct(df, fn, n)
+        return translate_distinct(df, fn, n, memory)
     spread = df.repartition(n, *[F.col(c) for c in CHAPTER_KEY], F.col("chunk_idx"))
     return spread.mapInPandas(fn, _result_schema(spread))
 
@@ -223,11 +228,32 @@ def _result_schema(df: DataFrame) -> str:
     return f"{cols}, {RESULT_COLUMNS}"
 
 
-def translate_distinct(df: DataFrame, fn, n: int) -> DataFrame:
+class TranslationMemory:
+    """Translations kept across runs: a table of (digest of language and chunk, translation),
+    bucketed and sorted by digest, so that a run meets it by a sort-merge join which moves
+    the run's distinct digests and not the memory.  Failures are not remembered."""
+
+    SCHEMA = "_ck string, translated string"
+
+    def __init__(self, spark: SparkSession, location: str, buckets: int | None = None):
+        self.table = BucketedTable(spark, location, self.SCHEMA, "_ck", buckets)
+
+    def known(self) -> DataFrame:
+        """One row per digest: runs that worked side by side may both have added it."""
+        return self.table.read().groupBy("_ck").agg(F.min("translated").alias("translated"))
+
+    def add(self, done: DataFrame) -> None:
+        self.table.append(done.where(F.col("error").isNull()).select("_ck", "translated"))
+
+
+def translate_distinct(df: DataFrame, fn, n: int, memory: TranslationMemory | None = None) -> DataFrame:
     """One call per distinct (target_language, chunk), joined back to every chunk row.
 
     * The distinct step is an aggregate on a SHA-256 of the pair, combined map-side, so a
       chunk repeated in a third of all rows reaches the reducer once per map task.
+    * With a ``memory``, pairs that it holds leave by an anti-join before the model, and what
+      the model gave is added to it once it is written.  A run that is done again after a
+      failure hence calls for what is still missing.
     * The distinct chunks are spread over ``n`` tasks (explicit count, as without dedupe)
       and the translations written once (``materialize``): they are the expensive output,
       and the join back may be recomputed without calling the model again.
@@ -236,11 +262,61 @@ def translate_distinct(df: DataFrame, fn, n: int) -> DataFrame:
     keyed = df.withColumn("_ck", F.sha2(F.concat_ws("\u0000", "target_language", "chunk"), 256))
     uniq = keyed.groupBy("_ck").agg(F.any_value("chunk").alias("chunk"),
                                     F.any_value("target_language").alias("target_language"))
+    if memory is not None:
+        known = materialize(uniq.select("_ck").join(memory.known().hint("merge"), "_ck").select(
+            "_ck", "translated", F.lit(0).alias("attempts"), F.lit(0).cast("bigint").alias("wait_s"),
+            F.lit(None).cast("string").alias("error")))
+        uniq = uniq.join(known.select("_ck"), "_ck", "left_anti")
     spread = uniq.repartition(n, "_ck")
     done = materialize(spread.mapInPandas(fn, _result_schema(spread)).drop("chunk", "target_language"))
+    if memory is not None:
+        memory.add(done)
+        done = done.unionByName(known)
     return keyed.join(done, "_ck").drop("_ck")
 
 
+def wave_of(position: Column, first: int) -> Column:
+    """Wave of a chunk by its position in the book: waves double, so a book of n chunks takes
+    about log2(n / first) of them."""
+    return (F.length(F.bin(F.floor(position / F.lit(first)) + 1)) - 1).cast("int")
+
+
+def translate_in_waves(chunks: DataFrame, model=None, *, store: RunStore, run: str, first: int = 8,
+                       **options) -> DataFrame:
+    """Translates the chunks of every book in waves and stops a book after the wave in which a
+    chunk of it has failed for good: its later chunks are never sent to the model.
+
+    * Positions are running sums over slim rows (no book is gathered).  Wave w of a book holds
+      ``first * 2**w`` chunks, so a failed book costs at most about twice the calls up to its first
+      failure (and ``first``), and the number of waves grows with the logarithm of the largest book.
+    * Between waves, books that have failed leave by an anti-join.
+    * A wave is written and published (``store``) before the next begins: done again, the run goes
+      on after the last wave that is there.
+
+    Returns the translated chunks of all waves, with ``wave``."""
+    slim = chunks.select(*CHAPTER_KEY, "chunk_idx")
+    placed = running_sums(slim, ["book_id"], ["id", "ordinal", "chunk_idx"], {"_pos": F.lit(1)})
+    waves = materialize(placed.select(*CHAPTER_KEY, "chunk_idx", wave_of(F.col("_pos"), first).alias("wave")))
+    last = waves.agg(F.max("wave")).first()[0]
+    there = {r.run for r in store.runs().collect()}
+    failed = None
+    for w in range(-1 if last is None else last + 1):
+        name = f"{run}-wave-{w}"
+        if name not in there:
+            todo = waves.where(F.col("wave") == w)
+            if failed is not None:
+                todo = todo.join(failed, todo["book_id"].eqNullSafe(failed["_failed"]), "left_anti")
+            work = null_safe_join(chunks, todo, [*CHAPTER_KEY, "chunk_idx"])
+            store.put(name, chunks=translate_chunks(work, model, **options))
+        got = store.read("chunks")
+        failed = got.where(F.col("error").isNotNull() & F.col("run").startswith(f"{run}-wave-")).select(
+            F.col("book_id").alias("_failed")).distinct()
+    out = store.read("chunks") if last is not None else None
+    if out is None:
+        return translate_chunks(chunks.withColumn("wave", F.lit(0)), model, **options)
+    return out.where(F.col("run").startswith(f"{run}-wave-")).drop("run")
+
+
 def book_outcomes(chapters: DataFrame) -> DataFrame:
     """All or nothing per book, from reassembled chapter rows (``failed``, ``error``,
     ``n_chunks``, ``n_calls``): the book fails if any chunk failed; the reported error is
