@@ -47,6 +47,21 @@ def page_count(length: Column, chars_per_page: int, max_pages: int | None) -> Co
     return F.coalesce(n if max_pages is None else F.least(n, F.lit(max_pages)), F.lit(0)).cast("int")
 
 
+#: What XML 1.0 does not allow in a document.
+NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
+NO_CONTENT = "chapter has no content"
+NOT_UNICODE = "chapter is not valid Unicode text"
+BAD_CHARACTER = "chapter has a character that XML does not allow"
+
+
+def chapter_error(content) -> Column:
+    """Why a chapter cannot be laid out, all reasons joined by ``; ``, or null.  Such a chapter is
+    marked and keeps its heading; the others go on."""
+    c = F.col(content) if isinstance(content, str) else content
+    checks = [(c.isNull(), NO_CONTENT), (~F.is_valid_utf8(c), NOT_UNICODE), (c.rlike(NOT_XML), BAD_CHARACTER)]
+    return F.nullif(F.concat_ws("; ", *[F.when(when, F.lit(what)) for when, what in checks]), F.lit(""))
+
+
 def chapter_shape(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
                   max_pages: int | None = None, *, paragraphs: bool = True) -> DataFrame:
     """Adds ``n_pages`` (DOCX) and, for the PDF layout, ``paras`` (non-blank
@@ -54,13 +69,14 @@ def chapter_shape(chapters: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
     base = chapters.withColumn("n_pages", page_count(F.length("content"), chars_per_page, max_pages))
     if not paragraphs:
         return base.withColumn("n_paras", F.lit(0))
-    nonblank = F.filter(F.transform(T.split_paragraphs("content"),
+    # A faulty chapter keeps its heading elements and gets no paragraph.
+    sound = F.when(chapter_error("content").isNull(), F.col("content"))
+    nonblank = F.filter(F.transform(T.split_paragraphs(sound),
                                     lambda p, i: F.struct(i.alias("i"), p.alias("p"))),
                         lambda s: ~T.is_blank(s["p"]))
-    # A chapter without content keeps its heading elements and gets no paragraph.
     nonblank = F.coalesce(nonblank, F.array().cast("array<struct<i:int,p:string>>"))
     # Counted on its own (no structs), so the slim scan input never builds ``paras``.
-    n_paras = F.size(F.coalesce(F.filter(T.split_paragraphs("content"), lambda p: ~T.is_blank(p)),
+    n_paras = F.size(F.coalesce(F.filter(T.split_paragraphs(sound), lambda p: ~T.is_blank(p)),
                                 F.array().cast("array<string>")))
     return base.withColumns({"paras": nonblank, "n_paras": n_paras})
 
@@ -195,7 +211,7 @@ def docx_elements(positioned: DataFrame, chars_per_page: int = C.CHARS_PER_PAGE,
 def pdf_elements(positioned: DataFrame) -> DataFrame:
     """Per chapter: page break (not before the first), title, 0.2 in spacer; per non-blank
     paragraph (split on a blank line): escaped body, 0.1 in gap.  No drop cap, no page
-    numbers.  A chapter without content keeps its heading, whose title carries
+    numbers.  A faulty chapter (``chapter_error``) keeps its heading, whose title carries
     ``element_error``; the rest of the book is unaffected."""
     b = F.when(F.col("ch_idx") > 0, 1).otherwise(0)
 
@@ -208,7 +224,7 @@ def pdf_elements(positioned: DataFrame) -> DataFrame:
     head = F.array(
         _el(1, "break", keep=F.col("ch_idx") > 0),
         _el(1 + b, "title", text=T.chapter_title("id"), align="RIGHT",
-            error=F.when(F.col("content").isNull(), F.lit("chapter has no content"))),
+            error=chapter_error("content")),
         _el(2 + b, "spacer", height=C.TITLE_SPACER_IN),
     )
     els = F.filter(F.concat(head, F.flatten(F.transform("paras", per_para))),
@@ -230,20 +246,50 @@ def split_paragraphs(chapters: DataFrame) -> DataFrame:
                          T.xml_escape("p").alias("text")))
 
 
-def render_text(elements: DataFrame) -> DataFrame:
-    """Book read back as text, elements in ``seq`` order joined by newlines: a page break
-    renders as form feed, a spacer or gap as an empty line, a drop cap is glued to its
-    body.  One string per book: the row is as large as the book."""
-    shown = (F.when(F.col("kind") == "break", F.lit("\f\n"))
+def shown_text() -> Column:
+    """An element as it reads back: a page break is a form feed, a spacer or gap an empty line,
+    a drop cap is glued to its body."""
+    return (F.when(F.col("kind") == "break", F.lit("\f\n"))
              .when(F.col("kind").isin("spacer", "gap"), F.lit("\n"))
              .when(F.col("kind") == "dropcap", F.col("text"))
              .otherwise(F.concat("text", F.lit("\n"))))
-    parts = F.array_sort(F.collect_list(F.struct(F.col("seq"), shown.alias("t"))))
+
+
+def render_text(elements: DataFrame) -> DataFrame:
+    """Book read back as text, elements in ``seq`` order joined by newlines (``shown_text``).  One
+    string per book: the row is as large as the book (``book_segments`` is not)."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col("seq"), shown_text().alias("t"))))
     whole = F.array_join(F.transform(parts, lambda x: x["t"]), "")
     return elements.groupBy("book_id").agg(
         F.substring(whole, F.lit(1), F.length(whole) - 1).alias("text"), F.count("*").alias("n_elements"))
 
 
+def book_segments(elements: DataFrame, key: str = "book_id") -> DataFrame:
+    """The same text in pieces: (book_id, seq, start, n_bytes, text), ``start`` the byte offset of
+    the piece in its book.  Offsets are running sums over lengths (``scan``), so a book of any
+    size is spread over many tasks; the pieces in order of ``start`` are the text and a newline."""
+    parts = elements.select(key, "seq", shown_text().alias("text"))
+    slim = parts.select(key, "seq", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    placed = running_sums(slim, [key], ["seq"], {"start": F.col("n_bytes")})
+    return null_safe_join(parts, placed, [key, "seq"]).select(key, "seq", "start", "n_bytes", "text")
+
+
+def write_segments(segments: DataFrame, path: str, key: str = "book_id") -> None:
+    """In files that each hold one stretch of (book, offset): a range is read from those files
+    alone, by their statistics."""
+    segments.repartitionByRange(key, "start").sortWithinPartitions(key, "start").write.parquet(path)
+
+
+def read_range(segments: DataFrame, book, start: int, end: int, key: str = "book_id") -> DataFrame:
+    """Bytes ``start`` to ``end`` (exclusive) of a book, as pieces (start, bytes) to be joined in
+    order; only segments that meet the range are read."""
+    first = F.greatest(F.col("start"), F.lit(start))
+    last = F.least(F.col("start") + F.col("n_bytes"), F.lit(end))
+    mine = segments.where((F.col(key) == book) & (F.col("start") < end) & (F.col("start") + F.col("n_bytes") > start))
+    piece = F.substring(F.col("text").cast("binary"), (first - F.col("start") + 1).cast("int"), (last - first).cast("int"))
+    return mine.select(first.alias("start"), piece.alias("bytes"))
+
+
 def styled(elements: DataFrame, styles: DataFrame, fmt: str) -> DataFrame:
     """Attach the style of each (format, kind); the style table has a fixed 10 rows."""
     s = styles.where(F.col("format") == fmt).drop("format")

@@ -50,6 +50,8 @@ def page_stats(files: DataFrame, text_col: str = "text", sep: str = "\f") -> Dat
     return files.withColumn("n_pages", F.size(kept).cast("bigint"))
 
 
+#: Characters of page text that an extracting task hands on at a time.
+PAGE_CHARS = 4_000_000
 PAGES_SCHEMA = "path string, id bigint, content string, extract_error string"
 
 
@@ -63,8 +65,10 @@ def extract_with(files: DataFrame, extractor: Callable[[bytes, str], list[str]],
         files = files.where(F.col("length") <= max_length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(        # noqa: E731
+            rows, columns=["path", "id", "content", "extract_error"]).astype({"id": "Int64"})
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     pages = extractor(bytes(content) if content is not None else b"", path)
@@ -74,8 +78,11 @@ def extract_with(files: DataFrame, extractor: Callable[[bytes, str], list[str]],
                 for i, text in enumerate(pages):
                     if text is not None and text.strip():
                         rows.append((path, i + 1, text, None))
-            yield pd.DataFrame(rows, columns=["path", "id", "content", "extract_error"]).astype(
-                {"id": "Int64"})
+                        held += len(text)
+                        if held > PAGE_CHARS:       # the pages of a batch never lie in memory together
+                            yield frame(rows)
+                            rows, held = [], 0
+            yield frame(rows)
     ship_code(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, PAGES_SCHEMA)
 

@@ -1,7 +1,7 @@
 """Options and small fixed dimensions as DataFrames."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import config as C
 
@@ -20,15 +20,14 @@ def styles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.STYLES, STYLE_SCHEMA)
 
 
-def page_geometry(spark: SparkSession) -> DataFrame:
-    """Page size and margins in inches, and the room they leave for text: one row."""
-    w = C.PAGE_WIDTH_IN - C.MARGIN_LEFT_IN - C.MARGIN_RIGHT_IN
-    h = C.PAGE_HEIGHT_IN - C.MARGIN_TOP_IN - C.MARGIN_BOTTOM_IN
-    return spark.createDataFrame(
-        [(C.PAGE_WIDTH_IN, C.PAGE_HEIGHT_IN, C.MARGIN_LEFT_IN, C.MARGIN_RIGHT_IN, C.MARGIN_TOP_IN,
-          C.MARGIN_BOTTOM_IN, w, h)],
-        "page_width_in double, page_height_in double, margin_left_in double, margin_right_in double, "
-        "margin_top_in double, margin_bottom_in double, text_width_in double, text_height_in double")
+def page_geometry() -> list[Column]:
+    """Page size and margins in inches, and the room they leave for text, as columns."""
+    values = {"page_width_in": C.PAGE_WIDTH_IN, "page_height_in": C.PAGE_HEIGHT_IN,
+              "margin_left_in": C.MARGIN_LEFT_IN, "margin_right_in": C.MARGIN_RIGHT_IN,
+              "margin_top_in": C.MARGIN_TOP_IN, "margin_bottom_in": C.MARGIN_BOTTOM_IN,
+              "text_width_in": C.PAGE_WIDTH_IN - C.MARGIN_LEFT_IN - C.MARGIN_RIGHT_IN,
+              "text_height_in": C.PAGE_HEIGHT_IN - C.MARGIN_TOP_IN - C.MARGIN_BOTTOM_IN}
+    return [F.lit(v).alias(k) for k, v in values.items()]
 
 
 def resolve_limits(tenants: DataFrame, overrides: DataFrame, limits: C.Limits = C.Limits()) -> DataFrame:
