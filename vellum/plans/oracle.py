@@ -5,8 +5,11 @@ same fixed values and perturbations are spliced in from ``config`` / ``registry`
 from __future__ import annotations
 
 from .. import config as C
+from ..operators.layout import BAD_CHARACTER, NO_CONTENT
 from ..operators.translate import LetterModel
-from .registry import EXTRA, JOB_OPTIONS, LANG, LANG_NAMES, LIMIT_OVERRIDES
+from ..streaming import job_timers
+from ..streaming.stream import SILENT, TIMER_DELAY_DAYS
+from .registry import EXTRA, FILE_LIMITS, JOB_OPTIONS, LANG, LANG_NAMES, LIMIT_OVERRIDES, OTHER_FORMAT, OTHER_LANG, WAVE
 
 WS = "||".join(f"chr({ord(c)})" for c in C.WHITESPACE)
 NL2 = "chr(10)||chr(10)"
@@ -38,9 +41,12 @@ def letters(x: str, lang: str = LANG) -> str:
     return f"({q('[' + lang + '] ')} || translate({x}, {q(LetterModel.FROM)}, {q(LetterModel.TO)}))"
 
 
-def job_id(intake: str, book: str, submission: str = "0") -> str:
-    coded = lambda x: f"coalesce(length({x}) || ':' || {x}, 'n')"
-    return "md5(" + " || ".join(coded(x) for x in (q(intake), f"cast({book} as varchar)", q(LANG), q("docx"), q(submission))) + ")"
+def coded(x: str) -> str:
+    return f"coalesce(length(cast({x} as varchar)) || ':' || cast({x} as varchar), 'n')"
+
+
+def job_id(intake: str, book: str, submission: str = q("0"), lang: str = q(LANG), fmt: str = q("docx")) -> str:
+    return "md5(" + " || ".join(coded(x) for x in (q(intake), book, lang, fmt, submission)) + ")"
 
 
 def fixed_decimal_py(n: int, den: int, d: int) -> str:
@@ -129,16 +135,19 @@ docx as (select book_id, row_number() over (partition by book_id order by ch_idx
   chapter_id, part_idx, text, page_no, align, NULL::DOUBLE as height_in from dels)"""
 
 
+NOT_XML = r"regexp_matches(content, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]')"
+
+
 def pdf_ctes(src: str) -> str:
     return f"""ppos as ({pos(src)}),
 paras as (select book_id, id, ordinal, ch_idx, unnest(string_split(content, {NL2})) as para,
-  unnest(range(0, len(string_split(content, {NL2})))) as i from ppos),
+  unnest(range(0, len(string_split(content, {NL2})))) as i from ppos where not {NOT_XML}),
 nb as (select * from paras where not {blank('para')}),
 pels as (
   select book_id, ch_idx, -1 as i, 0 as rk, 'break' as kind, id as chapter_id, NULL::INTEGER as part_idx,
          NULL::VARCHAR as text, NULL::DOUBLE as height_in, NULL::VARCHAR as element_error from ppos where ch_idx > 0
   union all select book_id, ch_idx, -1, 1, 'title', id, NULL, {title('id')}, NULL,
-         case when content is null then 'chapter has no content' end from ppos
+         case when content is null then {q(NO_CONTENT)} when {NOT_XML} then {q(BAD_CHARACTER)} end from ppos
   union all select book_id, ch_idx, -1, 2, 'spacer', id, NULL, NULL, {C.TITLE_SPACER_IN}, NULL from ppos
   union all select book_id, ch_idx, i, 3, 'body', id, cast(i as integer), {esc('para')}, NULL, NULL from nb
   union all select book_id, ch_idx, i, 4, 'gap', id, cast(i as integer), NULL, {C.PARAGRAPH_SPACER_IN}, NULL
@@ -152,8 +161,8 @@ def chunks(src: str) -> str:
     return f"select book_id, id, ordinal, idx as chunk_idx, piece as chunk, * exclude (book_id, id, ordinal, idx, piece, i, content) from ({slices(src, C.CHUNK_SIZE, keep_empty=True)})"
 
 
-def mock_translated(src: str) -> str:
-    return (f"select *, case when {blank('chunk')} then '' else {strip(letters('chunk'))} end as translated, "
+def mock_translated(src: str, lang: str = LANG) -> str:
+    return (f"select *, case when {blank('chunk')} then '' else {strip(letters('chunk', lang))} end as translated, "
             f"cast(case when {blank('chunk')} then 0 else 1 end as integer) as attempts, "
             f"cast(0 as bigint) as wait_s, false as failed from ({chunks(src)})")
 
@@ -220,19 +229,29 @@ def too_large(mx: int) -> str:
     return q(C.REJECT_TOO_LARGE.format(mb=fixed_decimal_py(mx, 1048576, 1)))
 
 
-def file_checks(mx: int = 8000, mc: int = 2) -> str:
+def limits_of(x: str, what: int, default: int) -> str:
+    """The tenant's override (column ``what`` of LIMIT_OVERRIDES), else the default."""
+    own = " ".join(f"when {q(r[0])} then {r[what]}" for r in LIMIT_OVERRIDES if r[what] is not None)
+    return f"(case {x} {own} else {default} end)"
+
+
+def file_checks() -> str:
     a, rest = C.REJECT_TOO_MANY_PAGES.split("{n}")
     b, c = rest.split("{max}")
+    sizes = {FILE_LIMITS.max_file_size} | {r[1] for r in LIMIT_OVERRIDES if r[1]}
+    large = "case mx " + " ".join(f"when {m} then {too_large(m)}" for m in sorted(sizes)) + " end"
     return f"""{PAGE_FILES}, {PAGE_LINES},
 np as (select file, count(*) filter (where not {blank('line')}) as n_pages from pl group by file),
-fc as (select pf.*, coalesce(np.n_pages, 0) as n_pages,
+lf as (select *, {limits_of("'src' || file % 20", 1, FILE_LIMITS.max_file_size)} as mx,
+  {limits_of("'src' || file % 20", 2, FILE_LIMITS.max_chapters)} as mc from pf),
+fc as (select lf.*, coalesce(np.n_pages, 0) as n_pages,
   case when content_type is distinct from {q(C.PDF_CONTENT_TYPE)} then {q(C.REJECT_NOT_PDF)}
-       when length > {mx} then {too_large(mx)}
+       when length > mx then {large}
        when file % 5 = 0 and strlen(text) <> length(text) then {q(C.REJECT_EXTRACT_ERROR.format(e='not ASCII'))}
        when coalesce(np.n_pages, 0) = 0 then {q(C.REJECT_NO_TEXT)}
-       when np.n_pages > {mc} then {q(a)} || cast(np.n_pages as varchar) || {q(b + str(mc) + c)}
+       when np.n_pages > mc then {q(a)} || cast(np.n_pages as varchar) || {q(b)} || mc || {q(c)}
   end as reject_reason
-  from pf left join np using (file))"""
+  from lf left join np using (file))"""
 
 
 def jobs_both() -> str:
@@ -250,17 +269,26 @@ jobs as (
 
 
 # --- A ---------------------------------------------------------------------------------
-SQL["scan_book_requests"] = (f"select cast(book_id as varchar) as book_id, id, ordinal, content, "
-                             f"{q(LANG)} as target_language from ({CONV_CH})")
-SQL["schema_check"] = """select distinct cast(conv_id as varchar) as book_id, turn // 3 as part,
-  case conv_id % 9 when 1 then 'field required: target_language' when 2 then 'malformed request' end as schema_error
-from conversations"""
-SQL["empty_request"] = f"""with n as (select conv_id, cast(case when conv_id % 9 = 0 then 0 else count(*) end as bigint) as n
-  from conversations where conv_id % 9 not in (1, 2) group by conv_id)
-select distinct cast(conv_id as varchar) as book_id, turn // 3 as part, n as n_chapters,
-  case when n = 0 then {q(C.REJECT_NO_CHAPTERS)}
-       when n > 5 then {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=5))} end as reject_reason
-from conversations join n using (conv_id)"""
+SQL["scan_book_requests"] = f"""select cast(book_id as varchar) as book_id, id, ordinal, content,
+  {q(LANG)} as target_language, cast(null as varchar) as output_format from ({CONV_CH})
+union all select cast(book_id as varchar), id, ordinal, content, {q(OTHER_LANG)}, {q(OTHER_FORMAT)} from ({CONV_CH})
+where book_id % 4 = 0"""
+_BOOKS = "b as (select conv_id, count(*) as n from conversations group by conv_id)"
+_LINES = """lines as (
+  select cast(conv_id as varchar) as book_id, turn // 3 as part, conv_id from conversations group by all
+  union all select cast(conv_id as varchar), null, conv_id from b where conv_id % 4 = 0)"""
+SQL["schema_check"] = f"""with {_BOOKS}, {_LINES}
+select book_id, part, cast(null as varchar) as schema_error from lines
+union all select book_id, part, null from lines where conv_id % 3 = 0
+union all select 'empty-' || conv_id, null, null from b where conv_id % 9 = 0
+union all select 'silent-' || conv_id, null, 'field required: target_language' from b where conv_id % 9 = 1
+union all select 'typed-' || conv_id, null, 'malformed request' from b where conv_id % 9 = 2"""
+SQL["empty_request"] = f"""with {_BOOKS}, {_LINES},
+l as (select book_id, part, case when part is null then {q(OTHER_LANG)} else {q(LANG)} end as target_language, n
+  from lines join b using (conv_id)
+  union all select 'empty-' || conv_id, null, {q(LANG)}, 0 from b where conv_id % 9 = 0)
+select book_id, part, target_language, n as n_chapters, case when n = 0 then {q(C.REJECT_NO_CHAPTERS)}
+  when n > 5 then {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=5))} end as reject_reason from l"""
 SQL["extract_errors"] = f"""with l as (select page_id, strlen(html) <> length(html) as failed,
   unnest(string_split(html || chr(10), chr(10))) as line from pages)
 select page_id as file, cast(case when bool_or(failed) then 0 else count(*) filter (where not {blank('line')}) end
@@ -310,12 +338,11 @@ from n"""
 SQL["max_chapters_guard"] = f"""select book_id, count(*) as n_chapters, count(*) <= 5 as accepted,
   case when count(*) > 5 then {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=5))} end as reject_reason
 from ({CONV_CH}) group by book_id"""
-SQL["blank_chapter_guard"] = f"""with ch as (select * replace (case when (book_id + ordinal) % 7 = 0
-  then ' ' || chr(9) else content end as content) from ({CONV_CH}))
-select book_id, count(*) as n_chapters, bool_or({blank('content')}) as has_blank,
-  not bool_or({blank('content')}) as accepted,
-  case when bool_or({blank('content')}) then {q(C.REJECT_BLANK_CHAPTER)} end as reject_reason
-from ch group by book_id"""
+SQL["blank_chapter_guard"] = f"""with g as (select conv_id as book_id, count(*) as n,
+  count(*) filter (where (conv_id + turn) % 7 = 0) as extra, bool_or({blank('text')}) as own
+  from conversations group by conv_id)
+select book_id, n + extra as n_chapters, own or extra > 0 as has_blank, not (own or extra > 0) as accepted,
+  case when own or extra > 0 then {q(C.REJECT_BLANK_CHAPTER)} end as reject_reason from g"""
 SQL["progress_domain"] = ("select event_id, value / 100.0 as progress, "
                           "value / 100.0 between 0 and 1 as in_domain from events")
 _REQ = ("case event_type when 'purchase' then 'pdf' when 'click' then 'PDF' when 'view' then 'docx' "
@@ -446,6 +473,42 @@ SQL["edit_remove"] = f"""with ch as ({CONV_CH}), n as (select book_id, count(*)
 select book_id, id, ordinal from ch join n using (book_id)
 where case when n = 1 then true when book_id % 3 = 0 then id = n else id <> 1 end"""
 
+# The fold itself, edit by edit, over whole lists of chapters.
+_TOP = "coalesce(list_max(list_transform(live, lambda x: x.id)), 0)"
+_LEFT = "list_filter(live, lambda x: x.id <> e_id)"
+_HIT = "len(list_filter(live, lambda x: x.id = e_id)) > 0"
+SQL["edit_log"] = f"""with recursive ch as ({CONV_CH}), n as (select book_id, count(*) as n from ch group by 1),
+x as (select ch.*, n, book_id as c, ordinal as t from ch join n using (book_id)),
+log as (
+  select book_id, 5 * t as seq, 'append' as op, null::bigint as id, null::varchar as content from x where (c + t) % 5 <= 1 and c % 3 <> 0
+  union all select book_id, 5 * t, 'remove', id, null from x where (c + t) % 5 = 2
+  union all select book_id, 5 * t, 'update', id, '[log] ' || content from x where (c + t) % 5 = 3
+  union all select book_id, 5 * t, 'remove', n + 1, null from x where (c + t) % 5 = 4
+  union all select book_id, 5 * t + 1, 'update', n + 1 + t % 2, 'new ' || t from x where (c * 7 + t) % 3 = 0
+  union all select book_id, 5 * t + 2, 'remove', id, null from x where c % 6 = 0
+  union all select book_id, 5 * t + 3, 'append', null, null from x where (c + t) % 2 = 0 and c % 3 <> 0
+  union all select book_id, 5 * t + 4, 'update', n + t, 'last ' || content from x where (c + t) % 4 = 0),
+e as (select *, row_number() over (partition by book_id order by seq) as k from log),
+step as (
+  select book_id, 0::bigint as k, list({{'id': id::bigint, 'ord': ordinal::bigint, 'c': content}} order by ordinal) as live,
+    max(ordinal)::bigint + 1 as nxt, null::bigint as seq, null::varchar as op, null::bigint as eid, null::varchar as status
+  from ch group by book_id
+  union all
+  select book_id, k + 1,
+    case when e_op = 'append' then list_append(live, {{'id': top + 1, 'ord': nxt, 'c': ''}})
+         when e_op = 'update' then list_transform(live, lambda x: case when x.id = e_id
+           then {{'id': x.id, 'ord': x.ord, 'c': e_content}} else x end)
+         when left_over = 0 then live else {_LEFT} end,
+    nxt + case when e_op = 'append' then 1 else 0 end, e_seq, e_op, case when e_op = 'append' then top + 1 else e_id end,
+    case when e_op = 'append' then 'applied' when not hit then 'missing'
+         when e_op = 'remove' and left_over = 0 then 'refused' else 'applied' end
+  from (select step.book_id, step.k, live, nxt, e.seq as e_seq, e.op as e_op, e.id as e_id, e.content as e_content,
+          {_TOP} as top, len({_LEFT.replace('e_id', 'e.id')}) as left_over, {_HIT.replace('e_id', 'e.id')} as hit
+        from step join e on e.book_id = step.book_id and e.k = step.k + 1)),
+last as (select book_id, max_by(live, k) as live from step group by book_id)
+select book_id, seq, op, eid as id, status, null::bigint as ordinal, null::varchar as content from step where k > 0
+union all select book_id, null, 'chapter', x.id, 'live', x.ord, x.c from (select book_id, unnest(live) as x from last)"""
+
 # --- I ---------------------------------------------------------------------------------
 SQL["blank_flags"] = f"select id as doc_id, {blank('content')} as is_blank from ({blanked(DOC_CH)})"
 SQL["strip_text"] = f"select doc_id, {strip(chr(39) + ' ' + chr(39) + ' || text || chr(10)')} as stripped from documents"
@@ -470,7 +533,8 @@ select book_id, id, {q(C.MSG_CHAPTER_PREFIX)} || cast(id as varchar) || '/' || c
   as message, ({_PROG}) * 100 as percent from pos"""
 SQL["mask_secret"] = """select c_custkey, k as key,
   substring(k, 1, 4) || '...' || case when length(k) > 8 then right(k, 4) else '' end as masked
-from (select c_custkey, substring(c_name, 1, cast(c_custkey % 13 as integer)) as k from customer)"""
+from (select c_custkey, c_name as k from customer
+  union all select c_custkey, substring(c_name, 1, cast(c_custkey % 13 as integer)) from customer)"""
 _sys = (C.ModelOptions().system_template.replace("{source}", C.ModelOptions().source_language)
         .replace("{target}", LANG))
 SQL["build_prompts"] = f"""select book_id, id, chunk_idx, 'system' as system_role, {q(_sys)} as system_content,
@@ -493,6 +557,21 @@ SQL["translate_books"] = f"""select book_id, bool_or(error is not null) as faile
   min(error) as error, count(*) as n_chunks, cast(sum(attempts) as bigint) as n_calls
 from ({flaky(_CONV_FK, 'fault_key')}) group by book_id"""
 
+_NEW = f"select * replace (id + {EXTRA} as id, ordinal + {EXTRA} as ordinal, 'new ' || content as content) from ({DOC_CH}) where id % 7 = 0"
+SQL["translation_memory"] = f"""with one as ({mock_translated(DOC_CH)}),
+two as ({mock_translated(f"{DOC_CH} union all {_NEW}")})
+select 1 as run, book_id, id, chunk_idx, translated, attempts, failed from one
+union all select 2, book_id, id, chunk_idx, translated,
+  case when chunk in (select chunk from one) then 0::integer else attempts end, failed from two"""
+SQL["translate_waves"] = f"""with c as (select *, idx as chunk_idx, piece as chunk from ({slices(_CONV_FK, 200, keep_empty=True)})),
+p as (select *, (row_number() over (partition by book_id order by id, ordinal, chunk_idx) - 1) // {WAVE} + 1 as w,
+  case when book_id % 3 = 0 and (fault_key + chunk_idx) % 10 = 9 then 5 else chunk_idx % 3 end as key from c),
+a as (select book_id, length(bin(w)) - 1 as wave, not {blank('chunk')} and key >= 4 as bad,
+  case when {blank('chunk')} then 0 else least(key + 1, 4) end as attempts from p),
+f as (select book_id, min(wave) filter (where bad) as stop from a group by book_id)
+select book_id, bool_or(bad) as failed, cast(max(wave) as integer) as last_wave, count(*) as n_sent,
+  cast(sum(attempts) as bigint) as n_calls from a join f using (book_id) where wave <= coalesce(stop, wave) group by book_id"""
+
 # --- K ---------------------------------------------------------------------------------
 _MAX = JOB_OPTIONS.limits.max_chapters
 _WITHIN = f"book_id in (select conv_id from conversations group by conv_id having count(*) <= {_MAX})"
@@ -504,16 +583,43 @@ select {_JOBID_CONV} as job_id, seq, kind, chapter_id, text, page_no from docx""
 SQL["job_rejects"] = f"""select conv_id as book_id, count(*) as n_chapters,
   {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=_MAX))} as reject_reason
 from conversations group by conv_id having count(*) > {_MAX}"""
-SQL["job_lifecycle"] = f"""with o as (select book_id, bool_or(error is not null) as failed, min(error) as error
-  from ({flaky(_CONV_FK, 'fault_key')}) where {_WITHIN} group by book_id),
+SQL["job_lifecycle"] = f"""with c as (select book_id, id, ordinal, bool_or(error is not null) as bad, min(error) as error
+  from ({flaky(_CONV_FK, 'fault_key')}) where {_WITHIN} group by all),
+p as (select *, row_number() over w - 1 as idx, count(*) over (partition by book_id) as n,
+  coalesce(bool_or(bad) over (w rows between unbounded preceding and 1 preceding), false) as stopped
+  from c window w as (partition by book_id order by id, ordinal)),
+o as (select book_id, bool_or(bad) as failed, min(error) as error from c group by book_id),
 j as (select {_JOBID_CONV} as job_id, o.* from o)
-select job_id, 0 as seq, {q(C.STATUS_QUEUED)} as status, 0.0::DOUBLE as progress, {q(C.MSG_QUEUED)} as message,
-  NULL::VARCHAR as file_path from j
-union all select job_id, 1, {q(C.STATUS_TRANSLATING)}, 0.1, {q(C.MSG_TRANSLATING)}, NULL from j
-union all select job_id, 2, 'error', NULL, {q(C.MSG_ERROR_PREFIX)} || error, NULL from j where failed
-union all select job_id, 2, {q(C.STATUS_FORMATTING)}, 0.7, {q(C.MSG_FORMATTING)}, NULL from j where not failed
-union all select job_id, 3, {q(C.STATUS_COMPLETED)}, 1.0, {q(C.MSG_COMPLETED)}, 'output/' || job_id || '.docx'
+select job_id, 0 as seq, 0 as step, {q(C.STATUS_QUEUED)} as status, 0.0::DOUBLE as progress, {q(C.MSG_QUEUED)} as message,
+  NULL::VARCHAR as file_path, 0::INTEGER as current_chapter from j
+union all select job_id, 1, 0, {q(C.STATUS_TRANSLATING)}, 0.1, {q(C.MSG_TRANSLATING)}, NULL, NULL from j
+union all select {_JOBID_CONV}, 1, idx + 1, {q(C.STATUS_TRANSLATING)},
+  0.1::DOUBLE + 0.6::DOUBLE * (cast(idx as double) / cast(n as double)),
+  {q(C.MSG_CHAPTER_PREFIX)} || id || '/' || n || '...', NULL, idx + 1 from p where not stopped
+union all select job_id, 2, 0, 'error', NULL, {q(C.MSG_ERROR_PREFIX)} || error, NULL, NULL from j where failed
+union all select job_id, 2, 0, {q(C.STATUS_FORMATTING)}, 0.7, {q(C.MSG_FORMATTING)}, NULL, NULL from j where not failed
+union all select job_id, 3, 0, {q(C.STATUS_COMPLETED)}, 1.0, {q(C.MSG_COMPLETED)}, 'output/' || job_id || '.docx', NULL
 from j where not failed"""
+_CONTENT = f"sha256(string_agg({coded('id')} || {coded('content')}, '' order by ordinal))"
+
+
+def _submitted(lang: str, fmt: str) -> str:
+    named = " || ".join(coded(x) for x in ("book_id", q(lang), q(fmt), "null"))
+    return f"sha256({named} || {_CONTENT})"
+
+
+SQL["published_downloads"] = f"""with o as (select book_id, bool_or(error is not null) as failed
+  from ({flaky(_CONV_FK, 'fault_key')}) where {_WITHIN} group by book_id),
+s as (select book_id, {q(LANG)} as lang, 'docx' as fmt, {_submitted(LANG, 'docx')} as sub from ({CONV_CH}) group by book_id
+  union all select book_id, {q(OTHER_LANG)}, {q(OTHER_FORMAT)}, {_submitted(OTHER_LANG, OTHER_FORMAT)} from ({CONV_CH})
+  where book_id % 4 = 0 group by book_id),
+j as (select {job_id('chapters', 'book_id', 'sub', 'lang', 'fmt')} as job_id, fmt, failed,
+  book_id % 5 <> 0 as there from s join o using (book_id)),
+probes as (select job_id, fmt, failed, there from j
+  union all select replace(job_id, '0', 'x'), null, null, false from j where contains(job_id, '0'))
+select job_id, case when not there then {C.GATE_UNKNOWN[0]} when failed then {C.GATE_NOT_DONE[0]} else 200 end as http_status,
+  case when not there then {q(C.GATE_UNKNOWN[1])} when failed then {q(C.GATE_NOT_DONE[1])} end as detail,
+  case when there and not failed then {q(C.DOWNLOAD_BASENAME + '.')} || fmt end as filename from probes"""
 SQL["job_errors"] = f"with {STATE} select job_id, message, progress from state where status = 'error'"
 SQL["job_status"] = (f"with {STATE} select job_id, status, progress, current_chapter, total_chapters, message "
                      f"from state")
@@ -527,13 +633,21 @@ SQL["docx_elements"] = (f"with ch as ({blanked(DOC_CH, 7, '')}), {docx_ctes('ch'
                         f"select book_id, seq, kind, chapter_id, part_idx, text, page_no, align from docx")
 SQL["pdf_elements"] = (f"with ch as ({paragraphed(DOC_CH)}), {pdf_ctes('ch')} "
                        f"select book_id, seq, kind, chapter_id, part_idx, text, height_in from pdf")
-SQL["layout_errors"] = f"""with ch as (select * replace (id % 10 as id) from ({blanked(DOC_CH, 11, None)})), {pdf_ctes('ch')}
+SQL["layout_errors"] = f"""with ch as (select * replace (id % 10 as id) from (select * from ({blanked(DOC_CH, 11, None)})
+  union all select * replace (id + {2 * EXTRA} as id, ordinal + {2 * EXTRA} as ordinal, 'bad ' || chr(1) || content as content)
+  from ({DOC_CH}) where id % 13 = 0)), {pdf_ctes('ch')}
 select book_id, seq, kind, chapter_id, element_error from pdf"""
 SQL["render_book_text"] = f"""with ch as ({CONV_CH}), {docx_ctes('ch')}
 select book_id, rtrim(string_agg(case kind when 'break' then chr(12) || chr(10) when 'dropcap' then text
   else text || chr(10) end, '' order by seq), chr(10)) as text, count(*) as n_elements
 from docx group by book_id"""
 
+SQL["book_segments"] = f"""with ch as ({DOC_CH}), {docx_ctes('ch')},
+t as (select book_id, seq, case kind when 'break' then chr(12) || chr(10) when 'dropcap' then text
+  else text || chr(10) end as text from docx)
+select book_id, seq, cast(coalesce(sum(strlen(text)) over (partition by book_id order by seq
+  rows between unbounded preceding and 1 preceding), 0) as bigint) as start, strlen(text) as n_bytes, text from t"""
+
 # --- M ---------------------------------------------------------------------------------
 SQL["run_log_durations"] = f"""with ev as ({job_events_sql()}),
 g as (select job_id, count(*) as n_events, first(status order by ts, event_id) as first_status,
@@ -549,10 +663,58 @@ union all select book_id, 'n_chunks', cast(n_chunks as bigint) from g
 union all select book_id, 'n_pages', cast(n_pages as bigint) from g
 union all select book_id, 'n_chars', cast(n_chars as bigint) from g"""
 
+SQL["run_log_stages"] = """with g as (select count(*) as n_chapters, sum(greatest(ceil(length(text) / 4000.0), 1)) as n_chunks,
+  sum(ceil(length(text) / 3000.0)) as n_pages, sum(length(text)) as n_chars from documents),
+m as (unpivot (select n_chapters::bigint as n_chapters, n_chunks::bigint as n_chunks, n_pages::bigint as n_pages,
+  n_chars::bigint as n_chars from g) on n_chapters, n_chunks, n_pages, n_chars into name metric value v)
+select 'layout' as stage, 'documents' as subject, 'finished' as status, true as timed, null::boolean as told, metric, v as value from m
+union all select 'layout', 'documents', 'started', null, null, null, null
+union all select 'check', 'documents', 'started', null, null, null, null
+union all select 'check', 'documents', 'failed', true, true, null, null"""
+
 # --- N ---------------------------------------------------------------------------------
-SQL["stream_intake"] = f"select book_id, id, ordinal, content from ({CONV_CH})"
+SQL["stream_intake"] = f"""with {_BOOKS},
+a as (select cast(conv_id as varchar) as book_id, {q(LANG)} as lang, 'docx' as fmt, n from b
+  union all select cast(conv_id as varchar), {q(OTHER_LANG)}, {q(OTHER_FORMAT)}, n from b where conv_id % 4 = 0)
+select book_id, case when n > {_MAX} then {q(C.REJECT_TOO_MANY_CHAPTERS.format(max=_MAX))} else 'accepted' end as outcome,
+  lang as target_language, case when n <= {_MAX} then fmt end as output_format,
+  case when n <= {_MAX} then {q(C.STATUS_QUEUED)} end as status, n as n_chapters from a
+union all select 'empty-' || conv_id, {q(C.REJECT_NO_CHAPTERS)}, {q(LANG)}, null, null, 0 from b where conv_id % 9 = 0
+union all select 'silent-' || conv_id, 'field required: target_language', null, null, null, null from b where conv_id % 9 = 1
+union all select 'typed-' || conv_id, 'malformed request', {q(LANG)}, null, null, null from b where conv_id % 9 = 2"""
+SQL["stream_queue"] = f"""with s as (
+  select book_id, {q(LANG)} as lang, 'docx' as fmt, {_submitted(LANG, 'docx')} as sub, count(*) as n from ({CONV_CH}) group by book_id
+  union all select book_id, {q(OTHER_LANG)}, {q(OTHER_FORMAT)}, {_submitted(OTHER_LANG, OTHER_FORMAT)}, count(*)
+  from ({CONV_CH}) where book_id % 4 = 0 group by book_id),
+j as (select cast(book_id as varchar) as book_id, fmt, {job_id('chapters', 'book_id', 'sub', 'lang', 'fmt')} as job_id
+  from s where n <= {_MAX})
+select job_id, book_id, 1::bigint as n_runs, case when left(job_id, 1) < '8' then 'run-1' else 'run-2' end as run,
+  'completed' as status, 'output/' || job_id || '.' || fmt as file_path from j"""
 SQL["stream_translate"] = f"""with ok as (select conv_id from conversations group by conv_id having count(*) <= {_MAX}),
-r as ({reassembled(mock_translated(CONV_CH))}), {docx_ctes('select * from r where book_id in (select conv_id from ok)')}
-select cast(book_id as varchar) as book_id, seq, kind, text from docx"""
+r as ({reassembled(mock_translated(CONV_CH))}), {docx_ctes('select * from r where book_id in (select conv_id from ok)')},
+r2 as ({reassembled(mock_translated(CONV_CH, OTHER_LANG))}),
+{pdf_ctes('select * from r2 where book_id % 4 = 0 and book_id in (select conv_id from ok)')}
+select cast(book_id as varchar) as book_id, {q(LANG)} as target_language, seq, kind, text from docx
+union all select cast(book_id as varchar), {q(OTHER_LANG)}, seq, kind, text from pdf"""
 SQL["stream_job_state"] = (f"with {STATE} select job_id, status, message, progress, file_path, current_chapter, "
                            f"total_chapters, n_events from state")
+_STUCK = job_timers.STUCK_MS
+SQL["stream_job_timers"] = f"""with ev as ({job_events_sql()}),
+first as (select * from ev where status not in ('completed', 'error')
+  qualify row_number() over (partition by job_id order by ts, event_id) = 1),
+al as (select * from ev union all select * replace (job_id + {SILENT} as job_id) from first),
+o as (select *, epoch_us(ts) // 1000 as ms, epoch_us(max(ts) over ()) // 1000 - {TIMER_DELAY_DAYS * 86_400_000} as mark,
+  row_number() over w as i, lead(epoch_us(ts) // 1000) over w as next_ms
+  from al window w as (partition by job_id order by ts, event_id)),
+c as (select *, status in ('completed', 'error') as over,
+  status not in ('completed', 'error') and coalesce(next_ms - ms > {_STUCK}, mark - ms >= {_STUCK}) as stuck from o),
+stop as (select job_id, min(i) filter (where over or stuck) as stop, count(*) as n from c group by job_id),
+k as (select c.*, coalesce(stop, n) as upto, stop is not null as closed from c join stop using (job_id)
+  where i <= coalesce(stop, n))
+select job_id, max_by(case when stuck then 'error' else status end, i) as status,
+  max_by(case when stuck then {q(job_timers.STUCK_MESSAGE.format(s=_STUCK // 1000))} else message end, i) as message,
+  coalesce(max_by(progress, i) filter (where progress is not null), 0.0) as progress,
+  max_by(file_path, i) filter (where file_path is not null) as file_path,
+  coalesce(max_by(current_chapter, i) filter (where current_chapter is not null), 0)::integer as current_chapter,
+  coalesce(max_by(total_chapters, i) filter (where total_chapters is not null), 0)::integer as total_chapters,
+  bool_or(closed) as closed, count(*) as n_events from k group by job_id"""

@@ -10,15 +10,20 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config as C
 from ..functions import text as T
 from ..operators import chunking, edits, jobs, layout, metrics, translate, validate
+from ..operators.edit_log import apply_log
+from ..operators.ledger import SubmissionLedger
+from ..operators.runlog import RunLog
 from ..operators.scan import running_sums
-from ..sinks import read_artifacts, write_artifacts, write_rejects
+from ..sinks import list_artifacts, read_artifacts, read_rejects, write_artifacts, write_rejects
 from ..sources import files as FS, options as O, requests as RQ, tables as TB
-from ..session import scratch_path
+from ..session import materialize, scratch_path
+from ..store import RunStore
 from . import faults, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,29 +67,52 @@ def convs(spark, sf):
 
 # --- A: sources --------------------------------------------------------------------
 
+OTHER_LANG, OTHER_FORMAT = "Francês", "pdf"
+
+
+def landed_books(spark, sf, part_size: int | None = None) -> DataFrame:
+    """Request lines of the conversation books: each in parts (or whole); every 4th also whole
+    in another language and format; every 3rd book's lines landed a second time."""
+    ch = convs(spark, sf)
+    own = RQ.requests_from_chapters(ch, LANG, part_size).withColumn("output_format", F.lit(None).cast("string"))
+    other = (RQ.requests_from_chapters(ch.where(F.col("book_id") % 4 == 0), OTHER_LANG, None)
+             .withColumn("output_format", F.lit(OTHER_FORMAT)))
+    req = own.unionByName(other)
+    return req.unionByName(req.where(F.col("book_id").cast("bigint") % 3 == 0))
+
+
 @query
 def scan_book_requests(spark, sf):
-    """A1: requests landed as JSON lines, read back with an explicit schema, flattened."""
+    """A1: requests landed as JSON lines, read back with an explicit schema, flattened; a line
+    landed twice counts once, a book in two languages twice."""
     path = scratch_path(spark, "requests")
-    RQ.requests_from_chapters(convs(spark, sf), LANG, 3).write.json(path)      # parts of 3
+    landed_books(spark, sf, 3).write.json(path)                                # parts of 3
     req = RQ.schema_reject_reason(RQ.read_requests(spark, path))
     ok = req.where(F.col("schema_error").isNull())
-    return RQ.request_chapters(ok).select("book_id", "id", "ordinal", "content", "target_language")
+    return RQ.request_chapters(ok).select("book_id", "id", "ordinal", "content", "target_language", "output_format")
+
+
+def request_lines(requests: DataFrame) -> DataFrame:
+    return requests.select(F.to_json(F.struct("book_id", "part", "chapters", "target_language", "output_format")).alias("value"))
+
+
+def faulty_lines(spark, sf) -> DataFrame:
+    """For every 9th book a request without chapters, for the next one without a language, for
+    the next one with word ids."""
+    own = RQ.requests_from_chapters(convs(spark, sf), LANG, None).withColumn("output_format", F.lit(None).cast("string"))
+    k = F.col("book_id").cast("bigint") % 9
+    named = lambda name, df: df.withColumn("book_id", F.concat(F.lit(f"{name}-"), "book_id"))     # noqa: E731
+    empty = named("empty", own.where(k == 0)).withColumn("chapters", F.array().cast(own.schema["chapters"].dataType))
+    silent = named("silent", own.where(k == 1)).withColumn("target_language", F.lit(None).cast("string"))
+    typed = request_lines(named("typed", own.where(k == 2))).select(
+        F.regexp_replace("value", '"id":([0-9]+)', '"id":"n$1"').alias("value"))
+    return request_lines(empty.unionByName(silent)).unionByName(typed)
 
 
 def _landed_requests(spark, sf):
-    """Conversation books landed as JSON requests, some of them faulty: every 9th book
-    has no chapters, the next has no target language, the next has word ids."""
-    req = RQ.requests_from_chapters(convs(spark, sf), LANG, 3).withColumn("k", F.col("book_id").cast("bigint") % 9)
-    req = req.withColumns({
-        "chapters": F.when(F.col("k") == 0, F.array().cast(req.schema["chapters"].dataType))
-                     .otherwise(F.col("chapters")),
-        "target_language": F.when(F.col("k") == 1, F.lit(None).cast("string"))
-                            .otherwise(F.col("target_language"))})
-    body = F.to_json(F.struct("book_id", "part", "chapters", "target_language"))
-    body = F.when(F.col("k") == 2, F.regexp_replace(body, '"id":([0-9]+)', '"id":"n$1"')).otherwise(body)
+    """The landed books and faulty requests besides."""
     path = scratch_path(spark, "requests")
-    req.select(body.alias("value")).write.text(path)
+    request_lines(landed_books(spark, sf, 3)).unionByName(faulty_lines(spark, sf)).write.text(path)
     return RQ.read_requests(spark, path)
 
 
@@ -98,10 +126,11 @@ def schema_check(spark, sf):
 @query
 def empty_request(spark, sf):
     """C6 (+ C5 on the chapter route): a well-formed request without chapters is refused, and
-    so is one whose parts have more than five together."""
+    so is one whose parts have more than five together; what was landed again or in another
+    language does not add up."""
     r = RQ.schema_reject_reason(_landed_requests(spark, sf)).where(F.col("schema_error").isNull())
     r = validate.request_reject_reason(r, 5)
-    return r.select("book_id", "part", "n_chapters", "reject_reason")
+    return r.select("book_id", "part", "target_language", "n_chapters", "reject_reason")
 
 
 def _page_files_on_disk(spark, sf):
@@ -149,32 +178,62 @@ def job_events(spark, sf):
 LIMIT_OVERRIDES = [("src0", None, 50, None), ("src1", 1048576, None, None), ("src2", None, None, False)]
 
 
+def limit_overrides(spark) -> DataFrame:
+    return spark.createDataFrame(LIMIT_OVERRIDES, "tenant string, max_file_size bigint, "
+                                                  "max_chapters int, use_background_tasks boolean")
+
+
 @query
 def limits_resolved(spark, sf):
     """Default limits unless a tenant overrides them."""
     tenants = TB.read(spark, sf, "documents").select(F.col("source").alias("tenant")).distinct()
-    ov = spark.createDataFrame(LIMIT_OVERRIDES, "tenant string, max_file_size bigint, "
-                                                "max_chapters int, use_background_tasks boolean")
-    return O.resolve_limits(tenants, ov)
+    return O.resolve_limits(tenants, limit_overrides(spark))
 
 
 # --- B: sinks ----------------------------------------------------------------------
 
 @query
 def artifact_roundtrip(spark, sf):
-    """B1: element rows written by job, one run twice (the second replaces the first), and
-    some jobs in a later run whose rows win; read back."""
+    """B1: element rows written by job and read back.  The first run holds all jobs; a second
+    one held stale rows of all jobs, was done again with a third of them, and replaces those; an
+    attempt of a third run was never published."""
     pos = layout.chapter_positions(convs(spark, sf))
     els = layout.docx_elements(pos).withColumn("job_id", _conv_job_id())
     els = els.select("book_id", "job_id", "seq", "kind", "text")
     path = scratch_path(spark, "artifacts")
     write_artifacts(els.drop("book_id"), path, "0001")
-    write_artifacts(els.drop("book_id"), path, "0001")
+    stale = els.withColumn("text", F.concat(F.lit("stale "), "text"))
+    write_artifacts(stale.drop("book_id"), path, "0002")
     again = els.where(F.col("book_id") % 3 == 0).withColumn("text", F.concat(F.lit("v2 "), "text"))
     write_artifacts(again.drop("book_id"), path, "0002")
+    store = RunStore(spark, path)
+    store.write(store.begin(), "elements", stale.drop("book_id"))
     return read_artifacts(spark, path).select("job_id", "seq", "kind", "text")
 
 
+@query
+def published_downloads(spark, sf):
+    """From landed requests to the download gate on what was written.  Books
+    in two languages, landed again, are claimed from the ledger, run (some fail) and published;
+    the run is then done again without every 5th book and replaces itself.  Probes are all jobs
+    that the first attempt had, and each with a letter changed."""
+    landing, at = scratch_path(spark, "requests"), scratch_path(spark, "published")
+    landed_books(spark, sf).write.json(landing)
+    lines = RQ.distinct_requests(RQ.read_requests(spark, landing))
+    ledger = SubmissionLedger(spark, f"{at}-ledger")
+    mine = lines.join(ledger.claim(lines, "run-1"), "submission", "left_semi").drop("submission", "_content")
+    ch = _fault_key(RQ.request_chapters(mine).withColumn("book_id", F.col("book_id").cast("bigint")))
+    tr = faults.FlakyModel(faults.fail_first_by_key(6))
+
+    def attempt(chapters):
+        return pipeline.run_jobs(chapters, tr, JOB_OPTIONS, key_col="fault_key", sleep=translate.no_sleep)
+
+    first = pipeline.publish(attempt(ch), at, "run-1").read("jobs").select("job_id")
+    probes = materialize(first.unionByName(first.select(F.translate("job_id", "0", "x").alias("job_id"))).distinct())
+    store = pipeline.publish(attempt(ch.where(F.col("book_id") % 5 != 0)), at, "run-1")
+    return jobs.download_gate(probes, jobs.run_state(store.read("events")), list_artifacts(spark, at))
+
+
 def _conv_job_id():
     return T.job_id_hash(F.lit("chapters"), "book_id", F.lit(LANG), F.lit("docx"), F.lit("0"))
 
@@ -194,22 +253,31 @@ def submission_response(spark, sf):
     return jobs.submission_response(_jobs_both_intakes(spark, sf))
 
 
-def _file_checks(spark, sf, max_file_size=8000, max_chapters=2):
-    f = FS.page_stats(TB.page_files(spark, sf), "text", NL)
+FILE_LIMITS = C.Limits(max_file_size=8000, max_chapters=2)
+
+
+def _file_checks(spark, sf):
+    """Files of 20 tenants, judged by the limits of each (D7: some override the default)."""
+    f = FS.page_stats(TB.page_files(spark, sf), "text", NL).withColumn(
+        "tenant", F.concat(F.lit("src"), (F.col("file") % 20).cast("string")))
     # Every fifth file with a character outside ASCII stands for one that does not decode.
     bad = (F.col("file") % 5 == 0) & (F.octet_length("text") != F.length("text"))
     f = f.withColumn("extract_error", F.when(bad, F.lit("not ASCII")))
-    return validate.file_reject_reason(f, C.Limits(max_file_size=max_file_size,
-                                                   max_chapters=max_chapters))
+    limits = O.resolve_limits(f.select("tenant").distinct(), limit_overrides(spark), FILE_LIMITS)
+    return validate.tenant_file_reject_reason(f, limits)
 
 
 @query
 def rejects(spark, sf):
-    """Refused files with their reason, written to the reject sink and read back."""
+    """Refused files with their reason, written to the reject sink (twice, as a run that is
+    done again would) and read back."""
     _, rej = validate.split_rejects(_file_checks(spark, sf))
     path = scratch_path(spark, "rejects")
-    write_rejects(rej.select("file", "name", "reject_reason"), path)
-    return spark.read.parquet(path).select("file", "reject_reason")
+    rej = rej.select("file", "name", "reject_reason")
+    write_rejects(rej.limit(0), path, "0002")
+    for _ in range(2):                                      # the run done again adds nothing
+        write_rejects(rej, path, "0001")
+    return read_rejects(spark, path).select("file", "reject_reason")
 
 
 # --- C: projections / predicates ---------------------------------------------------
@@ -250,10 +318,7 @@ def max_chapters_guard(spark, sf):
 
 @query
 def blank_chapter_guard(spark, sf):
-    ch = convs(spark, sf).withColumn(
-        "content", F.when((F.col("book_id") + F.col("ordinal")) % 7 == 0, F.lit(" \t"))
-        .otherwise(F.col("content")))
-    return validate.blank_chapter_guard(ch)
+    return validate.blank_chapter_guard(blanked(convs(spark, sf).withColumn("id", F.col("book_id") + F.col("ordinal")), 7, " \t"))
 
 
 @query
@@ -351,8 +416,8 @@ def styled_elements(spark, sf):
 
 @query
 def page_geometry(spark, sf):
-    """Page size, margins and the room for text with every DOCX book (a one-row table)."""
-    return docs(spark, sf).select("book_id").distinct().join(F.broadcast(O.page_geometry(spark)))
+    """Page size, margins and the room for text with every DOCX book."""
+    return docs(spark, sf).select("book_id").distinct().select("book_id", *O.page_geometry())
 
 
 # --- E: aggregations ---------------------------------------------------------------
@@ -503,6 +568,40 @@ def edit_remove(spark, sf):
     return edits.remove_chapters(ch, removals).select("book_id", "id", "ordinal")
 
 
+def interleaved_edits(ch: DataFrame) -> DataFrame:
+    """A log of edits from the chapters themselves: appends (not in every third book), removals
+    (in every 6th book of all its chapters), updates of old and of appended chapters, in one
+    order per book."""
+    n = ch.groupBy("book_id").agg(F.count("*").alias("n"))
+    c, t = F.col("book_id"), F.col("ordinal")
+    none, kind = F.lit(None), (c + t) % 5
+    op = lambda when, seq, name, id_, content=none: F.struct(       # noqa: E731
+        when.alias("when"), seq.alias("seq"), F.lit(name).alias("op"), id_.cast("bigint").alias("id"),
+        content.cast("string").alias("content"))
+    ops = F.array(
+        op((kind <= 1) & (c % 3 != 0), 5 * t, "append", none), op(kind == 2, 5 * t, "remove", F.col("id")),
+        op(kind == 3, 5 * t, "update", F.col("id"), F.concat(F.lit("[log] "), "content")),
+        op(kind == 4, 5 * t, "remove", F.col("n") + 1),
+        op((c * 7 + t) % 3 == 0, 5 * t + 1, "update", F.col("n") + 1 + t % 2, F.concat(F.lit("new "), t.cast("string"))),
+        op(c % 6 == 0, 5 * t + 2, "remove", F.col("id")),
+        op(((c + t) % 2 == 0) & (c % 3 != 0), 5 * t + 3, "append", none),
+        op((c + t) % 4 == 0, 5 * t + 4, "update", F.col("n") + t, F.concat(F.lit("last "), "content")))
+    rows = ch.join(n, "book_id").select("book_id", F.inline(F.filter(ops, lambda o: o["when"])))
+    return rows.drop("when")
+
+
+@query
+def edit_log(spark, sf):
+    """H2 / H3 / D6 / E4 in one order: what every edit did, and the chapters after the last."""
+    ch = convs(spark, sf).drop("role")
+    run = apply_log(ch, interleaved_edits(ch))
+    edits_ = run.outcomes.select("book_id", "seq", "op", "id", "status", F.lit(None).cast("bigint").alias("ordinal"),
+                                 F.lit(None).cast("string").alias("content"))
+    return edits_.unionByName(run.chapters.select(
+        "book_id", F.lit(None).cast("bigint").alias("seq"), F.lit("chapter").alias("op"), "id",
+        F.lit("live").alias("status"), "ordinal", "content"))
+
+
 # --- I: scalar functions -----------------------------------------------------------
 
 @query
@@ -574,9 +673,11 @@ def job_messages(spark, sf):
 
 @query
 def mask_secret(spark, sf):
+    """Whole names as keys, and besides them short keys around the length that shows both ends."""
     c = TB.read(spark, sf, "customer")
-    key = F.substring("c_name", 1, (F.col("c_custkey") % 13).cast("int"))
-    return c.select("c_custkey", key.alias("key"), T.mask_secret(key).alias("masked"))
+    short = c.select("c_custkey", F.substring("c_name", 1, (F.col("c_custkey") % 13).cast("int")).alias("key"))
+    keys = c.select("c_custkey", F.col("c_name").alias("key")).unionByName(short)
+    return keys.select("c_custkey", "key", T.mask_secret("key").alias("masked"))
 
 
 @query
@@ -650,6 +751,40 @@ def translate_books(spark, sf):
     return t.outcomes.select("book_id", "failed", "error", "n_chunks", "n_calls")
 
 
+@query
+def translation_memory(spark, sf):
+    """Two runs on one memory.  The second has new chapters besides; what the first has
+    translated is not sent to the model again (no attempt)."""
+    memory = translate.TranslationMemory(spark, scratch_path(spark, "memory"))
+    ch = docs(spark, sf)
+    first = translate.translate_chunks(chunking.chunk_chapters(ch), translate.LetterModel(), memory=memory)
+    first = materialize(first.withColumn("run", F.lit(1)))
+    new = ch.where(F.col("id") % 7 == 0).withColumns({
+        "id": F.col("id") + EXTRA, "ordinal": F.col("ordinal") + EXTRA,
+        "content": F.concat(F.lit("new "), F.col("content"))})
+    second = translate.translate_chunks(chunking.chunk_chapters(ch.unionByName(new)), translate.LetterModel(), memory=memory)
+    both = first.unionByName(second.withColumn("run", F.lit(2)))
+    return both.select("run", "book_id", "id", "chunk_idx", "translated", "attempts", F.col("error").isNotNull().alias("failed"))
+
+
+WAVE = 4
+
+
+@query
+def translate_waves(spark, sf):
+    """Chunks of 200 characters in waves of 4, 8, ...; books stop after the wave in which a
+    chunk failed for good (a tenth of the chunks of every third book do)."""
+    ch = chunking.chunk_chapters(_fault_key(convs(spark, sf)), 200, carry=["fault_key"])
+    ch = ch.withColumn("fault_key", F.when((F.col("book_id") % 3 == 0) & ((F.col("fault_key") + F.col("chunk_idx")) % 10 == 9), 5)
+                       .otherwise(F.col("chunk_idx") % 3))
+    store = RunStore(spark, scratch_path(spark, "waves"))
+    out = translate.translate_in_waves(ch, faults.FlakyModel(faults.fail_first_by_key(6)), store=store, run="r", first=WAVE,
+                                       key_col="fault_key", sleep=translate.no_sleep)
+    return out.groupBy("book_id").agg(
+        F.bool_or(F.col("error").isNotNull()).alias("failed"), F.max("wave").alias("last_wave"),
+        F.count("*").alias("n_sent"), F.sum("attempts").cast("bigint").alias("n_calls"))
+
+
 # --- K: jobs -----------------------------------------------------------------------
 
 #: Books of more than six chapters are refused, so that the reject rows are not empty.
@@ -658,10 +793,11 @@ JOB_OPTIONS = C.PipelineOptions(limits=C.Limits(max_chapters=6))
 
 @query
 def job_lifecycle(spark, sf):
+    """K2 / K3: the events of every job, chapter by chapter while it translates."""
     tr = faults.FlakyModel(faults.fail_first_by_key(6))
     run = pipeline.run_jobs(_fault_key(convs(spark, sf)), tr, JOB_OPTIONS, key_col="fault_key",
                             sleep=translate.no_sleep)
-    return run.events.select("job_id", "seq", "status", "progress", "message", "file_path")
+    return run.events.select("job_id", "seq", "step", "status", "progress", "message", "file_path", "current_chapter")
 
 
 @query
@@ -718,13 +854,25 @@ def pdf_elements(spark, sf):
 
 @query
 def layout_errors(spark, sf):
-    """Extra chapters without content keep their heading, whose title carries the error;
-    display ids repeat (id = doc_id % 10), and only the faulty chapter is marked."""
-    ch = blanked(docs(spark, sf), 11, None).withColumn("id", F.col("id") % 10)
+    """Extra chapters without content, and others with a character that XML does not allow,
+    keep their heading, whose title carries the errors; display ids repeat (id = doc_id % 10),
+    and only the faulty chapters are marked."""
+    ch = docs(spark, sf)
+    bad = ch.where(F.col("id") % 13 == 0).withColumns({
+        "id": F.col("id") + 2 * EXTRA, "ordinal": F.col("ordinal") + 2 * EXTRA,
+        "content": F.concat(F.lit("bad \x01"), "content")})
+    ch = blanked(ch, 11, None).unionByName(bad).withColumn("id", F.col("id") % 10)
     els = layout.pdf_elements(layout.chapter_positions(ch, paragraphs=True))
     return els.select("book_id", "seq", "kind", "chapter_id", "element_error")
 
 
+@query
+def book_segments(spark, sf):
+    """Book text as ordered segments with byte offsets; no book is gathered."""
+    els = materialize(layout.docx_elements(layout.chapter_positions(docs(spark, sf))))
+    return layout.book_segments(els)
+
+
 @query
 def render_book_text(spark, sf):
     els = layout.docx_elements(layout.chapter_positions(convs(spark, sf)))
@@ -749,21 +897,79 @@ def pipeline_metrics(spark, sf):
     return metrics.metrics_long(per, ["n_chapters", "n_chunks", "n_pages", "n_chars"])
 
 
+@query
+def run_log_stages(spark, sf):
+    """M1 / M2: the engine's own log.  One stage writes the chapter shapes, its counts taken in
+    the same pass; the next one fails on a chapter and leaves its failure row."""
+    store = RunStore(spark, scratch_path(spark, "run-log"))
+    log = RunLog(store, "run-1")
+    ch = layout.chapter_shape(docs(spark, sf), paragraphs=False)
+    with log.stage("layout", "documents") as stage:
+        stage.watch(ch, n_chapters=F.count("*"), n_pages=F.sum("n_pages"), n_chars=F.sum(F.length("content")),
+                    n_chunks=F.sum(T.slice_count("content", C.CHUNK_SIZE, at_least_one=True))
+                    ).select("book_id", "id", "n_pages").write.parquet(scratch_path(spark, "shapes"))
+    try:
+        with log.stage("check", "documents") as stage:
+            ch.select(F.assert_true(F.length("content") < 0, "chapter too long")).write.parquet(scratch_path(spark, "never"))
+    except PySparkException:
+        pass
+    rows = log.read().select("stage", "subject", "status", (F.col("seconds") >= 0).alias("timed"),
+                             F.col("error").contains("chapter too long").alias("told"),
+                             F.explode_outer("metrics").alias("metric", "value"))
+    return rows
+
+
 # --- N: streaming ------------------------------------------------------------------
 
 @query
 def stream_intake(spark, sf):
-    from ..streaming import stream
-    return stream.intake_query(spark, sf)
+    """Requests arriving as files are accepted or refused at once; one landed again, in this
+    batch or an earlier one, is neither."""
+    from ..streaming import queue
+    root = scratch_path(spark, "queue")
+    lines = request_lines(landed_books(spark, sf)).unionByName(faulty_lines(spark, sf))
+    queue.drain_intake(lines, root, JOB_OPTIONS)
+    jobs_, refused = queue.accepted(spark, root), queue.refused(spark, root)
+    none = F.lit(None).cast("string")
+    return jobs_.select("book_id", F.lit("accepted").alias("outcome"), "target_language", "output_format", "status",
+                        F.col("total_chapters").cast("bigint").alias("n_chapters")).unionByName(refused.select(
+                            "book_id", F.col("reject_reason").alias("outcome"), "target_language",
+                            none.alias("output_format"), none.alias("status"), "n_chapters"))
+
+
+@query
+def stream_queue(spark, sf):
+    """Accepted jobs wait in the job log until a run takes them.  The first run dies after
+    it has claimed its jobs; taken up again, it and the next run do each job once."""
+    from ..streaming import queue
+    root = scratch_path(spark, "queue")
+    queue.drain_intake(request_lines(landed_books(spark, sf)), root, JOB_OPTIONS)
+    some = queue.waiting(spark, root).where(F.substring("job_id", 1, 1) < "8")
+    queue.claims(spark, root).claim(some.select(F.col("job_id").alias("submission")), "run-1")     # and no more
+    queue.run_waiting(spark, root, "run-2", opts=JOB_OPTIONS)
+    queue.run_waiting(spark, root, "run-3", opts=JOB_OPTIONS)                                       # nothing left
+    store = queue.runs(spark, root)
+    n = store.read("jobs").groupBy("job_id").agg(F.count("*").alias("n_runs"), F.min("run").alias("run"))
+    state = jobs.run_state(store.read("events")).select("job_id", "status", "file_path")
+    return queue.accepted(spark, root).select("job_id", "book_id").join(n, "job_id", "left").join(state, "job_id", "left")
 
 
 @query
 def stream_translate(spark, sf):
+    """Requests in two languages and formats, some landed again, run batch by batch."""
     from ..streaming import stream
-    return stream.translate_query(spark, sf, JOB_OPTIONS)
+    return stream.translate_query(spark, landed_books(spark, sf), JOB_OPTIONS)
 
 
 @query
 def stream_job_state(spark, sf):
     from ..streaming import stream
     return stream.job_state_query(spark, sf)
+
+
+@query
+def stream_job_timers(spark, sf):
+    """Job state with timers: replayed events count once, stuck jobs end in an error row,
+    closed jobs stay closed."""
+    from ..streaming import stream
+    return stream.timed_jobs_query(spark, sf)
