@@ -158,8 +158,8 @@ def proofs(m: Manifest, fanout: int = FANOUT) -> DataFrame:
     ptr = land(_pointers(m, fanout), "pointers")
     at_root = (F.col("a_tree") == TOP) & (F.col("a_level") == m.depth_top)
     done, active = ptr.where(at_root), ptr.where(~at_root)
-    step = 1
-    while step < m.depth + m.depth_top:
+    step, hops = 1, max(m.depth, 1) + m.depth_top       # from a lone leaf to its subroot is a hop too
+    while step < hops:
         # Rows at least ``step`` levels up, from the tree sizes: the bound of the joined side.
         rows = 1.5 * (m.n_leaves / fanout ** step + m.n_sources) + step
         up = (active.unionByName(done).where((F.col("tree") == TOP) | (F.col("level") >= step))
