@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_query_equals_duckdb(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        con.execute(f"create view {table} as select * from read_parquet('{SF}/{table}.parquet')")
     res = con.execute(oracle.SQL[name])
     cols = [d[0] for d in res.description]
     df = queries.QUERIES[name](spark, SF)

@@ -88,4 +88,125 @@ select d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in BASE
 from documents d left join per on per.doc_id = d.doc_id
 """
 
-SQL = {"op1_near_dup": OP1, "op3_substring_dedup": OP3, "op6_exact_dedup": OP6, "op10_secret_scan": OP10}
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string."""
+    return (f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint), lambda c, b: "
+            "list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::bigint), 4294967295)")
+
+
+# An edit path of least cost has no insertion (a pair around one is cheaper to remove), so the
+# states carry (cost, audit) from turn to turn.
+_STATES = {1: (["s0"], "s"), 2: (["s0", "s1", "s3"], "u"), 3: (["s2"], "a")}
+
+
+def _state(k: int) -> str:
+    cand = [f"case when s{k} is not null then {{'c': s{k}.c + 2, 'a': s{k}.a || 'D'}} end"]
+    for s in _STATES.get(k, ([], ""))[0]:
+        letter = _STATES[k][1]
+        cost = f"{s}.c + if(fault = 't', 5, 0) + if(x = '{letter}', 0, 1)"
+        ok = f"{s} is not null and fault not in ('b', 'd')" + (" and x = 's'" if letter == "s" else "")
+        cand.append(f"case when {ok} then {{'c': {cost}, 'a': {s}.a || if(x = '{letter}', 'K', 'R')}} end")
+    return f"list_min(list_filter([{', '.join(cand)}], lambda z: z is not null)) as s{k}"
+
+
+_NONE = "null::struct(c bigint, a varchar)"
+_END = r"[\x20\x09-\x0D]+$"
+OP12 = f"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as k from conversations),
+damaged as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role,
+    case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case k when 0 then 0 when 3 then 2 else 1 end)) as copy from raw),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i,
+    regexp_replace(text, '{_END}', '') as body, left(role, 1) as x from damaged),
+t as (
+  select *, case when body = '' then 'b'
+      when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+      when right(body, 1) not in ('.', '!', '?') then 't' else '' end as fault,
+    lag(x) over (partition by conv_id order by i) || x as pair from placed),
+sums as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (where fault = 'b') as blank, count(*) filter (where fault = 'd') as duplicate,
+    count(*) filter (where fault = 't') as truncated,
+    count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal, count(*) as n from t group by conv_id),
+path as (
+  select conv_id, 0::bigint as i, n, {{'c': 0::bigint, 'a': ''}} as s0, {_NONE} as s1, {_NONE} as s2, {_NONE} as s3 from sums
+  union all
+  select conv_id, i + 1, n, {", ".join(_state(k) for k in range(4))}
+  from (select path.*, t.x, t.fault from path join t on t.conv_id is not distinct from path.conv_id and t.i = path.i + 1)),
+best as (
+  select conv_id, list_min(list_filter([s0, s3], lambda z: z is not null)) as b from path where i = n),
+steps as (
+  select t.*, b.a[t.i] as step from t join best on best.conv_id is not distinct from t.conv_id),
+lines as (
+  select *, count(*) filter (where not (step = 'K' and x = 's'))
+    over (partition by conv_id order by i rows between unbounded preceding and 1 preceding) as before
+  from steps where step <> 'D'),
+hashed as (
+  select conv_id, sha256(string_agg(case when step = 'K' then role when before % 2 = 0 then 'user' else 'assistant' end
+    || ':' || text, chr(10) order by i)) as h from lines group by conv_id)
+select c.conv_id, {", ".join(f"coalesce({m}, 0)::bigint as {m}" for m in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+  coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join sums on sums.conv_id is not distinct from c.conv_id
+left join best on best.conv_id is not distinct from c.conv_id
+left join hashed on hashed.conv_id is not distinct from c.conv_id
+"""
+
+#: Levels that OP13 writes out: trees of up to 3**14 leaves and 3**7 sources.
+_DEPTH, _DEPTH_TOP = 14, 7
+
+
+def _encoded(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, depth: int) -> str:
+    """CTEs per level: nodes (tree, idx, n, d) and the siblings left and right of each."""
+    out = []
+    for k in range(depth):
+        run = "over (partition by tree, idx // 3 order by idx rows between"
+        out.append(f"""{name}w{k} as materialized (select tree, idx, n > 1 as more,
+  coalesce(string_agg(d, '') {run} unbounded preceding and 1 preceding), '') as l,
+  coalesce(string_agg(d, '') {run} 1 following and unbounded following), '') as r from {name}{k}),
+{name}{k + 1} as materialized (select tree, idx // 3 as idx, (n + 2) // 3 as n,
+  case when n > 1 then sha256(string_agg(d, '' order by idx)) else min(d) end as d from {name}{k} group by tree, idx // 3, n)""")
+    return ",\n".join(out)
+
+
+def _ways(name: str, depth: int, src: str, tree: str, idx: str) -> str:
+    """Joins the siblings of every level, folding them into ``acc`` and ``proof``."""
+    for k in range(depth):
+        src = (f"select q.* replace (case when w.more then sha256(w.l || acc || w.r) else acc end as acc, "
+               f"case when w.more then proof || w.l || w.r else proof end as proof) "
+               f"from ({src}) q join {name}w{k} w on w.tree = q.{tree} and w.idx = q.{idx} // {3 ** k}")
+    return src
+
+
+OP13 = f"""
+with rows as materialized (
+  select doc_id, dense_rank() over (order by source nulls first) - 1 as src, {_leaf("text")} as d,
+    case when doc_id is not null and {_crc32("doc_id::varchar")} % 2 = 0
+      then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as other from documents),
+n0 as materialized (
+  select doc_id, src as tree, row_number() over (partition by src order by doc_id nulls first, d, other) - 1 as idx,
+    count(*) over (partition by src) as n, d, other from rows),
+{_levels("n", _DEPTH)},
+t0 as materialized (select -1 as tree, tree as idx, count(*) over () as n, d from n{_DEPTH}),
+{_levels("t", _DEPTH_TOP)},
+way as ({_ways("t", _DEPTH_TOP, _ways("n", _DEPTH, "select doc_id, d as leaf, tree, idx, -1 as top, other as acc, '' as proof from n0",
+                                      "tree", "idx"), "top", "tree")})
+select doc_id, leaf, t0.d as subroot, e.d as root, sha256(proof) as proof_sha256, acc as folded_root, acc = e.d as verified
+from way join t0 on t0.idx = way.tree join t{_DEPTH_TOP} e on e.tree = way.top
+"""
+
+SQL = {"op1_near_dup": OP1, "op3_substring_dedup": OP3, "op6_exact_dedup": OP6, "op10_secret_scan": OP10,
+       "op12_conversation_repair": OP12, "op13_merkle_manifest": OP13}
