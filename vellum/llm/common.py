@@ -1,9 +1,6 @@
-"""Helpers shared by the operators: scratch tables, bucketed ledgers, components."""
+"""Helpers shared by the operators: scratch tables, components."""
 from __future__ import annotations
 
-import hashlib
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
@@ -54,36 +51,6 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-class BucketedTable:
-    """A persistent Parquet table bucketed and sorted by one key column.
-
-    The files live at ``location`` (any file system Spark reads); the catalog entry is
-    made on demand, so a later session opens the same table.  The bucket count is fixed
-    when the table is first made and kept beside the files in the table's own name
-    (``location`` ends in ``-b<buckets>``), so every session agrees on it."""
-
-    def __init__(self, spark: SparkSession, location: str, schema: str, key: str,
-                 buckets: int | None = None):
-        self.spark, self.key = spark, key
-        m = re.search(r"-b(\d+)$", location)
-        self.buckets = int(m.group(1)) if m else (buckets or partitions(spark))
-        self.location = location if m else f"{location}-b{self.buckets}"
-        self.name = "vellum_" + hashlib.md5(self.location.encode()).hexdigest()
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet "
-                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS "
-                  f"LOCATION '{self.location}'")
-
-    def read(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def append(self, df: DataFrame) -> None:
-        """Append rows, one file per bucket: the shuffle that makes the files small in
-        number is the one the sort-merge join has already made when the counts agree."""
-        cols = self.read().columns
-        df.select(*cols).repartition(self.buckets, self.key).write.insertInto(self.name)
-        self.spark.catalog.refreshTable(self.name)
-
-
 def _large_star(e: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node it knows.  The minimum per
     node is a partial/final aggregate and returns to the edges by a join that AQE can

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BucketedTable, documents, land, scratch
+from ..store import BucketedTable
+from .common import documents, land, scratch
 
 SCHEMA = "digest BINARY, keep_id BIGINT"
 

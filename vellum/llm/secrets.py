@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BucketedTable, documents, land, scratch
+from ..store import BucketedTable
+from .common import documents, land, scratch
 
 # Kind, pattern, group whose length counts, least length.  The first three
 # are the base kinds in their listed order; "hex" and "access" state the least length in
