@@ -38,6 +38,25 @@ def test_long_texts_are_cut_at_safe_places(monkeypatch):
     assert tokenizer.ids(VOCABULARY, text) == ids(text)
 
 
+def long_runs():
+    prose = "some prose here " * 200
+    return {"spaces": " " * 1_000_000, "newlines": "\n" * 1_000_000, "one word": "a" * 1_000_000,
+            "inside prose": prose + " " * 1_000_000 + prose}
+
+
+def test_long_runs_equal_the_json_vocabulary(spark):
+    """The rank encoder's word pattern gives up on such texts."""
+    rows = list(enumerate(long_runs().values()))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {d: len(ids(t)) for d, t in rows}
+    assert all(tokenizer.ids(VOCABULARY, t) == ids(t) for _, t in rows)
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, VOCABULARY).collect()} == want
+    sizes = defaultdict(int)
+    for r in packing.pack(df, VOCABULARY).collect():
+        sizes[r.doc_id] += r.length
+    assert sizes == {d: n + 1 for d, n in want.items()}
+
+
 def test_counts(spark):
     rows = [(i, t) for i, t in enumerate(odd_texts(50) + [None, "", "word " * 30000])] + [(None, "x"), (1, "y")]
     got = token_count.count_tokens(with_clashes(spark.createDataFrame(rows, SCHEMA)), VOCABULARY).collect()

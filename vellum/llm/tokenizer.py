@@ -30,7 +30,7 @@ def encoder(path: str):
     ``.tiktoken``: byte-level ranks; ``<|endoftext|>`` inside a text becomes the id after
     the last rank, as the ``.json`` form of the same vocabulary does by default (the two
     give equal ids, see tests/llm/test_tokens.py; the rank encoder is about five times
-    faster).  ``.json``: tokenizers; ``.model``: sentencepiece.  None adds begin or end
+    faster, and hands texts that it cannot split to the ``.json`` file beside it).  ``.json``: tokenizers; ``.model``: sentencepiece.  None adds begin or end
     tokens, truncates or pads."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     file = resolve(path)
@@ -41,7 +41,16 @@ def encoder(path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                 special_tokens={"<|endoftext|>": max(ranks.values()) + 1})
-        return lambda text: enc.encode(text, allowed_special="all")
+        whole = f"{path.removesuffix('.tiktoken')}.json"
+
+        def encode(text: str) -> list[int]:
+            try:
+                return enc.encode(text, allowed_special="all")
+            except ValueError:
+                # The word pattern of the rank encoder gives up on runs of about a million
+                # characters; the .json form of the vocabulary does not.
+                return encoder(whole)(text)
+        return encode
     if file.endswith(".model"):
         import sentencepiece
         return sentencepiece.SentencePieceProcessor(model_file=file).encode
