@@ -1,4 +1,5 @@
 """Near-duplicates against a brute-force version over all pairs."""
+import random
 import re
 
 import pytest
@@ -13,7 +14,8 @@ def shingle_set(text):
     return frozenset([tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))] if w else [])
 
 
-def brute(rows):
+def brute(rows, percent=85):
+    """Rows of one doc_id are one document."""
     sets = [shingle_set(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -25,7 +27,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             inter, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if union and 100 * inter >= 85 * union:
+            if (union and 100 * inter >= percent * union) or (rows[i][0] == rows[j][0] and sets[i] and sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     root = {}
@@ -42,6 +44,23 @@ def test_components_equal_brute_force(spark, options):
     assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
+def test_a_document_with_several_texts_has_the_links_of_each(spark):
+    rnd = random.Random(8)
+    w = [f"w{i}" for i in range(900)]
+    short = w[:60]
+    rows = [(5, " ".join(w)), (5, " ".join(short)), (7, " ".join(short[:-1] + ["x"])), (9, " ".join(w[:-1] + ["y"])),
+            (9, " ".join(w[:-1] + ["y"])), (11, "alone here with five words"), (5, None), (12, "")]
+    assert {tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+    assert {r[2] for r in brute(rows) if r[0] in (7, 9)} == {5}
+    mixed = [(d % 23 if d % 4 else d, t) for d, t in corpus(3)]
+    rnd.shuffle(mixed)
+    got = near_dup.near_duplicates(spark.createDataFrame(mixed, SCHEMA), fine_k=32, fine_floor=0.3)
+    want = brute(mixed)
+    empty = {d for d, n, _, _ in want if not n}
+    assert {tuple(r) for r in got.collect() if r.n_shingles} == {r for r in want if r[1]}
+    assert {r.doc_id for r in got.collect() if not r.n_shingles} == empty
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     text = "a b c d e f g h i j"
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (2, text), (9, None)], SCHEMA)

@@ -2,7 +2,8 @@
 
 1. One pass over the texts gives each document the size of its shingle set, a 128-bit sum
    of the set and its ``k`` smallest shingle hashes.  Documents with equal sets are one
-   class from here on, however many copies there are.
+   class from here on, however many copies there are; a document whose id stands on several
+   texts is a member of several classes, and joins them.
 2. Retained values held by one class only link nothing.  Two sets with a Jaccard index of
    ``threshold`` share about ``threshold * k`` retained values; fewer than
    ``floor * k`` has a chance below 1e-8.  So a class enters inverted lists only with its
@@ -74,30 +75,41 @@ def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
             n, low, high, values, at = [], [], [], [], [0]
             for _, s in _sets(b.column("text"), words):
                 n.append(len(s))
-                low.append(int(s.sum(dtype=np.uint64)))
-                high.append(int((s * (s | np.uint64(1)) ^ (s >> np.uint64(32))).sum(dtype=np.uint64)))
+                sums = _sums(s)
+                low.append(sums[0])
+                high.append(sums[1])
                 values.append(s[:k])
                 at.append(at[-1] + len(values[-1]))
             flat = np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)),
-                 pa.array(np.array(high, np.uint64).view(np.int64)),
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
                 names=["doc_id", "n_shingles", "low", "high", "sketch"])
 
     return docs.mapInArrow(run, SKETCH)
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that stand for a set, as signed numbers."""
+    low = s.sum(dtype=np.uint64)
+    high = (s * (s | np.uint64(1)) ^ (s >> np.uint64(32))).sum(dtype=np.uint64)
+    return int(low.view(np.int64)), int(high.view(np.int64))
+
+
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, shingles) of rows (id, text)."""
+    """(id, shingles) of rows (id, text, low, high), without the texts of another set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            want = list(zip(b.column("low").to_pylist(), b.column("high").to_pylist()))
             for a, e, _, first, _, _, h in batch_words(b.column("text"), lower=True):
                 sets = [shingles(h[first[i]:first[i + 1]], words) for i in range(e - a)]
-                at = np.cumsum([0] + [len(s) for s in sets])
+                mine = [i for i, s in enumerate(sets) if _sums(s) == want[a + i]]
+                if not mine:
+                    continue
+                at = np.cumsum([0] + [len(sets[i]) for i in mine])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(a, e - a), pa.ListArray.from_arrays(
-                        pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
+                    [b.column("id").take(pa.array([a + i for i in mine])), pa.ListArray.from_arrays(
+                        pa.array(at, pa.int32()), pa.array(np.concatenate([sets[i] for i in mine]).view(np.int64)))],
                     names=["id", "shingles"])
 
     return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
@@ -249,20 +261,37 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, words: int = WORD
     rows = land(sketches(d, words, k), "sketches")
     key = ["n_shingles", "low", "high"]
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    groups = named.groupBy(*key).agg(F.min("doc_id").alias("id"))
-    # One row per class and id; its sketch crosses this one shuffle.
-    classes = land(named.join(groups.select(F.col("id").alias("doc_id"), *key), ["doc_id", *key], "left_semi")
-                        .dropDuplicates(["doc_id", *key])
-                        .select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "classes")
+    # A class is a set, whatever documents hold it; ``first`` is its smallest document.
+    groups = named.groupBy(*key).agg(F.min("doc_id").alias("first"))
+    groups = land(groups.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # Documents with several rows.  Most tables have none.
+    many = land(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(*key)).alias("a"),
+                                            F.max(F.struct(*key)).alias("b")).where("rows > 1"), "many")
+    repeated = many.limit(1).count() > 0
+
+    def once(df: DataFrame) -> DataFrame:
+        return df.dropDuplicates(["id"]) if repeated else df
+
+    # One row per class; its sketch crosses this one shuffle.
+    classes = land(once(named.join(groups.withColumnRenamed("first", "doc_id"), ["doc_id", *key])
+                             .select("id", "n_shingles", "sketch")), "sets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        own = d.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
-        return full_sets(own.join(ids, "id", "left_semi"), words)
+        mine = groups.join(ids, "id", "left_semi").select("id", F.col("first").alias("doc_id"), "low", "high")
+        return once(full_sets(d.join(mine, "doc_id").select("id", "text", "low", "high"), words))
 
     comps = link(classes, sets_of, k, percent, floor, fine_k, fine_floor)
-    groups = land(groups.join(comps, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id")),
-                  "groups")
-    out = rows.select("doc_id", *key).join(groups, key, "left")
+    if repeated:
+        # The sets of one document are one node more: each is joined to the document's first.
+        mixed = many.where(F.col("a") != F.col("b")).select("doc_id")
+        own = named.join(mixed, "doc_id", "left_semi").join(groups, key).select("doc_id", "id").distinct()
+        to = own.groupBy("doc_id").agg(F.min("id").alias("u"))
+        tied = own.join(to, "doc_id").select("u", F.col("id").alias("v"))
+        comps = components(comps.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(tied)
+                           ).withColumnRenamed("node", "id")
+    groups = land(groups.join(comps, "id", "left").select(*key, "first", F.coalesce("component", "id").alias("c")), "groups")
+    least = groups.groupBy("c").agg(F.min("first").alias("component_id"))
+    out = rows.select("doc_id", *key).join(land(groups.join(least, "c").drop("c", "first"), "named"), key, "left")
     return out.select("doc_id", "n_shingles",
                       F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id"))
                        .otherwise(F.col("component_id")).alias("component_id")
