@@ -14,6 +14,10 @@ from vellum.llm.common import land
 from vellum.llm.queries import VOCABULARY, read
 
 
+#: Jaccard index, in percent, from which two documents are near duplicates here.
+NEAR_DUP_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, read(spark, sf_dir, "labels"))
 
@@ -23,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_representatives(docs)
+    return near_dup.keep_representatives(docs, percent=NEAR_DUP_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
