@@ -30,7 +30,7 @@ def test_stages(spark):
                 first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", before[d]), d)
             assert set(after) == set(first.values())
         elif name == "near_dup":
-            assert set(after) == {d for d, _, _, kept in near_brute(sorted(before.items())) if kept}
+            assert set(after) == {d for d, _, _, kept in near_brute(sorted(before.items()), 80) if kept}
         else:
             gone = set(before) - set(after)
             for d in list(gone) + sorted(after)[:25]:
