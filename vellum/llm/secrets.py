@@ -36,26 +36,49 @@ SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 SCHEMA = f"blob BINARY, rule_version STRING, spans ARRAY<STRUCT<start: BIGINT, rank: INT, end: BIGINT, kind: STRING>>"
 
 
+#: Matches whose lengths are added up together (see ``_spans``).
+RUN = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+
+
 def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """All matches of one rule in ``text``, as an array of spans in text order."""
+    """All matches of one rule in ``text``, as an array of spans in text order.
+
+    A start is the length of all that comes before: whole runs of RUN matches, whose sums are
+    added up once per run, and what precedes in its own run.  So the work grows with the
+    matches and not with their square."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
                           F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
                           F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
     none = F.array().cast(f"array<{SPAN}>")
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
+    # The last gap has no hit behind it.
+    matches = F.transform(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda x: F.struct(
+        F.length(x["gap"]).cast("bigint").alias("gap"), F.length(x["hit"]).cast("bigint").alias("hit"),
+        (F.length(x["part"]) >= least).alias("ok")))
+
+    def located(m: Column) -> Column:
+        both = F.transform(m, lambda x: x["gap"] + x["hit"])
+        runs = F.sequence(F.lit(0), F.floor((F.size(m) - 1) / RUN).cast("int"))
+        return _let(both, lambda n: _let(F.transform(runs, lambda r: _total(F.slice(n, r * RUN + 1, RUN))), lambda sums: _let(
+            F.transform(runs, lambda r: _total(F.slice(sums, F.lit(1), r))), lambda before: F.transform(m, lambda x, i: _span(
+                x, F.get(before, F.floor(i / RUN).cast("int"))
+                + _total(F.slice(n, F.floor(i / RUN).cast("int") * RUN + 1, i % RUN)) + x["gap"])))))
 
-    def step(acc, x):
-        at = start(acc, x)
-        end = at + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(at.cast("bigint").alias("start"), F.lit(rank).alias("rank"),
-                        end.cast("bigint").alias("end"), F.lit(kind).alias("kind"))
-        ok = x["hit"].isNotNull() & (F.length(x["part"]) >= least)
-        return F.struct(end.cast("bigint").alias("at"),
-                        F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def _span(x: Column, start: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["hit"]).alias("end"),
+                        F.lit(kind).alias("kind"), x["ok"].alias("ok"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
-    found = F.aggregate(zipped, zero, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    found = _let(matches, lambda m: F.transform(F.filter(located(m), lambda s: s["ok"]), lambda s: F.struct(
+        s["start"], s["rank"], s["end"], s["kind"])))
+    return F.when(text.rlike(pattern), found.cast(f"array<{SPAN}>")).otherwise(none)
 
 
 def scan(blobs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
@@ -80,7 +103,7 @@ class BlobLedger:
 
         Null text is the empty text; empty texts have no spans.  Rows that repeat a
         doc_id or a text are each reported.  Other columns are not read.  A second scan
-        of the same documents finds every pair in the ledger and reads no text again."""
+        of the same documents finds every pair in the ledger: texts are hashed, none is scanned."""
         d = documents(docs, id_col, text_col)
         blob = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob")
         paths = land(d.select("doc_id", blob), "paths")
