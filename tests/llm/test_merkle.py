@@ -67,7 +67,7 @@ def rows_of(seed, sizes):
 
 @pytest.mark.parametrize("sizes", [
     {"hot": 200, "a": 1, "b": 2, "c": 3, "d": 4, None: 10, "é": 28, "": 9, "~": 27},
-    {"only": 1}, {"only": 3}, {"only": 10}, {"x": 1, "y": 1}, {f"s{i}": 1 for i in range(11)},
+    {"only": 1}, {"x": 1, "y": 1}, {f"s{i}": 1 for i in range(11)},
 ])
 def test_proofs_and_roots_equal_brute_force(spark, sizes):
     rows = rows_of(len(sizes), sizes)

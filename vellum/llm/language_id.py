@@ -5,8 +5,9 @@ roots of the counts, scaled to length one.  Both steps are one-versus-one linear
 vector machines: a pair of families is told apart by one hyperplane, and so is each pair
 of closely related languages, which sees texts of those two only.  The machines are fitted
 by dual coordinate descent on a bounded sample: about ``SAMPLE_PER_LANGUAGE`` training rows of
-each language, each once as a whole and once as a passage of a few words.  Counts of languages
-cover all rows; every text is read whole, in blocks.
+each language, ``SAMPLE_ROWS`` in all, each once as a whole and once as a passage of a few words, of the
+``MAX_LANGUAGES`` languages with most training rows.  Counts of languages cover all rows; every
+text is read whole, in blocks.
 
 A prediction sees the text alone.
 """
@@ -23,6 +24,10 @@ from .common import land, small_batches
 
 #: Expected training rows of each language that the machines are fitted on.
 SAMPLE_PER_LANGUAGE = 500
+#: Expected training rows in all: with more than SAMPLE_ROWS / SAMPLE_PER_LANGUAGE languages each has fewer.
+SAMPLE_ROWS = 8_000
+#: Languages that are learned, those with most training rows (ties: the first name).
+MAX_LANGUAGES = 64
 BITS, GRAMS = 13, (2, 3, 4)
 #: Letters of a text that are turned into features at a time.
 BLOCK = 1 << 20
@@ -149,9 +154,9 @@ class Pairwise:
                 part = [rows[k] for k in of]
                 w = fit_svm([r for r, t in zip(part, test) if not t], y[~test])
                 z = np.array([w[r[0]] @ r[1] + w[-1] for r, t in zip(part, test) if t])
-                weights.append(w)
+                weights.append(w.astype(np.float32))
                 slopes.append(fit_slope(z, y[test]))
-        return cls(names, np.array(weights).reshape(-1, (1 << BITS) + 1), np.array(slopes))
+        return cls(names, np.array(weights, np.float32).reshape(-1, (1 << BITS) + 1), np.array(slopes))
 
     def predict(self, idx: np.ndarray, v: np.ndarray) -> tuple[str, float]:
         """(name, probability): most pairs won, then the larger probability, then the first name."""
@@ -200,13 +205,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_of(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """(doc_id, text, lang): about ``per_language`` training rows of each language, by a hash of
-    the id.  Rows with a null id, text or language are not learned from."""
+    """(doc_id, text, lang): about ``per_language`` training rows of each learned language, by a
+    hash of the id.  Rows with a null id, text or language are not learned from."""
     train = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
                        & ~held_out(F.col("doc_id")))
-    # A row per language.
-    sizes = land(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("n") < 1_000_000 * per_language
+    sizes = land(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES),
+                 "languages")
+    rows = min(per_language, SAMPLE_ROWS // max(1, sizes.count()))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("n") < 1_000_000 * rows
+    # At most MAX_LANGUAGES rows.
     return train.join(F.broadcast(sizes), "lang").where(share).select("doc_id", "text", "lang")
 
 
