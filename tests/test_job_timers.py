@@ -61,6 +61,12 @@ def test_the_cut_into_batches_does_not_matter(spark):
     assert whole == parts == {0: ("error", 2, True), 1: ("completed", 4, True), 2: ("error", 1, True), 3: ("error", 3, True)}
 
 
+def test_processing_time_with_a_ttl(spark):
+    events = [ev(1, 1, 0, "queued"), ev(1, 2, 1, "translating", progress=0.1), ev(2, 3, 0, "queued"), ev(2, 4, 1, "completed")]
+    _, last = run(spark, [events, events, [ev(1, 5, 2, "formatting"), ev(2, 6, 3, "queued")]], ttl_ms=HOUR)
+    assert {k: (r.status, r.n_events) for k, r in last.items()} == {1: ("formatting", 3), 2: ("completed", 2)}
+
+
 def test_apply_event_keeps_the_newest_field_values():
     e = lambda ms, i, **kw: {"ms": ms, "event_id": i, "status": "translating", "message": "m", "progress": None,     # noqa: E731
                              "file_path": None, "current_chapter": None, "total_chapters": None, **kw}

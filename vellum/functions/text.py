@@ -71,11 +71,6 @@ def parity_alignment(page_number) -> Column:
     return F.when(_c(page_number) % 2 == 0, F.lit("LEFT")).otherwise(F.lit("RIGHT"))
 
 
-def backoff_seconds(failure_number) -> Column:
-    """Wait after the r-th failure: 2 ** r seconds."""
-    return F.pow(F.lit(C.BACKOFF_BASE), _c(failure_number)).cast("bigint")
-
-
 def _idiv(a: Column, b: int) -> Column:
     """Exact division of a non-negative BIGINT by a positive constant."""
     return F.call_function("div", a, F.lit(b).cast("bigint"))

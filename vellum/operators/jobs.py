@@ -165,17 +165,17 @@ def translate_progress(positioned: DataFrame) -> DataFrame:
     )
 
 
-def chapter_events(jobs: DataFrame, finished: DataFrame) -> DataFrame:
+def chapter_events(jobs: DataFrame, finished: DataFrame, *, bounded: bool = False) -> DataFrame:
     """A ``translating`` row per chapter that was reached: step = its place in the book,
     progress by the share of chapters before it, message with its id.
 
     ``finished``: job_id, id, ordinal, failed per chapter.  A book goes on in chapter order until
     its first failure, so later chapters leave no row.  Places are running sums that do not
-    gather a book (``scan``)."""
+    gather a book (``scan``), or a plain window where books are known to be small (``bounded``)."""
     slim = finished.select("job_id", "id", "ordinal", "failed")
     placed = running_sums(slim, ["job_id"], ["id", "ordinal"],
                           {"ch_idx": F.lit(1), "_bad": F.when(F.col("failed"), 1).otherwise(0)},
-                          totals={"n_chapters": "ch_idx"})
+                          totals={"n_chapters": "ch_idx"}, bounded=bounded)
     idx, n = F.col("ch_idx").cast("double"), F.col("n_chapters").cast("double")
     progress = F.lit(C.PROGRESS_TRANSLATE_START) + F.lit(C.PROGRESS_TRANSLATE_SPAN) * (idx / n)
     return placed.where(F.col("_bad") == 0).join(jobs.select("job_id"), "job_id", "left_semi").select(
@@ -185,7 +185,8 @@ def chapter_events(jobs: DataFrame, finished: DataFrame) -> DataFrame:
         (F.col("ch_idx") + 1).cast("int").alias("current_chapter"), F.col("n_chapters").cast("int").alias("total_chapters"))
 
 
-def lifecycle_events(jobs: DataFrame, outcomes: DataFrame, finished: DataFrame | None = None) -> DataFrame:
+def lifecycle_events(jobs: DataFrame, outcomes: DataFrame, finished: DataFrame | None = None, *,
+                     bounded: bool = False) -> DataFrame:
     """Event log of pipeline runs: submit -> translating -> formatting -> completed, or
     -> error with the translation error (progress stays where it was).  ``outcomes``: job_id
     (or book_id), failed, error.  With ``finished`` (see ``chapter_events``) the translating step goes on
@@ -214,7 +215,7 @@ def lifecycle_events(jobs: DataFrame, outcomes: DataFrame, finished: DataFrame |
              T.output_path("job_id", T.normalise_format(F.col("output_format"))), ~failed),
     )
     out = j.select("job_id", F.inline(F.filter(steps, lambda s: s["keep"]))).drop("keep")
-    return out if finished is None else out.unionByName(chapter_events(jobs, finished))
+    return out if finished is None else out.unionByName(chapter_events(jobs, finished, bounded=bounded))
 
 
 def settled(events: DataFrame, artifacts: DataFrame) -> DataFrame:

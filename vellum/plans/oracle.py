@@ -593,9 +593,9 @@ j as (select {_JOBID_CONV} as job_id, o.* from o)
 select job_id, 0 as seq, 0 as step, {q(C.STATUS_QUEUED)} as status, 0.0::DOUBLE as progress, {q(C.MSG_QUEUED)} as message,
   NULL::VARCHAR as file_path, 0::INTEGER as current_chapter from j
 union all select job_id, 1, 0, {q(C.STATUS_TRANSLATING)}, 0.1, {q(C.MSG_TRANSLATING)}, NULL, NULL from j
-union all select {_JOBID_CONV}, 1, idx + 1, {q(C.STATUS_TRANSLATING)},
+union all select {_JOBID_CONV}, 1, cast(idx + 1 as integer), {q(C.STATUS_TRANSLATING)},
   0.1::DOUBLE + 0.6::DOUBLE * (cast(idx as double) / cast(n as double)),
-  {q(C.MSG_CHAPTER_PREFIX)} || id || '/' || n || '...', NULL, idx + 1 from p where not stopped
+  {q(C.MSG_CHAPTER_PREFIX)} || id || '/' || n || '...', NULL, cast(idx + 1 as integer) from p where not stopped
 union all select job_id, 2, 0, 'error', NULL, {q(C.MSG_ERROR_PREFIX)} || error, NULL, NULL from j where failed
 union all select job_id, 2, 0, {q(C.STATUS_FORMATTING)}, 0.7, {q(C.MSG_FORMATTING)}, NULL, NULL from j where not failed
 union all select job_id, 3, 0, {q(C.STATUS_COMPLETED)}, 1.0, {q(C.MSG_COMPLETED)}, 'output/' || job_id || '.docx', NULL

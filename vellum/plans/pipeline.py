@@ -103,6 +103,8 @@ class JobRun:
     rejects: DataFrame       # refused books with their reason
 
 
+#: Books of up to so many chapters take plain windows: one shuffle, a bounded group.
+SMALL_BOOK = 10_000
 _SUBMISSION = ["book_id", "target_language", "output_format", "submission"]
 
 
@@ -115,8 +117,8 @@ def run_jobs(chapters: DataFrame, model=None, opts: C.PipelineOptions = C.Pipeli
     of these names, and from the arguments where there is none (or a null): a book asked for
     in two languages is two jobs, each in its own.  From here on a job is the group
     that everything is keyed by (``<job id>:<book id>``), and both ids are cut out of the key
-    again: no join brings them to the elements.  Positions come from the skew-safe scan: a book
-    may be of any size."""
+    again: no join brings them to the elements.  With a chapter limit up to SMALL_BOOK no book
+    is large, and positions come from plain windows; beyond it from the skew-safe scan."""
     given = {"target_language": opts.target_language, "output_format": opts.output_format, "submission": submission}
     value = {c: F.coalesce(F.col(c).cast("string"), F.lit(v)) if c in chapters.columns else F.lit(v)
              for c, v in given.items()}
@@ -132,14 +134,14 @@ def run_jobs(chapters: DataFrame, model=None, opts: C.PipelineOptions = C.Pipeli
     accepted = accepted.withColumn("book_id", F.concat("_job", F.lit(":"), F.col("book_id").cast("string")))
     t = translate_books(accepted, model, opts, key_col=key_col, sleep=sleep, language=F.col("target_language"),
                         carry=["target_language", "output_format"])
-    job = F.substring("book_id", 1, 32)
+    job, small = F.substring("book_id", 1, 32), opts.limits.max_chapters <= SMALL_BOOK
     events = jobs.lifecycle_events(job_rows, t.outcomes.withColumn("job_id", job),
-                                   t.all_chapters.withColumn("job_id", job))
+                                   t.all_chapters.withColumn("job_id", job), bounded=small)
     formats = ["docx", "pdf"] if "output_format" in chapters.columns else [opts.output_format]
     els = None
     for fmt in formats:
         mine = t.all_chapters.where(F.col("output_format") == fmt) if len(formats) > 1 else t.all_chapters
-        pos = layout.chapter_positions(mine, drop_failed_books=True, paragraphs=fmt == "pdf",
+        pos = layout.chapter_positions(mine, drop_failed_books=True, paragraphs=fmt == "pdf", bounded=small,
                                        chars_per_page=opts.chars_per_page, max_pages=opts.max_pages)
         part = layout.pdf_elements(pos) if fmt == "pdf" else layout.docx_elements(pos, opts.chars_per_page, opts.max_pages)
         els = part if els is None else els.unionByName(part, allowMissingColumns=True)
@@ -161,5 +163,5 @@ def publish(job: JobRun, location: str, run: str) -> RunStore:
     index = store.write(attempt, "artifacts", artifact_index(written, rows))
     store.write(attempt, "events", jobs.settled(job.events, index))
     store.write(attempt, "rejects", job.rejects)
-    store.publish(run, attempt, ["jobs", "elements", "artifacts", "events", "rejects"])
+    store.publish(run, attempt)
     return store

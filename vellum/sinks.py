@@ -34,7 +34,7 @@ def write_artifacts(elements: DataFrame, path: str, run: str, jobs: DataFrame |
     attempt = store.begin()
     written = store.write(attempt, "elements", artifact_rows(elements))
     store.write(attempt, "artifacts", artifact_index(written, jobs))
-    store.publish(run, attempt, ["elements", "artifacts"])
+    store.publish(run, attempt)
 
 
 def list_artifacts(spark: SparkSession, path: str) -> DataFrame:

@@ -11,13 +11,15 @@ sort-merge join without moving it.
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-MANIFEST_SCHEMA = "run string, attempt string, published bigint, tables array<string>"
+#: ``tables``: the schema (JSON) of each table of the attempt.
+MANIFEST_SCHEMA = "run string, attempt string, published bigint, tables map<string,string>"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -30,31 +32,35 @@ class RunStore:
 
     def __init__(self, spark: SparkSession, location: str):
         self.spark, self.location = spark, location.rstrip("/")
+        self._schemas: dict[str, dict[str, str]] = {}
 
     def begin(self) -> str:
         """A new attempt: nothing of it is seen before ``publish``."""
         return f"a-{uuid.uuid4().hex}"
 
-    def write(self, attempt: str, table: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, attempt: str, table: str, df: DataFrame) -> DataFrame:
         """Writes one table of an attempt and returns it as read back, so that what follows is
         computed from what was written."""
         path = f"{self.location}/{table}/attempt={attempt}"
-        w = df.write.mode("overwrite")
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+        df.write.mode("overwrite").parquet(path)
+        self._schemas.setdefault(attempt, {})[table] = df.schema.json()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def publish(self, run: str, attempt: str, tables: list[str]) -> None:
-        """One row, one file: from here on the attempt is the content of ``run``."""
-        row = [(run, attempt, time.time_ns(), tables)]
-        (self.spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1)
+    def _publish(self, rows: list[tuple]) -> None:
+        """One file: the moment it appears, all of ``rows`` hold."""
+        (self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
          .write.mode("append").parquet(f"{self.location}/manifest"))
 
+    def publish(self, run: str, attempt: str) -> None:
+        """From here on what the attempt has written is the content of ``run``."""
+        self._publish([(run, attempt, time.time_ns(), self._schemas.pop(attempt, {}))])
+
     def put(self, run: str, **tables: DataFrame) -> None:
         """Writes and publishes a run in one go."""
         attempt = self.begin()
         for name, df in tables.items():
             self.write(attempt, name, df)
-        self.publish(run, attempt, list(tables))
+        self.publish(run, attempt)
 
     def runs(self) -> DataFrame:
         """(run, attempt, published, tables): the last attempt published for each run."""
@@ -67,32 +73,32 @@ class RunStore:
 
     def read(self, table: str, schema: str | T.StructType | None = None) -> DataFrame:
         """The rows of all published runs, with ``run``.  The manifest has one row per run: its
-        folders are named to the scan, so attempts that were replaced are not even listed."""
+        folders and schemas are named to the scan, so attempts that were replaced are not even
+        listed and no file is opened to learn a schema.  ``schema``: of a table that nothing has
+        published yet."""
         live = [r for r in self.runs().collect() if table in r.tables]
         if not live:
             if schema is None:
                 raise ValueError(f"nothing published in {table}: pass its schema")
             return self.spark.createDataFrame([], schema).withColumn("run", F.lit(None).cast("string"))
-        base = f"{self.location}/{table}"
-        df = (self.spark.read.option("basePath", base)
-              .parquet(*[f"{base}/attempt={r.attempt}" for r in live]))
+        base, out = f"{self.location}/{table}", None
+        for own in dict.fromkeys(r.tables[table] for r in live):        # a schema may have grown since
+            fields = T.StructType.fromJson(json.loads(own)).add("attempt", T.StringType())
+            paths = [f"{base}/attempt={r.attempt}" for r in live if r.tables[table] == own]
+            df = self.spark.read.schema(fields).option("basePath", base).parquet(*paths)
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         run_of = self.spark.createDataFrame([(r.attempt, r.run) for r in live], "attempt string, run string")
-        return df.join(F.broadcast(run_of), "attempt").drop("attempt")
+        return out.join(F.broadcast(run_of), "attempt").drop("attempt")     # a row per run
 
     def compact(self, into: str, runs: list[str]) -> None:
         """Publishes the rows of ``runs`` as one run and empties those: the manifest and the
         number of folders stay small however many micro-batches have run."""
         done = [r for r in self.runs().collect() if r.run in set(runs) and r.run != into]
-        tables = sorted({t for r in done for t in r.tables})
-        attempt = self.begin()
-        for t in tables:
-            rows = self.read(t)
-            self.write(attempt, t, rows.where(F.col("run").isin([r.run for r in done])).drop("run"))
+        attempt, names = self.begin(), [r.run for r in done]
+        for t in sorted({t for r in done for t in r.tables}):
+            self.write(attempt, t, self.read(t).where(F.col("run").isin(names)).drop("run"))
         now = time.time_ns()
-        rows = [(into, attempt, now, tables)] + [(r.run, "none", now, []) for r in done]
-        # One file again: the moment it appears, the new run holds the rows and the old ones none.
-        (self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
-         .write.mode("append").parquet(f"{self.location}/manifest"))
+        self._publish([(into, attempt, now, self._schemas.pop(attempt, {}))] + [(name, "none", now, {}) for name in names])
 
 
 class BucketedTable:

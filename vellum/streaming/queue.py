@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..operators import jobs, validate
 from ..operators.ledger import SubmissionLedger
 from ..plans import pipeline
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import requests as RQ
 from ..store import RunStore
 from . import stream
@@ -45,7 +45,8 @@ def accept_batches(root: str, opts: C.PipelineOptions = C.PipelineOptions()):
         spark, name = batch.sparkSession, f"batch-{batch_id}"
         checked = RQ.schema_reject_reason(batch, whole=True)
         lines = RQ.distinct_requests(checked)
-        mine = lines.join(SubmissionLedger(spark, f"{root}/requests").claim(lines, name), "submission", "left_semi")
+        # Written once: what follows would read and parse the batch again and again.
+        mine = materialize(lines.join(SubmissionLedger(spark, f"{root}/requests").claim(lines, name), "submission", "left_semi"))
         bad = mine.where(F.col("schema_error").isNotNull()).select(
             "book_id", "target_language", F.lit(None).cast("bigint").alias("n_chapters"),
             F.col("schema_error").alias("reject_reason"))
@@ -56,14 +57,15 @@ def accept_batches(root: str, opts: C.PipelineOptions = C.PipelineOptions()):
         chapters = RQ.request_chapters(ok.drop("submission")).withColumn(
             "output_format", T.normalise_format("output_format"))
         job = T.job_id_hash(F.lit("chapters"), "book_id", "target_language", "output_format", "submission")
-        store, attempt = intake(spark, root), intake(spark, root).begin()
+        store = intake(spark, root)
+        attempt = store.begin()
         written = store.write(attempt, "chapters", chapters.withColumn("job_id", job))
         books = written.groupBy("book_id", "target_language", "output_format", "submission").agg(
             F.count(F.lit(1)).alias("n_chapters"))
         store.write(attempt, "jobs", jobs.submit_jobs(books, "chapters", F.col("target_language"), F.col("output_format"),
                                                       F.col("submission")))
         store.write(attempt, "rejects", refused.drop("submission").unionByName(bad))
-        store.publish(name, attempt, ["chapters", "jobs", "rejects"])
+        store.publish(name, attempt)
     return run
 
 
