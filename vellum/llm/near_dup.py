@@ -261,8 +261,10 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, words: int = WORD
     rows = land(sketches(d, words, k), "sketches")
     key = ["n_shingles", "low", "high"]
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # A class is a set, whatever documents hold it; ``first`` is its smallest document.
-    groups = named.groupBy(*key).agg(F.min("doc_id").alias("first"))
+    # A class is a set, whatever documents hold it; ``first`` is its smallest document.  Ids of
+    # classes grow with it: the pivot of a list is then the text that came first, which later
+    # near copies are closer to than to each other.
+    groups = named.groupBy(*key).agg(F.min("doc_id").alias("first")).orderBy("first", *key)
     groups = land(groups.withColumn("id", F.monotonically_increasing_id()), "classes")
     # Documents with several rows.  Most tables have none.
     many = land(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(*key)).alias("a"),
