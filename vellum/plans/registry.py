@@ -135,7 +135,7 @@ def empty_request(spark, sf):
 
 def _page_files_on_disk(spark, sf):
     path = scratch_path(spark, "files")
-    TB.read(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    FS.land_files(TB.read(spark, sf, "pages"), path, "page_id", "html")
     return FS.scan_files(spark, path, glob="*.txt")
 
 
@@ -146,7 +146,7 @@ def extract_errors(spark, sf):
     files = _page_files_on_disk(spark, sf)
     pages = FS.extract_with(files, FS.ascii_line_extractor)
     per = FS.file_summary(files.select("path"), pages)
-    return per.select(F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("bigint").alias("file"),
+    return per.select(FS.landed_key("page_id").alias("file"),
                       F.coalesce("n_pages", F.lit(0)).cast("bigint").alias("n_pages"),
                       F.col("extract_error").isNotNull().alias("failed"))
 
@@ -155,7 +155,7 @@ def extract_errors(spark, sf):
 def scan_files(spark, sf):
     """A2: pages landed as one file each, listed by binaryFile (content not read)."""
     f = _page_files_on_disk(spark, sf)
-    return f.select(F.col("page_id").cast("bigint").alias("file"), "length",
+    return f.select(FS.landed_key("page_id").alias("file"), "length",
                     validate.size_ok("length", 4000).alias("within_limit"))
 
 

@@ -6,14 +6,66 @@ its error goes to ``extract_error`` and it yields no pages."""
 from __future__ import annotations
 
 from typing import Callable, Iterator
+import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyarrow import fs as pa_fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..session import ship_code
 
 
+#: Folders that landed files are spread over: enough to list them in parallel, and no more.
+FOLDERS = 512
+
+
+def land_files(rows: DataFrame, path: str, key_col: str, text_col: str) -> None:
+    """One text file for every value of ``key_col``, ``folder=<n>/<key_col>=<value>.txt``, with the
+    texts of its rows as lines (null: an empty line).
+
+    The tasks write the files themselves: through ``partitionBy`` each file would get a folder
+    of its own, to be made, moved by the driver and listed one by one.  A file gets its name
+    when it is whole, so an attempt done again replaces it."""
+    root = path.rstrip("/")
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root[len("file:"):]         # as Hadoop prints a local path
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = pa_fs.FileSystem.from_uri(root)
+        made, key, out, n = set(), None, None, 0
+
+        def close() -> None:
+            out.close()
+            store.move(f"{at}/.{key}", f"{at}/{key[:-len(mark)]}.txt")
+        mark = f"-{uuid.uuid4().hex}"
+        for pdf in batches:
+            for folder, value, text in zip(pdf["folder"], pdf["key"], pdf["text"]):
+                this = f"{key_col}={value if value is not None else ''}{mark}"
+                if this != key:
+                    if out is not None:
+                        close()
+                    key, at, n = this, f"{base}/folder={folder}", n + 1
+                    if at not in made:
+                        store.create_dir(at)
+                        made.add(at)
+                    out = store.open_output_stream(f"{at}/.{key}")
+                out.write(((text if text is not None else "") + "\n").encode("utf-8"))
+        if out is not None:
+            close()
+        yield pd.DataFrame({"n": [n]})
+    ship_code(rows.sparkSession)
+    r = rows.select(F.pmod(F.hash(key_col), F.lit(FOLDERS)).alias("folder"), F.col(key_col).cast("string").alias("key"),
+                    F.col(text_col).alias("text"))
+    r.repartition("folder", "key").sortWithinPartitions("folder", "key").mapInPandas(run, "n bigint").write.format(
+        "noop").mode("append").save()
+
+
+def landed_key(key_col: str) -> Column:
+    """The value of ``key_col`` (a whole number) in the path of a file that ``land_files`` wrote."""
+    return F.nullif(F.regexp_extract("path", f"/{key_col}=(-?[0-9]+)\\.txt$", 1), F.lit("")).cast("bigint")
+
+
 def scan_files(spark: SparkSession, path: str, glob: str | None = None,
                max_length: int | None = None) -> DataFrame:
     """``binaryFile`` source; a ``length`` filter is pushed into the listing and the
