@@ -125,7 +125,9 @@ def run_jobs(chapters: DataFrame, model=None, opts: C.PipelineOptions = C.Pipeli
     if "output_format" in chapters.columns:
         value["output_format"] = T.normalise_format(value["output_format"])
     asked = chapters.withColumns(value)
-    books = validate.book_reject_reason(asked, opts.limits.max_chapters, _SUBMISSION)
+    # A row per submission, written once: jobs, events, artifacts and rejects would each count the
+    # chapters again.
+    books = _materialize(validate.book_reject_reason(asked, opts.limits.max_chapters, _SUBMISSION))
     ok, bad = validate.split_rejects(books)
     job_rows = jobs.submit_jobs(ok, "chapters", F.col("target_language"), F.col("output_format"), F.col("submission"))
     job_id = T.job_id_hash(F.lit("chapters"), *_SUBMISSION)
