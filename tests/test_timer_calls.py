@@ -1,7 +1,7 @@
 """How often a job's timers and seen ids are asked for: each call is a trip to the state store."""
 from types import SimpleNamespace
 
-from pyspark.sql import Row
+import pandas as pd
 
 from vellum.streaming import job_timers as J
 
@@ -29,23 +29,27 @@ class Counted:
 
 
 def rows(n, status="queued", start=0):
-    return [Row(job_id=1, event_id=i, ts=None, status=status, message="m", progress=None, file_path=None, current_chapter=None,
-                total_chapters=None, us=i * 1000) for i in range(start, start + n)]
+    return [{"job_id": 1, "event_id": i, "ts": None, "status": status, "message": "m", "progress": None, "file_path": None,
+             "current_chapter": None, "total_chapters": None, "us": i * 1000} for i in range(start, start + n)]
+
+
+def handle(p, events):
+    return [r for pdf in p.handleInputRows((1,), iter([pd.DataFrame(events)]), None) for r in pdf.itertuples()]
 
 
 def test_calls_do_not_go_with_events_that_cannot_matter():
     c = Counted()
     p = c.processor()
-    out = list(p.handleInputRows((1,), iter(rows(50) + rows(50, start=0) + rows(1, "completed", 50)), None))
+    out = handle(p, rows(50) + rows(50) + rows(1, "completed", 50))
     assert [(r.closed, r.n_events) for r in out] == [(True, 51)] and c.timers == [50 + J.EXPIRY_MS]
     assert c.calls <= 4                                      # read, state, timer
     c.calls = 0
-    assert not list(p.handleInputRows((1,), iter(rows(100, start=60)), None)) and c.calls == 1
+    assert not handle(p, rows(100, start=60)) and c.calls == 1
 
 
 def test_an_open_job_still_counts_a_replay_once():
     c = Counted()
     p = c.processor()
-    assert [r.n_events for r in p.handleInputRows((1,), iter(rows(3) + rows(3)), None)] == [3] and len(c.ids) == 3
-    assert not list(p.handleInputRows((1,), iter(rows(3)), None))
-    assert [r.n_events for r in p.handleInputRows((1,), iter(rows(4)), None)] == [4] and c.timers == [3 + J.STUCK_MS]
+    assert [r.n_events for r in handle(p, rows(3) + rows(3))] == [3] and len(c.ids) == 3
+    assert not handle(p, rows(3))
+    assert [r.n_events for r in handle(p, rows(4))] == [4] and c.timers == [3 + J.STUCK_MS]
